@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, toxicity, urlfilter, warc
+from . import langid, mixing, neardup, orderhash, packing, secrets, toxicity, urlfilter, vectordedup, warc
 from .store import new_path, table
 
 
@@ -13,6 +13,16 @@ def remainder(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = {r.kind for r in secrets.BASE}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.listed(F.filter("secrets", lambda s: s["kind"].isin(*sorted(base)))), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
     labels = table(spark, sf_dir, "labels").where(~held)
@@ -21,6 +31,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
     model = langid.train(docs.where(~held))
@@ -41,5 +59,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_language, op6_url_filters, op7_mixing, op8_warc)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_embeddings, op4_packing, op5_language, op6_url_filters, op7_mixing, op8_warc, op9_near_duplicates, op10_fingerprints)}
