@@ -1,0 +1,169 @@
+"""Text preparation as Column expressions; Python only where Unicode normal forms are needed."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Typographic quotes and dashes, and what they count as.
+QUOTES = "‘’‛′"
+DASHES = "‐‑‒–—−"
+WORD = r"\p{L}+(?:['-]\p{L}+)*"
+
+
+def normalise_punctuation(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), QUOTES + DASHES, "'" * len(QUOTES) + "-" * len(DASHES))
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case words: letters, joined inside by apostrophes or hyphens.  Null gives no word.
+
+    Equal to tokenising the NFKC form wherever the text is in that form; apply nfkc() first where it may not be.
+    """
+    return F.regexp_extract_all(F.lower(normalise_punctuation(text)), F.lit(WORD), F.lit(0))
+
+
+def nfkc(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return normal(text)
+
+
+def strip_diacritics(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def plain(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+
+    return plain(text)
+
+
+def collapse(text: Column) -> Column:
+    """White space runs as one blank, none at the ends, lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def letters(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"\p{L}"))
+
+
+def is_caps(line: Column) -> Column:
+    """At least six letters, seven tenths of them upper case."""
+    return (letters(line) >= 6) & (F.regexp_count(line, F.lit(r"\p{Lu}")) >= 0.7 * letters(line))
+
+
+def is_page_number(line: Column) -> Column:
+    return F.trim(line).rlike(r"^([0-9]+|(?i:[ivxlcdm]{1,8}))$")
+
+
+def is_page_label(line: Column) -> Column:
+    return F.trim(line).rlike(r"(?i)^(page|pp?\.?)\s*\d{1,4}$")
+
+
+def is_toc_like(line: Column) -> Column:
+    trailing_number = line.rlike(r"(?i)(\.{2,}|\s+)(\d{1,4}|[ivxlcdm]{1,8})\s*$")
+    dotted = line.contains("..") & F.rtrim(line).rlike(r"[.)]$")
+    return trailing_number | dotted | line.rlike(r"^\d{1,3}[.)]\s+")
+
+
+def paragraphs(text: Column) -> Column:
+    """Trimmed parts between blank lines; the whole text if none is left."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.coalesce(text, F.lit(""))))
+
+
+def windows(words: Column, size: int, stride: int) -> Column:
+    """array<struct<start, words>> of runs of `size` words, each `size - stride` after the last, ending with the one that reaches the end."""
+    step = size - stride
+    n = F.size(words)
+    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step) * step).cast("int")
+    return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, F.lit(size)).alias("words")))
+
+
+def strip_phrases(text: Column, phrases: list[str]) -> tuple[Column, Column]:
+    """The text without the phrases (longest first, any case, any white space between words), and how many were there."""
+    hits = F.lit(0)
+    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
+        pattern = r"(?i)\b" + r"\s+".join(phrase.split()) + r"\b"
+        hits = hits + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, " ")
+    return text, hits
+
+
+def snippet(words: Column, at: Column, around: int) -> Column:
+    """Words from `around` before to `around` after position `at` (from 0), joined by blanks."""
+    first = F.greatest(at - around, F.lit(0))
+    return F.array_join(F.slice(words, first + 1, at + around + 1 - first), " ")
+
+
+# Irregular comparisons and their base words.
+IRREGULAR = {"better": "good", "best": "good", "worse": "bad", "worst": "bad", "less": "little", "least": "little", "more": "many", "most": "many"}
+
+#: Ending, least length of the word, ending of the candidate, in the order of preference; a stem in -ed or -ing has variants.
+SUFFIXES = (("ies", 5, "y"), ("ier", 5, "y"), ("iest", 6, "y"), ("es", 4, ""), ("s", 4, ""), ("ed", 4, None), ("ing", 5, None), ("ly", 4, ""), ("er", 5, ""), ("est", 6, ""), ("ness", 7, ""))
+
+
+def lemma_candidates(word: Column) -> Column:
+    """array<string> of possible base words, best first; empty for words of under three letters."""
+    known = F.lit(None).cast("string")
+    for odd, base in IRREGULAR.items():
+        known = F.when(word == odd, F.lit(base)).otherwise(known)
+    found = [known]
+    for ending, least, instead in SUFFIXES:
+        fits = word.endswith(ending) & (F.length(word) >= least)
+        if ending == "s":
+            fits = fits & ~word.endswith("ss")
+        stem = F.substring(word, F.lit(1), F.length(word) - len(ending))
+        if instead is not None:
+            found.append(F.when(fits, F.concat(stem, F.lit(instead))))
+        else:
+            doubled = (F.length(stem) >= 2) & (F.substring(stem, -1, 1) == F.substring(stem, -2, 1))
+            found += [F.when(fits, stem), F.when(fits & ~stem.endswith("e"), F.concat(stem, F.lit("e"))), F.when(fits & doubled, F.substring(stem, F.lit(1), F.length(stem) - 1))]
+    return F.when(F.length(word) >= 3, F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
+
+
+def numbered_lines(text: Column) -> Column:
+    """Each line as number|line, numbers from 1 and at least five digits wide."""
+    all_lines = lines(text)
+    width = F.greatest(F.lit(5), F.length(F.size(all_lines).cast("string")))
+    return F.transform(all_lines, lambda line, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit("0")), F.lit("|"), line))
+
+
+def outermost_json(text: Column) -> Column:
+    """What stands between code fences, else from the first { to the last }; null if neither parses."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    tried = [F.when(F.try_parse_json(c).isNotNull(), c) for c in (text, F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit("")))]
+    return F.coalesce(*tried)
+
+
+def parse_file_name(path: Column) -> Column:
+    """struct<stem, source, case_id, date, doc_type, split, article, outcome> of a document's path."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    parts = F.split(stem, "_")
+    court = (F.size(parts) >= 2) & (parts[0] == "ICJ")
+    dated = F.array_position(F.transform(parts, lambda p: p.rlike(r"^\d{4}-\d{2}-\d{2}$")), True)
+    folders = F.split(path, "/")
+    root = F.array_position(folders, "crystal_ball_data")
+    other = ~court & (root > 0)
+    at = lambda n: F.when(other, F.try_element_at(folders, (root + n).cast("int")))
+    article = F.when(at(2).startswith("Article"), at(2))
+    outcome = F.coalesce(F.when(at(3).isin("violation", "non-violation", "both"), at(3)), F.when(at(1) == "test_violations", F.lit("violation")))
+    return F.struct(
+        stem.alias("stem"),
+        F.when(court, "ICJ").when(other, "crystal_ball").alias("source"),
+        F.when(court, parts[1]).alias("case_id"),
+        F.when(court & (dated > 0), F.try_element_at(parts, dated.cast("int"))).alias("date"),
+        F.when(court & (dated > 0), F.try_element_at(parts, (dated + 1).cast("int"))).alias("doc_type"),
+        at(1).alias("split"),
+        article.alias("article"),
+        outcome.alias("outcome"),
+    )
