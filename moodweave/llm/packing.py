@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import textcore as tc
 
@@ -278,7 +279,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     """
     path = tokenizer or default_tokenizer()
     schema = docs.select(docs[key].alias(key)).schema
-    for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), *([("ids", "array<int>")] if with_ids else [])):
+    for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), *([("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])):
         schema = schema.add(name, kind)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
