@@ -10,27 +10,24 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import math
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import settle
+
 #: Target size of one archive file before compression; a file is read whole by one task.
 FILE_BYTES = 8 << 20
 END = "\r\n\r\n"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of the UTF-8 bytes of each string."""
-
-    @F.pandas_udf("string")
-    def digest(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda x: base64.b32encode(hashlib.sha1(x.encode("utf-8", "surrogatepass")).digest()).decode("ascii"))
-
-    return digest(payload)
+    """Bare upper-case base32 SHA-1 of the UTF-8 bytes of a string: eight runs of five hexadecimal digits as four of base 32."""
+    digest = F.sha1(payload)
+    runs = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*runs), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -68,19 +65,21 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
     Response records are the only ones that carry payloads; revisits come from the headers alone.  A null html is an empty
     payload; a null page_id has no WARC-Record-ID; extra columns are not written.  An empty table writes an empty archive.
+    Headers and revisits are settled first, so the planner knows how many payloads to drop before it reads any: few revisits
+    are broadcast and payloads then go from the pages to the archive without a shuffle.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     digested = rows.withColumns({"payload_digest": base32_sha1(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
-    headers = resolve(digested.select("page_id", "url", "payload_digest", "payload_bytes"), min_bytes)
+    headers = settle(digested.select("page_id", "url", "payload_digest", "payload_bytes"), "warc-headers")
     common = [("WARC-Target-URI", _safe(F.col("url"))), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), ("X-Payload-Length", F.col("payload_bytes").cast("string"))]
     revisit = _record([("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", _urn(F.col("page_id"))), ("WARC-Refers-To", _urn(F.col("refers_to"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), *common], F.lit(""), F.lit(0))
     response = _record([("WARC-Type", F.lit("response")), ("WARC-Record-ID", _urn(F.col("page_id"))), *common], F.col("payload"), F.col("payload_bytes"))
-    total = rows.agg(F.sum(F.octet_length("payload").cast("long") + 400)).first()[0] or 0
-    revisits = headers.where("record_type = 'revisit'")
+    mean = headers.agg(F.avg(F.col("payload_bytes") + 400)).first()[0] or 1
+    revisits = settle(resolve(headers, min_bytes).where("record_type = 'revisit'"), "warc-revisits")
     gone = revisits.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest")).distinct()
     stays = digested.join(gone, digested["page_id"].eqNullSafe(gone["__id"]) & (digested["payload_digest"] == gone["__digest"]), "left_anti")
     records = stays.select(response.alias("record")).unionByName(revisits.select(revisit.alias("record")))
-    records.repartition(max(1, math.ceil(total / file_bytes))).write.option("lineSep", END).option("compression", "gzip").text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(path)
 
 
 def _parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
