@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 
@@ -132,4 +133,4 @@ def blocks_in_order(pairs: DataFrame, least: float = 0.98, blocks: str = "blocks
                 cover.append(low)
             yield pdf.assign(found=found, coverage=cover)
 
-    return pairs.mapInPandas(check, pairs.schema.add("found", "boolean").add("coverage", "double"))
+    return pairs.mapInPandas(check, StructType(list(pairs.schema.fields)).add("found", "boolean").add("coverage", "double"))
