@@ -100,7 +100,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
         goes_to = F.when(F.col("key").eqNullSafe(F.lit(head).cast(docs.schema[key].dataType)), F.lit(heads[at - 1][0])).otherwise(goes_to)
     places = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.struct(goes_to.alias("part"), F.lit(True).alias("extra"))), lambda p: p["part"].isNotNull())
     spread = placed.select(F.explode(places).alias("p"), "key", "text").select("p.part", "p.extra", "key", "text")
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), F.col("text").asc_nulls_first())
+    return spread.repartitionById(max(1, len(bounds) + 2), "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
