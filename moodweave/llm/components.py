@@ -20,8 +20,9 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
-        return r["n"], r["s"]
+        h = F.xxhash64("u", "v")
+        r = e.agg(F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1 << 24))).alias("s"), F.bit_xor(h).alias("x")).first()
+        return r["n"], r["s"], r["x"]
 
     now = settle(tidy(edges.select("u", "v")), label)
     seen = mark(now)
