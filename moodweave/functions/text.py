@@ -167,3 +167,44 @@ def parse_file_name(path: Column) -> Column:
         article.alias("article"),
         outcome.alias("outcome"),
     )
+
+
+# Punctuation that counts as plain quotes and dashes when white space is normalised.
+_TYPOGRAPHIC = {"“": '"', "”": '"', "„": '"', "…": "..."}
+
+
+def normalise_space(text: Column) -> Column:
+    """Plain quotes and dashes, white space runs as one blank, none at the ends; case stays."""
+    out = normalise_punctuation(text)
+    for a, b in _TYPOGRAPHIC.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def line_chunks(text: Column, most: int) -> Column:
+    """array<string>: lines packed in order into chunks of up to `most` characters; a longer line is a chunk of its own."""
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("held"))
+
+    def add(acc: Column, line: Column) -> Column:
+        joined = F.concat(acc["held"], F.lit("\n"), line)
+        full = acc["held"].isNotNull() & (F.length(joined) > most)
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["held"])).otherwise(acc["done"]).alias("done"), F.when(acc["held"].isNull() | full, line).otherwise(joined).alias("held"))
+
+    return F.aggregate(lines(text), start, add, lambda acc: F.when(acc["held"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["held"])))
+
+
+def excerpt(text: Column, size: int, anchor: str | None = None) -> Column:
+    """`size` characters around the first match of the anchor (a third of them before it), else from the head; cut ends show as an ellipsis."""
+    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    at = F.lit(0) if anchor is None else F.greatest(F.regexp_instr(body, F.lit(anchor)) - 1 - size // 3, F.lit(0))
+    cut = F.trim(F.substring(body, at + 1, F.lit(size)))
+    return F.concat(F.when(at > 0, "…").otherwise(""), cut, F.when(F.length(body) > at + size, "…").otherwise(""))
+
+
+def truncate(text: Column, most: int, head: int, tail: int, anchors: tuple[str, ...] = (), around: int = 280, hits: int = 2) -> Column:
+    """The whole text if it is short enough, else its head, up to `hits` snippets for each anchor from between, and its tail."""
+    middle = F.substring(text, F.lit(head + 1), F.length(text) - head - tail)
+    found = [F.slice(F.regexp_extract_all(middle, F.lit(rf"(?is).{{0,{around}}}{a}.{{0,{around}}}"), F.lit(0)), 1, hits) for a in anchors]
+    pieces = F.concat(F.array(F.substring(text, 1, head)), *found, F.array(F.substring(text, F.length(text) - tail + 1, F.lit(tail))))
+    return F.when(F.length(text) <= most, text).otherwise(F.substring(F.array_join(pieces, "\n[...]\n"), 1, most))

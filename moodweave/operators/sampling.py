@@ -31,3 +31,18 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int, rest: int, seed:
     first = ranked.select(key, stratum, F.lit("stratum").alias("part"))
     others = d.join(first.select(key), key, "left_anti").orderBy("draw", key).limit(rest).select(key, stratum, F.lit("rest").alias("part"))
     return first.unionByName(others)
+
+
+def balanced(rows: DataFrame, key: str, kind: str, n: int, seed: str) -> DataFrame:
+    """(key, kind): n rows, as evenly as the kinds allow: an equal share of each (the first kinds by name one more), and what a
+    small kind lacks from the rows that come next in drawing order."""
+    kinds = sorted(r[kind] for r in rows.select(kind).distinct().collect())  # classes
+    if not kinds:
+        return rows.select(key, kind)
+    share = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(n // len(kinds) + (i < n % len(kinds))))])
+    d = rows.select(key, kind, draw(F.col(key), seed).alias("draw"))
+    ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy("draw", key))).where(F.col("rank") <= n)
+    first = ranked.where(F.col("rank") <= share[F.col(kind)])
+    missing = n - first.count()
+    more = ranked.where(F.col("rank") > share[F.col(kind)]).orderBy("draw", key).limit(max(0, missing))
+    return first.unionByName(more).select(key, kind)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as lb
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import adjudication, chunking, clouds, features, lexicon, measures, metrics, neighbours, rollups, sampling
+from ..config import Config
+from ..operators import adjudication, chunking, clouds, comparison, features, lexicon, measures, metrics, models, neighbours, rollups, sampling
 from ..operators import transport as ot
 from ..operators.lexicon import EMOTIONS
 
@@ -406,6 +408,64 @@ def ot_token_clouds(spark, sf):
     return out.select("i", "j", *_r("distance"), F.size("flows").cast("long").alias("n_flows"))
 
 
+def text_excerpts(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", tx.excerpt(F.col("text"), 60, r"\bthe\b").alias("around"), tx.excerpt(F.col("text"), 40).alias("head"), F.length(tx.normalise_space(F.coalesce("text", F.lit("")))).cast("long").alias("n_plain"))
+
+
+def text_line_chunks(spark, sf):
+    d = _docs(spark, sf).select("doc_id", tx.line_chunks(F.col("text"), 400).alias("c"))
+    return d.select("doc_id", F.size("c").cast("long").alias("chunks"), F.array_max(F.transform("c", F.length)).cast("long").alias("longest"))
+
+
+def text_truncated(spark, sf):
+    d = _docs(spark, sf).select("doc_id", tx.truncate(F.coalesce("text", F.lit("")), 1000, 300, 300, (r"\\bidiot\\b",), 40).alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_left"))
+
+
+def label_keys(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang")
+    mixed = F.concat(F.lit(" "), F.upper("lang"), F.lit("-"), F.col("source"), F.lit(" "))
+    return d.select("doc_id", lb.normalise_label(mixed).alias("label"), lb.is_unlabelled(F.when(F.col("doc_id") % 7 == 0, "N/A").otherwise(F.col("lang"))).cast("int").alias("unlabelled"), lb.matches_any(F.col("source"), ["rc1", "7"]).cast("int").alias("hit"), lb.group_key(F.when(F.col("doc_id") % 5 > 0, F.col("lang"))).alias("key"))
+
+
+def teacher_classes(spark, sf):
+    p = vx.normalise(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: ((F.col("doc_id") * 37 + i * 11) % 100 + 1) / 100.0))
+    label, sentiment, score = models.class_from_probabilities(F.col("p"))
+    return _t(spark, sf, "documents").select("doc_id", p.alias("p")).select("doc_id", label.cast("long").alias("label"), sentiment.cast("long").alias("sentiment"), F.round(score, 6).alias("score"))
+
+
+def imputed_by_ridge(spark, sf):
+    e = _t(spark, sf, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("label") / 10.0).alias("v"))
+    return models.impute(e, "x", models.ridge(e, "x", ["v"], 1.0)).select("vec_id", *_r("v"))
+
+
+def outcome_regression(spark, sf):
+    p = _profiles(spark, sf).join(_t(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("outcome")), "doc_id")
+    rows = p.select("doc_id", "outcome", *[F.col("lex_counts")[i].alias(e) for i, e in enumerate(EMOTIONS)], "n_words")
+    fitted = models.logistic(rows, [*EMOTIONS, "n_words"], "outcome")
+    return spark.createDataFrame([(n, round(float(c), 6)) for n, c in zip([*EMOTIONS, "n_words"], fitted.coefficients, strict=True)], "feature string, coefficient double")
+
+
+def sample_balanced_by_class(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"))
+    return sampling.balanced(d, "doc_id", "lang", 50, "13")
+
+
+def ot_compare_rows(spark, sf):
+    rows = _profiles(spark, sf).where("lex_hits > 0")
+    out = comparison.compare_scores(rows, F.col("id") % 50 == 0, COST, Config(top_k=3, reg_m=0.5), "lex_counts_per_1k_words")
+    return out.select(F.col("query").alias("i"), F.col("id").alias("j"), F.col("rank").cast("long").alias("rank"), *_r("distance", "mass_diff"), F.col("deltas")[0]["emotion"].cast("long").alias("top_emotion"))
+
+
+def ot_group_distance(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), "text")
+    words = docs.select("doc_id", "lang", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    out = comparison.group_shift(words, "lang", _base_vad(lexicon.demo_lexicon(docs)), Config(max_terms=64))
+    rows = [(*out["groups"], round(out["distance"], 6), f["from"], f["to"], round(f["contribution"], 6)) for f in out.get("flows", [])]
+    return spark.createDataFrame(rows, "a string, b string, distance double, from_term string, to_term string, contribution double")
+
+
 def stream_windowed_signal(spark, sf):
     """The batch form of the streaming roll-up."""
     from ..streaming.live import windowed_signal
@@ -421,6 +481,7 @@ QUERIES = {
         vad_scale_detect, score_calibrated, score_signal_gate, score_chunk_to_doc, measure_per_1k, ot_doc_neighbours, ot_doc_unbalanced_parts, ot_top_flows, ot_style_deltas, ot_group_shift_terms,
         ot_token_vad_cost, emb_cosine_knn, emb_centroids, emb_max_cosine_conf, emb_top1_label_coherence, emb_intra_inter_separation, rollup_year_type, rollup_topn_per_emotion, rollup_tertiles,
         rollup_scorecard, eval_confusion_f1, eval_multilabel_f1, eval_auc_by_emotion, adj_latest_upsert, split_by_group_hash, sample_stratified_hash, contain_exact_ordered, teacher_noisy_or, meta_parse,
+        text_excerpts, text_line_chunks, text_truncated, label_keys, teacher_classes, imputed_by_ridge, outcome_regression, sample_balanced_by_class, ot_compare_rows, ot_group_distance,
         text_boilerplate_strip, text_paragraph_chunks, lex_phrase_matches, ot_token_clouds, stream_windowed_signal,
     )
 }

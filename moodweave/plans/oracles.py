@@ -148,5 +148,10 @@ ORACLES = {
         f"k AS (SELECT doc_id, pos, line FROM s WHERE blank OR (NOT page AND NOT (opened IS NOT NULL AND coalesce(ended, -1) < opened) AND NOT (caps AND (pos < 80 OR alike >= 3 OR regexp_matches(norm, '{HEADERS}') OR regexp_matches(norm, '{CASE_MARK}') OR regexp_matches(trim(line), '^\\d{{1,4}}\\s+[A-Z]'))))) "
         "SELECT documents.doc_id, coalesce(any_value(m.n), 0) AS n_left FROM documents LEFT JOIN (SELECT doc_id, length(string_agg(line, chr(10) ORDER BY pos)) AS n FROM k GROUP BY doc_id) m USING (doc_id) GROUP BY documents.doc_id"
     ),
+    "text_excerpts": "WITH b AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t, trim(regexp_replace(replace(replace(replace(replace(translate(coalesce(text, ''), '" + _FROM + "', '" + _TO + "'), '“', '\"'), '”', '\"'), '„', '\"'), '…', '...'), '\\s+', ' ', 'g')) AS plain FROM documents), a AS (SELECT *, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN greatest(length(regexp_split_to_array(t, '\\bthe\\b')[1]) - 20, 0) ELSE 0 END AS p FROM b) SELECT doc_id, CASE WHEN p > 0 THEN '…' ELSE '' END || trim(substr(t, p + 1, 60)) || CASE WHEN length(t) > p + 60 THEN '…' ELSE '' END AS around, trim(substr(t, 1, 40)) || CASE WHEN length(t) > 40 THEN '…' ELSE '' END AS head, length(plain) AS n_plain FROM a",
+    "label_keys": "SELECT doc_id, regexp_replace(lower(trim(' ' || upper(lang) || '-' || source || ' ')), '[\\s-]+', '_', 'g') AS label, (doc_id % 7 = 0 OR lang IS NULL)::INT AS unlabelled, (contains(lower(source), 'rc1') OR contains(lower(source), '7'))::INT AS hit, CASE WHEN doc_id % 5 > 0 THEN lang ELSE 'unknown' END AS key FROM documents",
+    "teacher_classes": "WITH r AS (SELECT doc_id, [((doc_id * 37 + i * 11) % 100 + 1) / 100.0::DOUBLE FOR i IN range(1, 4)] AS q FROM documents), p AS (SELECT doc_id, [x / list_sum(q) FOR x IN q] AS p FROM r) SELECT doc_id, list_position(p, list_max(p)) - 1 AS label, list_position(p, list_max(p)) - 2 AS sentiment, round(-p[1] + p[3], 6) AS score FROM p",
+    "sample_balanced_by_class": "WITH d AS (SELECT doc_id, coalesce(lang, 'unknown') AS lang, md5(doc_id::VARCHAR || ':13') AS h FROM documents), k AS (SELECT lang, row_number() OVER (ORDER BY lang) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM d)), r AS (SELECT doc_id, d.lang, h, row_number() OVER (PARTITION BY d.lang ORDER BY h, doc_id) AS rank, 50 // n + (i <= 50 % n)::INT AS share FROM d JOIN k USING (lang)), f AS (SELECT doc_id, lang FROM r WHERE rank <= share) SELECT * FROM f UNION ALL (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS place FROM r WHERE rank > share AND rank <= 50) WHERE place <= 50 - (SELECT count(*) FROM f))",
+    "text_line_chunks": "WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), f AS (SELECT doc_id, ls, 1 AS i, length(ls[1])::BIGINT AS held, []::BIGINT[] AS done FROM l UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN held + 1 + length(ls[i + 1]) > 400 THEN length(ls[i + 1]) ELSE held + 1 + length(ls[i + 1]) END, CASE WHEN held + 1 + length(ls[i + 1]) > 400 THEN list_append(done, held) ELSE done END FROM f WHERE i < len(ls)) SELECT doc_id, len(done) + 1 AS chunks, greatest(held, coalesce(list_max(done), 0)) AS longest FROM f WHERE i = len(ls)",
     "stream_windowed_signal": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY ALL",
 }
