@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import connected_components
-from .store import discard, settle
+from .store import discard, is_small, settle
 from .vectordedup import _roots, grouped
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 RARE = 0.01
 #: How much more a rare shingle weighs than one that every document holds.
-SPREAD = 0.5
+SPREAD = 0.25
 #: Most documents of a bucket that are compared at once.
 BLOCK = 192
 
@@ -223,8 +223,12 @@ def similarities(data: np.ndarray, off: np.ndarray, weights: Weights) -> np.ndar
 
 def _verify(members: DataFrame, texts: DataFrame, weights: Weights, label: str) -> DataFrame:
     """Edges (u, v) that connect similar documents within each group of members(a, b, c, rep, side): all pairs where the group has
-    side 0 only, else pairs of differing sides or of two zeros.  A document's text is fetched once a group it is in."""
+    side 0 only, else pairs of differing sides or of two zeros.  A document's text is fetched once a group it is in.  Where
+    few documents are asked for, their keys are broadcast first, so that only their texts are shuffled."""
     shipped = members.sparkSession.sparkContext.broadcast(weights)
+    reps = members.select("rep").distinct()
+    if is_small(reps, 64):
+        texts = texts.join(F.broadcast(reps), "rep", "left_semi")
     full = texts.hint("shuffle_hash").join(members.hint("shuffle_hash"), "rep").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +285,7 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     classes = signed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     filed = settle(classes.select("same", "rep", F.posexplode("bands").alias("band", "bucket")), "near-filed")
     by = ["band", "bucket"]
-    sizes = filed.groupBy(*by).agg(F.count("*").alias("size"), F.sum(F.shiftright(F.xxhash64("rep"), 20)).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.min("rep").alias("hub")).where("size > 1")
+    sizes = filed.groupBy(*by).agg(F.count("*").alias("size"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 24))).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.min("rep").alias("hub")).where("size > 1")
     # Buckets of the same members, as most of a pair's are, are compared once.
     buckets = settle(sizes.groupBy("size", "s", "x", "hub").agg(F.min(F.struct(*by)).alias("p")).select("p.*", "size", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "near-buckets")
     members = settle(filed.join(buckets, by).select(*by, "rep", "same", "hub", "blocks", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int").alias("block")), "near-members")

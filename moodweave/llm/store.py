@@ -35,6 +35,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def is_small(df: DataFrame, row_bytes: int = 48) -> bool:
+    """Whether df's rows, of about row_bytes each, stay within the size up to which Spark broadcasts by itself."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(limit[-1:], 1)
+    most = int(limit.rstrip("kmg")) * unit // row_bytes
+    return most > 0 and df.limit(most + 1).count() <= most
+
+
 def discard(df: DataFrame) -> None:
     """Remove a settled table that nothing will read again."""
     path = getattr(df, "_settled_at", None)
