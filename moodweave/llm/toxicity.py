@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-ORDER = 6
+ORDER = 5
 SHARED_ORDER = 3
-DISCOUNT = 0.75
+DISCOUNT = 0.9
 SLOTS = 1 << 21
 MOST_ROWS = 40_000
 THRESHOLD = 0.3
