@@ -329,6 +329,18 @@ def test_stage_is_skipped_when_parameters_agree(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_documents_and_reports(spark, tmp_path):
+    sinks.json_document(spark, str(tmp_path / "a.json"), {"é": [1]})
+    sinks.json_document(spark, str(tmp_path / "a.json"), {"é": [2]})
+    sinks.yaml_document(spark, str(tmp_path / "a.yaml"), {"b": 1})
+    sinks.html_report(docs(spark, ["</script>x"]), str(tmp_path / "a.html"), "<Report>")
+    assert json.loads((tmp_path / "a.json").read_text()) == {"é": [2]} and (tmp_path / "a.yaml").read_text() == "b: 1\n"
+    page = (tmp_path / "a.html").read_text()
+    assert "</script>x" not in page and "&lt;Report>" in page
+    sinks.json_lines(docs(spark, ["é"]), str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).first()["text"] == "é"
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01 01:00:00", 1.0, "a"), (1, "2024-01-01 01:00:00", 1.0, "a"), (2, "2024-01-01 02:00:00", 3.0, "a")], "event_id long, ts string, value double, event_type string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id long, ts timestamp, value double, event_type string").parquet(str(tmp_path / "in"))
