@@ -64,13 +64,16 @@ class WordMerges:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((self.key[at] == key) & (a >= 0) & (b >= 0), self.rank[at], self._NONE)
 
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Ids of each word; words are spans of lower-cased bytes, none longer than MOST_BYTES."""
-        out: list = [None] * len(starts)
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, one word after the other in some order, and each word's first place among them and number of them.
+
+        Words are spans of lower-cased bytes, none longer than MOST_BYTES.
+        """
+        first, count, flat, used = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [np.zeros(0, np.uint32)], 0
         size = ends - starts
         by = np.argsort(size, kind="stable")
-        for first in range(0, len(by), 8192):
-            rows = by[first : first + 8192]
+        for at_word in range(0, len(by), 8192):
+            rows = by[at_word : at_word + 8192]
             n = size[rows]
             place = np.arange(n.max())
             ids = self.inner[data[np.minimum(starts[rows][:, None] + place, len(data) - 1)]]
@@ -82,12 +85,17 @@ class WordMerges:
                 at = rank.argmin(1)
                 best = rank[np.arange(len(whole)), at]
                 done = best == self._NONE
-                for i in np.flatnonzero(done).tolist():
-                    word = ids[i]
-                    out[rows[whole[i]]] = word[word >= 0].astype(np.uint32)
-                if done.all():
-                    break
-                ids, rank, at, best, whole = ids[~done], rank[~done], at[~done], best[~done], whole[~done]
+                if done.any():
+                    real = ids[done] >= 0
+                    own = rows[whole[done]]
+                    count[own] = real.sum(1)
+                    first[own] = used + np.cumsum(count[own]) - count[own]
+                    flat.append(ids[done][real].astype(np.uint32))
+                    used += len(flat[-1])
+                    if done.all():
+                        break
+                    more = ~done
+                    ids, rank, at, best, whole = ids[more], rank[more], at[more], best[more], whole[more]
                 r = np.arange(len(whole))
                 ids[r, at] = self.made[best]
                 move = place[: ids.shape[1] - 1] + (place[: ids.shape[1] - 1] > at[:, None])
@@ -99,7 +107,7 @@ class WordMerges:
                 here, left = np.minimum(at, ids.shape[1] - 2), np.maximum(at - 1, 0)
                 rank[r, here] = np.where(at <= ids.shape[1] - 2, self._ranks(ids[r, here], ids[r, here + 1]), rank[r, here])
                 rank[r, left] = np.where(at > 0, self._ranks(ids[r, left], ids[r, left + 1]), rank[r, left])
-        return out
+        return np.concatenate(flat), first, count
 
 
 #: Classes of bytes: white space, letters, digits, punctuation that splits words in the tokenizer, and what it alone may judge.
@@ -130,20 +138,18 @@ class Encoder:
         self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: np.ndarray, pieces: list[np.ndarray]) -> None:
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        need = self.used + int(sizes.sum())
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        need = self.used + len(ids)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(need, 2 * len(self.ids)) - self.used, np.uint32)])
-        firsts = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.ids[self.used : need] = np.concatenate(pieces)
-        self.used = need
+        self.ids[self.used : need] = ids
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.first, self.size = np.insert(self.hashes, at, hashes), np.insert(self.first, at, firsts), np.insert(self.size, at, sizes)
+        self.hashes, self.first, self.size = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first + self.used), np.insert(self.size, at, size)
+        self.used = need
 
     @staticmethod
     def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lower-cased bytes, starts and ends of pieces, which are plain runs of letters, and the documents' offsets into them."""
+        """Lower-cased bytes, starts, ends and classes of pieces, and the documents' offsets into them."""
         low, kind = tc.LOWER[data], _CLASS[data]
         lead = np.flatnonzero(data[:-1] == 0xC3)
         second = data[lead + 1]
@@ -169,15 +175,15 @@ class Encoder:
         stops = np.append(edges[1:], len(kind))
         real = kind[edges] != _SPACE
         edges, stops = edges[real], stops[real]
-        return low, edges, stops, kind[edges] == _LETTER, np.searchsorted(edges, off)
+        return low, edges, stops, kind[edges], np.searchsorted(edges, off)
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the documents laid end to end, and the documents' offsets into them."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        low, starts, ends, plain, poff = self.pieces(data, off)
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the documents laid end to end and the documents' offsets into them; hashes of their terms (pieces that are
+        neither digits nor punctuation) and offsets into those."""
+        none = np.zeros(len(off), np.int64)
+        low, starts, ends, kind, poff = self.pieces(data, off) if len(data) else (data, none[:0], none[:0], none[:0], none)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            return np.zeros(0, np.uint32), none, np.zeros(0, np.uint64), none
         distinct, where, which = np.unique(tc.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > _KNOWN:
             self.forget()
@@ -187,23 +193,25 @@ class Encoder:
         new[inside] = self.hashes[at[inside]] != distinct[inside]
         if new.any():
             spots = where[new]
-            here = plain[spots] & (ends[spots] - starts[spots] <= WordMerges.MOST_BYTES)
-            found: list = [None] * len(spots)
-            for i, ids in zip(np.flatnonzero(here).tolist(), self.merges.encode(low, starts[spots[here]], ends[spots[here]]), strict=True):
-                found[i] = ids
-            for i in np.flatnonzero(~here).tolist():
-                word = data[starts[spots[i]] : ends[spots[i]]].tobytes().decode("utf-8")
-                found[i] = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
-            self._learn(distinct[new], found)
+            here = (kind[spots] == _LETTER) & (ends[spots] - starts[spots] <= WordMerges.MOST_BYTES)
+            found, first, size = self.merges.encode(low, starts[spots[here]], ends[spots[here]])
+            self._learn(distinct[new][here], found, first, size)
+            rest = spots[~here]
+            if len(rest):
+                raw = [data[a:b].tobytes().decode("utf-8") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+                found = [np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in raw]
+                size = np.array([len(f) for f in found], np.int64)
+                self._learn(distinct[new][~here], np.concatenate(found), np.cumsum(size) - size, size)
             at = np.searchsorted(self.hashes, distinct)
         first, size = self.first[at][which], self.size[at][which]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[poff]
+        term = (kind == _LETTER) | (kind == _OTHER)
+        return ids, total[poff], distinct[which[term]], np.concatenate([[0], np.cumsum(term)])[poff]
 
 
 class Index:
-    """BM25 postings of one shard: terms are alphanumeric words, ASCII case folded.
+    """BM25 postings of one shard, of the hashes of documents' terms.
 
     Terms of one document find nothing and terms of more than half the documents have no positive weight; neither is kept.
     """
@@ -314,9 +322,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
         for batch in batches:
             key_type = batch.column(0).type
             for first, end, data, off in tc.blocks(batch.column(1)):
-                all_ids, ioff = encoder.encode(data, off)
-                starts, ends, woff = tc.words(data, off, tc.ALNUM)
-                terms = tc.span_hashes(tc.LOWER[data], starts, ends)
+                all_ids, ioff, terms, woff = encoder.encode(data, off)
                 names = batch.column(0)[first:end].to_pylist()
                 for d in range(end - first):
                     keys.append(names[d])

@@ -238,7 +238,7 @@ def test_encoder_equals_tokenizer(tokenizer):
     texts = HARD + ["".join(r.choice(alphabet) for _ in range(r.randrange(300))) for _ in range(300)]
     encoder = packing.Encoder(packing.default_tokenizer())
     for first, end, data, off in tc.blocks(pa.array(texts, pa.string()), 4096):
-        ids, ioff = encoder.encode(data, off)
+        ids, ioff, _, _ = encoder.encode(data, off)
         for d in range(end - first):
             assert ids[ioff[d] : ioff[d + 1]].tolist() == tokenizer.encode(texts[first + d] or "", add_special_tokens=False).ids
 
