@@ -9,6 +9,7 @@ mandatory trigrams run over every text.
 from __future__ import annotations
 
 import itertools
+import re
 import re._constants as rc
 import re._parser as rp
 from dataclasses import dataclass
@@ -109,10 +110,24 @@ def trigram_query(pattern: str) -> Clauses:
     return _query(rp.parse(pattern))[1]
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A pattern whose group is, at each place of a text where one of the trigrams begins, that trigram; they are tried by their
+    first and second characters, and overlapping ones are all found."""
+
+    def one(chars) -> str:
+        return "[" + "".join(sorted({re.escape(c) for c in chars})) + "]"
+
+    branches = []
+    for first, group in itertools.groupby(sorted(trigrams), lambda t: t[0]):
+        seconds = [re.escape(second) + one(t[2] for t in rest) for second, rest in itertools.groupby(group, lambda t: t[1])]
+        branches.append(f"{re.escape(first)}(?:{'|'.join(seconds)})")
+    return f"(?={one(t[0] for t in trigrams)})(?=({'|'.join(branches)}))"
+
+
 def postings(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index (trigram, key) of the named trigrams, over lower-cased whole texts."""
-    low = F.lower(F.col(text))
-    return docs.select(F.col(key).alias("__key"), F.explode(F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]))).alias("trigram"))
+    """The inverted index (trigram, key) of the named trigrams, over lower-cased whole texts, each read once."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(_any_of(trigrams)), F.lit(1))
+    return docs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(found)).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
