@@ -69,8 +69,30 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(x - m[..., None]).sum(-1))
 
 
+#: Up to this ratio of cost to epsilon the iterations stay far from the ends of the floating range without logarithms.
+SAFE = 30.0
+
+
+def _scalings(a: np.ndarray, b: np.ndarray, kernel: np.ndarray, s: Solver) -> tuple[np.ndarray, np.ndarray]:
+    """Scalings u [B, n] and v [B, m] of a kernel that all pairs share: two small matrix products an iteration."""
+    tau = s.reg_m / (s.reg_m + s.epsilon) if s.unbalanced else 1.0
+    v = np.ones_like(b)
+    for _ in range(s.iterations):
+        u = a / (v @ kernel.T)
+        if tau != 1.0:
+            u **= tau
+        v = b / (u @ kernel)
+        if tau != 1.0:
+            v **= tau
+    return u, v
+
+
 def plan(a: np.ndarray, b: np.ndarray, cost: np.ndarray, s: Solver) -> np.ndarray:
     """[B, n, m] plans between measures a [B, n] and b [B, m]; cost is [n, m] or [B, n, m]."""
+    if cost.ndim == 2 and cost.max(initial=0.0) <= SAFE * s.epsilon:
+        kernel = np.exp(-cost / s.epsilon)
+        u, v = _scalings(a, b, kernel, s)
+        return u[:, :, None] * kernel * v[:, None, :]
     k = -np.broadcast_to(cost, (len(a), a.shape[1], b.shape[1])) / s.epsilon
     kt = np.ascontiguousarray(np.swapaxes(k, -1, -2))
     tau = s.reg_m / (s.reg_m + s.epsilon) if s.unbalanced else 1.0
@@ -95,9 +117,16 @@ def parts(a: np.ndarray, b: np.ndarray, cost: np.ndarray, s: Solver) -> dict[str
 
 
 def costs(a: np.ndarray, b: np.ndarray, cost: np.ndarray, s: Solver, most_cells: int = 1 << 21) -> np.ndarray:
-    """Cost of each pair, a bounded number of cells at a time."""
+    """Cost of each pair, a bounded number of cells at a time; where all pairs share a kernel no plan is ever laid out."""
+    if not len(a):
+        return np.zeros(0)
+    if cost.ndim == 2 and cost.max(initial=0.0) <= SAFE * s.epsilon:
+        kernel = np.exp(-cost / s.epsilon)
+        u, v = _scalings(a, b, kernel, s)
+        out = ((u @ (kernel * cost)) * v).sum(-1)
+        return out + s.reg_m * (_kl(u * (v @ kernel.T), a) + _kl(v * (u @ kernel), b)) if s.unbalanced else out
     step = max(1, most_cells // (a.shape[1] * b.shape[1]))
-    return np.concatenate([parts(a[i : i + step], b[i : i + step], cost, s)["cost"] for i in range(0, len(a), step)]) if len(a) else np.zeros(0)
+    return np.concatenate([parts(a[i : i + step], b[i : i + step], cost, s)["cost"] for i in range(0, len(a), step)])
 
 
 def self_costs(x: np.ndarray, cost: np.ndarray, s: Solver) -> np.ndarray:

@@ -148,9 +148,12 @@ def lex_negated_counts(spark, sf):
 
 def lex_vad_average(spark, sf):
     docs = _docs(spark, sf)
-    terms = _lexicon_terms(lexicon.demo_lexicon(docs))
+    terms = _lexicon_terms(lexicon.demo_lexicon(docs)).withColumns({c: F.round(F.col(c) * 100).cast("long") for c in "vad"})  # whole numbers add up exactly
     words = docs.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-    return features.vad_means(words, terms).select("doc_id", *_r("v", "a", "d"), "vad_hits")
+    means = features.vad_means(words, terms)
+    # Millionths by whole-number division, halves up, as engines round halves of doubles differently.
+    exact = [F.expr(f"(((cast(round({c} * vad_hits) as long) + 100 * vad_hits) * 20000 + vad_hits) div (2 * vad_hits) - 1000000) / 1000000.0D").alias(c) for c in "vad"]
+    return means.select("doc_id", *exact, "vad_hits")
 
 
 def lex_prototypes(spark, sf):

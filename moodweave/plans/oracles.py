@@ -106,7 +106,7 @@ ORACLES = {
     "range_merge_islands": "WITH r AS (SELECT user_id, floor(epoch(ts) / 3600)::BIGINT AS s, floor(epoch(ts) / 3600)::BIGINT + event_id % 30 AS e FROM events), f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM r), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT user_id, min(s) AS start, max(e) AS \"end\", count(*) AS n FROM g GROUP BY user_id, island",
     "lex_counts_prior": f"WITH {COUNTS} SELECT doc_id, emotion, round(count, 6) AS count, hits, round(cnt.count / sum(cnt.count) OVER (PARTITION BY doc_id), 6) AS prior FROM cnt",
     "lex_negated_counts": f"WITH {LEX}, m AS (SELECT doc_id, pos, term, max(CASE WHEN rank IN (10, 20) THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS neg, max(CASE WHEN rank IN (15, 25) THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS bound FROM tok LEFT JOIN rk USING (term)) SELECT doc_id, count(*) AS hits, count(*) FILTER (neg IS NOT NULL AND coalesce(bound, -1) < neg) AS negated_hits FROM m JOIN terms USING (term) GROUP BY doc_id",
-    "lex_vad_average": f"WITH {LEX} SELECT doc_id, round(avg(v), 6) AS v, round(avg(a), 6) AS a, round(avg(d), 6) AS d, count(*) AS vad_hits FROM tok JOIN terms USING (term) GROUP BY doc_id",
+    "lex_vad_average": f"WITH {LEX} SELECT doc_id, " + ", ".join(f"(((sum(round({c} * 100)::BIGINT)::BIGINT + 100 * count(*)) * 20000 + count(*)) // (2 * count(*)) - 1000000) / 1000000.0::DOUBLE AS {c}" for c in "vad") + ", count(*) AS vad_hits FROM tok JOIN terms USING (term) GROUP BY doc_id",
     "lex_prototypes": f"WITH {LEX} SELECT emotion, count(*) AS n, round(avg(v), 6) AS v, round(avg(a), 6) AS a, round(avg(d), 6) AS d FROM lex GROUP BY emotion",
     "lex_term_vad_conf": f"WITH {LEX}, {_CONF}, imp AS (SELECT term, 0 - v AS v, 0 - a AS a, 0 - d AS d, rank % 10 / 10 AS conf FROM terms WHERE rank % 7 = 0), j AS (SELECT vad.*, imp.v AS iv, imp.a AS ia, imp.d AS id, imp.conf AS iconf, imp.term IS NOT NULL AND imp.conf > vad.conf AS w FROM vad LEFT JOIN imp USING (term)) SELECT term, round(CASE WHEN w THEN iv ELSE v END, 6) AS v, round(CASE WHEN w THEN ia ELSE a END, 6) AS a, round(CASE WHEN w THEN id ELSE d END, 6) AS d, round(CASE WHEN w THEN iconf ELSE conf END, 6) AS conf, w::INT AS was_imputed FROM j",
     "lex_filters": f"WITH {LEX}, {_CONF}, voc2 AS (SELECT term FROM vad WHERE CASE WHEN length(term) % 2 = 0 THEN conf < 1 OR greatest(abs(v), least(greatest(a, 0), 1)) >= 0.45 ELSE abs(v) >= 0.45 AND least(greatest(a, 0), 1) >= 0.45 END) SELECT term, emotion, (term IN (SELECT term FROM voc2))::INT AS emotional FROM lex WHERE intensity >= 0.2 AND greatest(least(abs(v), 1), least(greatest(a, 0), 1)) >= 0.3 AND a >= -0.5",
@@ -117,6 +117,7 @@ ORACLES = {
     "score_chunk_to_doc": f"WITH {WINDOWS}, c AS (SELECT doc_id, len(w) AS body, CASE WHEN start = 0 THEN len(w) ELSE greatest(len(w) - 16, 1) END AS fresh, list_sum([length(t) FOR t IN w])::DOUBLE AS letters FROM win WHERE len(w) > 0) SELECT doc_id, count(*) AS n_chunks, sum(fresh)::BIGINT AS n_tokens, round(sum(letters / body * fresh) / sum(fresh), 6) AS mean_length, round(sum(letters * fresh / body), 6) AS letters FROM c GROUP BY doc_id",
     "measure_per_1k": f"WITH {PROF}{_RATES} SELECT doc_id, emotion, rate FROM rates",
     "ot_doc_neighbours": f"WITH RECURSIVE {MEASURED}, qs AS (SELECT q.doc_id AS i, r.doc_id AS j, q.x AS a, r.x AS b FROM xs q, xs r WHERE q.doc_id % 50 = 0 AND q.doc_id <> r.doc_id), pairs AS (SELECT * FROM qs UNION ALL SELECT j, i, b, a FROM qs WHERE NOT (j % 50 = 0) UNION ALL SELECT doc_id, doc_id, x, x FROM xs){SOLVED}, s AS (SELECT i, cost FROM cost WHERE i = j), d AS (SELECT c.i, c.j, (c.cost + r.cost) / 2 - s1.cost / 2 - s2.cost / 2 AS distance FROM cost c JOIN cost r ON c.i = r.j AND c.j = r.i JOIN s s1 ON s1.i = c.i JOIN s s2 ON s2.i = c.j WHERE c.i % 50 = 0 AND c.i <> c.j) SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d.distance, j) AS rank, round(distance, 6) AS distance FROM d QUALIFY rank <= 5",
+    "ot_compare_rows": f"WITH RECURSIVE {PROF}, xs AS (SELECT doc_id, [greatest(e / greatest(n_words, 1) * 1000, 1e-8) FOR e IN c] AS x, [e / greatest(n_words, 1) * 1000 FOR e IN c] AS raw FROM prof WHERE lex_hits > 0), qs AS (SELECT q.doc_id AS i, r.doc_id AS j, q.x AS a, r.x AS b FROM xs q, xs r WHERE q.doc_id % 50 = 0 AND q.doc_id <> r.doc_id), pairs AS (SELECT * FROM qs UNION ALL SELECT j, i, b, a FROM qs WHERE NOT (j % 50 = 0) UNION ALL SELECT doc_id, doc_id, x, x FROM xs){SOLVED}, s AS (SELECT i, cost FROM cost WHERE i = j), d AS (SELECT c.i, c.j, (c.cost + r.cost) / 2 - s1.cost / 2 - s2.cost / 2 AS distance FROM cost c JOIN cost r ON c.i = r.j AND c.j = r.i JOIN s s1 ON s1.i = c.i JOIN s s2 ON s2.i = c.j WHERE c.i % 50 = 0 AND c.i <> c.j), n AS (SELECT i, j, d.distance AS dist, row_number() OVER (PARTITION BY i ORDER BY d.distance, j) AS rank FROM d QUALIFY rank <= 3) SELECT i, j, rank, round(dist, 6) AS distance, round(abs(list_sum(y.raw) - list_sum(z.raw)), 6) AS mass_diff, list_position([abs(y.raw[k] - z.raw[k]) FOR k IN range(1, 9)], list_max([abs(y.raw[k] - z.raw[k]) FOR k IN range(1, 9)])) - 1 AS top_emotion FROM n JOIN xs y ON y.doc_id = j JOIN xs z ON z.doc_id = i",
     "ot_doc_unbalanced_parts": f"WITH RECURSIVE {MEAN}, pairs AS (SELECT doc_id AS i, -1 AS j, xs.x AS a, mean.x AS b FROM xs, mean UNION ALL SELECT -1, doc_id, mean.x, xs.x FROM xs, mean UNION ALL SELECT doc_id, doc_id, x, x FROM xs UNION ALL SELECT -1, -1, x, x FROM mean){SOLVED}, s AS (SELECT i, cost FROM cost WHERE i = j) SELECT c.i AS doc_id, round(c.transport, 6) AS transport, round(c.kl_a, 6) AS kl_a, round(c.kl_b, 6) AS kl_b, round(list_sum(c.a), 6) AS mass_a, round(list_sum(c.b), 6) AS mass_b, round(list_sum(c.pa), 6) AS mass_plan, round((c.cost + r.cost) / 2 - s.cost / 2 - (SELECT cost FROM s WHERE i = -1) / 2, 6) AS distance FROM cost c JOIN cost r ON r.i = -1 AND r.j = c.i JOIN s ON s.i = c.i WHERE c.j = -1 AND c.i <> -1",
     "ot_top_flows": f"WITH RECURSIVE {MEAN}, pairs AS (SELECT doc_id AS i, -1 AS j, xs.x AS a, mean.x AS b FROM xs, mean){SOLVED}, f AS (SELECT i, p, q, u[p] * v[q] * {_KAPPA} AS mass FROM cost, range(1, 9) t1(p), range(1, 9) t2(q) WHERE p <> q) SELECT i AS doc_id, row_number() OVER (PARTITION BY i ORDER BY f.mass DESC, p, q) AS rank, round(mass, 6) AS mass, round(f.mass, 6) AS contribution FROM f QUALIFY rank <= 3",
     "ot_style_deltas": f"WITH {PROF}, r AS (SELECT doc_id, unnest(range(8)) AS emotion, unnest([e / greatest(n_words, 1) * 1000 FOR e IN c]) AS rate FROM prof), m AS (SELECT emotion, avg(rate) AS m FROM r GROUP BY emotion), d AS (SELECT doc_id, emotion, round(rate - m, 6) AS delta FROM r JOIN m USING (emotion)) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(delta) DESC, emotion) AS rank, emotion, delta FROM d QUALIFY rank <= 3",

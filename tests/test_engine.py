@@ -158,7 +158,10 @@ def test_plans_match_scaling(mode):
     s = ot.Solver(mode, 0.3, 40, 0.5)
     a, b = s.prepare(rng.rand(5, 6)), s.prepare(rng.rand(5, 6))
     c = ot.vad_cost(rng.rand(6, 3))
-    assert np.allclose(ot.plan(a, b, c, s), [plain_plan(x, y, c, s) for x, y in zip(a, b, strict=True)])
+    want = [plain_plan(x, y, c, s) for x, y in zip(a, b, strict=True)]
+    assert np.allclose(ot.plan(a, b, c, s), want)
+    assert np.allclose(ot.plan(a, b, np.broadcast_to(c, (5, 6, 6)), s), want)  # in logarithms
+    assert np.allclose(ot.costs(a, b, c, s), ot.parts(a, b, np.broadcast_to(c, (5, 6, 6)), s)["cost"])
 
 
 def test_balanced_marginals_and_divergence():
