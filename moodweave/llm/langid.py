@@ -26,26 +26,33 @@ MOST_ROWS = 3000
 LANDMARKS = 192
 RIDGE = 1e-2
 _ROWS = 64
+_SEGMENT = 1 << 19
+#: ASCII case is folded and digits are alike.
+_FOLDED = tc.LOWER.astype(np.uint64)
+_FOLDED[48:58] = 48
 
 
 def presence(column: pa.Array) -> Iterator[np.ndarray]:
-    """Boolean matrices [documents, SLOTS] of the n-grams each whole text has, for up to _ROWS documents at a time."""
-    for _, _, data, off in tc.blocks(column, 1 << 19):
-        low = tc.LOWER[data].astype(np.uint64)
-        low[(data >= 48) & (data <= 57)] = 48  # digits are alike
+    """Boolean matrices [documents, SLOTS] of the n-grams each whole text has, for up to _ROWS documents at a time.
+
+    Bytes are taken _SEGMENT at a time, each segment with the n - 1 bytes after it, so memory doesn't grow with a text's length.
+    """
+    for _, _, data, off in tc.blocks(column, _SEGMENT):
         for first in range(0, len(off) - 1, _ROWS):
             o = off[first : min(first + _ROWS, len(off) - 1) + 1]
-            b = low[o[0] : o[-1]]
-            doc = np.repeat(np.arange(len(o) - 1), np.diff(o))
             seen = np.zeros((len(o) - 1) * SLOTS, bool)
-            acc = np.zeros(len(b), np.uint64)
-            for n in ORDERS:
-                if len(b) < n:
-                    break
-                acc = acc[: len(b) - n + 1] * np.uint64(257) + b[n - 1 :] + np.uint64(1)
-                whole = doc[: len(b) - n + 1] == doc[n - 1 :]
-                slot = ((acc + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
-                seen[(doc[: len(b) - n + 1] * SLOTS + slot.astype(np.int64))[whole]] = True
+            for start in range(int(o[0]), int(o[-1]), _SEGMENT):
+                stop = min(start + _SEGMENT + max(ORDERS) - 1, int(o[-1]))
+                low = _FOLDED[data[start:stop]]
+                doc = np.repeat(np.arange(len(o) - 1), np.diff(np.clip(o, start, stop)))
+                acc = np.zeros(len(low), np.uint64)
+                for n in ORDERS:
+                    if len(low) < n:
+                        break
+                    acc = acc[: len(low) - n + 1] * np.uint64(257) + low[n - 1 :] + np.uint64(1)
+                    whole = doc[: len(low) - n + 1] == doc[n - 1 :]
+                    slot = ((acc + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
+                    seen[(doc[: len(low) - n + 1] * SLOTS + slot.astype(np.int64))[whole]] = True
             yield seen.reshape(-1, SLOTS)
 
 

@@ -84,13 +84,13 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     The plan is found again for each document by its key, source and size, in one equi-join; documents equal in all three share
     the plan rows among them in any order.  Columns stay as they are (n_chars, where there is one, follows the text).
     """
-    plan = plan_mix(docs, key, text, source, **how).select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n"), "whole", "extra")
+    plan = plan_mix(docs, key, text, source, **how).select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("whole").alias("__whole"), F.col("extra").alias("__extra"))
     same = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in (F.col(key), F.col(source))]
-    plan = plan.groupBy(F.coalesce(F.col("__k").cast("string"), F.lit("\u0000")).alias("__k"), F.coalesce(F.col("__s"), F.lit("\u0000")).alias("__s"), "__n").agg(F.sum("whole").alias("whole"), F.sort_array(F.collect_list("extra"), False).alias("extras"))
+    plan = plan.groupBy(F.coalesce(F.col("__k").cast("string"), F.lit("\u0000")).alias("__k"), F.coalesce(F.col("__s"), F.lit("\u0000")).alias("__s"), "__n").agg(F.sum("__whole").alias("__whole"), F.sort_array(F.collect_list("__extra"), False).alias("__extras"))
     rows = docs.withColumns({"__k": same[0], "__s": same[1], "__n": word_count(F.col(text))})
     nth = F.row_number().over(Window.partitionBy("__k", "__s", "__n").orderBy(F.xxhash64(text)))
     rows = rows.join(plan, ["__k", "__s", "__n"]).withColumn("__nth", nth)
-    extra, whole = F.col("extras")[F.col("__nth") - 1], (F.col("whole") / F.size("extras")).cast("int")
+    extra, whole = F.col("__extras")[F.col("__nth") - 1], (F.col("__whole") / F.size("__extras")).cast("int")
     takes = F.filter(F.concat(F.array_repeat(F.col("__n"), whole), F.array(extra)), lambda n: n > 0)
     rows = rows.withColumn("__take", F.explode(takes))
     cut = F.regexp_extract(F.col(text), r"^[\x20\x09-\x0D]*", 0)

@@ -131,7 +131,7 @@ def postings(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text: st
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__key, kinds): for each document that some indexed rule may match, which ones.
+    """(__key, __kinds): for each document that some indexed rule may match, which ones.
 
     Postings are combined by document, rule and clause, so a trigram that most documents hold makes no large group.
     """
@@ -140,7 +140,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
     index = postings(docs, sorted({w[2] for w in wanted}), key, text)
     hits = index.join(F.broadcast(terms), "trigram")  # as many rows as the rules have trigrams
     full = hits.groupBy("__key", "kind", "clause", "need").agg(F.countDistinct("trigram").alias("have")).where("have = need")
-    return full.groupBy("__key").agg(F.collect_set("kind").alias("kinds"))
+    return full.groupBy("__key").agg(F.collect_set("kind").alias("__kinds"))
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -182,14 +182,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
         found = settle(candidates(docs, indexed, key, text), "secret-candidates")
         docs = docs.join(found, docs[key].eqNullSafe(found["__key"]), "left").drop("__key")
     else:
-        docs = docs.withColumn("kinds", F.lit(None).cast("array<string>"))
+        docs = docs.withColumn("__kinds", F.lit(None).cast("array<string>"))
     parts = []
     for rank, rule in enumerate(rules):
-        runs = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
+        runs = F.array_contains("__kinds", rule.kind) if rule in indexed else F.lit(True)
         if rule.prefilter:
             runs = runs & own.rlike(rule.prefilter)
         parts.append(_ranked(F.when(F.coalesce(runs, F.lit(False)), spans(own, rule)).otherwise(none), rank, rule.kind))
-    return docs.withColumn(name, F.array_sort(F.concat(*parts))).drop("kinds")
+    return docs.withColumn(name, F.array_sort(F.concat(*parts))).drop("__kinds")
 
 
 def listed(found: Column) -> Column:

@@ -25,6 +25,9 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_made: list[tuple[str, str]] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and the planner knows the true size."""
     spark = df.sparkSession
@@ -32,9 +35,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    _made.append((spark.sparkContext.applicationId, path))
     return out
 
 
+def sweep(spark: SparkSession) -> int:
+    """Remove all tables that this application has settled; results that still read them must have been written or collected."""
+    mine = [p for app, p in _made if app == spark.sparkContext.applicationId]
+    for path in mine:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made[:] = [x for x in _made if x[1] not in mine]
+    return len(mine)
+
+
 def is_small(df: DataFrame, row_bytes: int = 48) -> bool:
     """Whether df's rows, of about row_bytes each, stay within the size up to which Spark broadcasts by itself."""
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().removesuffix("b")

@@ -91,13 +91,20 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, the same wherever the span stands."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    p, pinv = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], dtype=U64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * pinv[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte span, the same wherever the span stands.  Spans are in order and don't overlap; they are taken about
+    BLOCK_BYTES at a time, so a very long document needs no more memory than a block."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+        low, a, b = starts[i], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        part = data[low : ends[j - 1]]
+        p, pinv = _power_tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum((part.astype(U64) + U64(1)) * p[: len(part)], dtype=U64, out=sums[1:])
+        out[i:j] = mix((sums[b] - sums[a]) * pinv[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def shingles(hashes: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

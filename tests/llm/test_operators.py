@@ -36,7 +36,9 @@ def odd_docs(spark):
     """Nulls in every column, an empty and a long text, a repeated row, a clashing extra column."""
     long = " ".join(words(1, 30_000))
     rows = [(1, "a b c d e f", "en", "x", 11, 0.5), (1, "a b c d e f", "en", "x", 11, 0.5), (None, "null key here", "en", None, 13, None), (2, None, None, None, None, 0.1), (3, "", "fr", "x", 0, 0.1), (4, long, "de", "y", len(long), 0.2), (5, "été à l'œuvre", "fr", "y", 13, 0.3), (6, " \n\t ", None, "y", 4, 0.3)]
-    return spark.createDataFrame(rows, DOCS + ", score double")
+    clashing = "kinds whole extras extra bin draw same text_ __said part h toxic bands component_id".split()
+    rows = [(*r, *["clash"] * len(clashing)) for r in rows]
+    return spark.createDataFrame(rows, DOCS + ", score double" + "".join(f", {c} string" for c in clashing))
 
 
 # --- text core
@@ -54,6 +56,18 @@ def test_words_and_hashes_do_not_depend_on_place():
     assert seen[1] == seen[5][::-1] and seen[3][0] == seen[1][1] == seen[6][1]
 
 
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    text = " ".join(words(1, 3000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = tc.words(data, np.array([0, len(data)]), tc.NOT_SPACE)
+    whole, seen = tc.span_hashes(data, starts, ends), list(langid.presence(pa.array([text, "ab", text])))[0]
+    monkeypatch.setattr(tc, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(langid, "_SEGMENT", 101)
+    assert (tc.span_hashes(data, starts, ends) == whole).all()
+    parts = np.concatenate(list(langid.presence(pa.array([text, "ab", text]))))
+    assert (parts == seen).all()
+
+
 def test_shingles_of_short_documents():
     h = np.arange(1, 9, dtype=np.uint64)
     got, off = tc.shingles(h, np.array([0, 5, 5, 7, 8]), 5)
