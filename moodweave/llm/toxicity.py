@@ -26,7 +26,8 @@ from . import textcore as tc
 
 ORDER = 5
 SHARED_ORDER = 3
-DISCOUNT = 0.9
+#: What each count gives up to the lower order: all of it where only one document has the gram, which is no evidence yet.
+DISCOUNT = 1.0
 SLOTS = 1 << 21
 MOST_ROWS = 40_000
 THRESHOLD = 0.3
@@ -114,11 +115,15 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal grams by class, of the distinct words of each document: a document that repeats a word says no more than one that has it."""
     for batch in batches:
         cls = batch.column("toxic").to_numpy(zero_copy_only=False)
         for first, end, data, off in tc.blocks(batch.column("text"), 4 << 20):
             starts, ends, woff = tc.words(data, off, tc.ALNUM)
-            of = np.repeat(cls[first:end], np.diff(woff))
+            doc = np.repeat(np.arange(end - first), np.diff(woff))
+            word = tc.mix(tc.span_hashes(tc.LOWER[data], starts, ends) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            once = np.sort(np.unique(word, return_index=True)[1])  # a word counts once a document
+            starts, ends, of = starts[once], ends[once], cls[first:end][doc[once]]
             for c in (0, 1):
                 key, n = np.unique(maximal_grams(data, starts[of == c], ends[of == c]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), c, np.int32)), pa.array(n)], names=["gram", "cls", "n"])
@@ -155,11 +160,11 @@ def build(gram: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Model:
             slots.append((k, np.log(probability[1][1] / probability[1][0]), k))
             continue
         context, of = np.unique(k >> np.uint64(8), return_inverse=True)
-        total, types = np.zeros((2, len(context))), np.zeros((2, len(context)))
+        total, taken = np.zeros((2, len(context))), np.zeros((2, len(context)))
         for row in (0, 1):
             np.add.at(total[row], of, c[row])
-            np.add.at(types[row], of, c[row] > 0)
-        weight = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
+            np.add.at(taken[row], of, np.minimum(c[row], DISCOUNT))
+        weight = np.where(total > 0, taken / np.maximum(total, 1), 1.0)
         lower_keys = levels[order - 1][0]
         suffix = k & np.uint64((1 << (8 * (order - 1))) - 1)
         at = np.minimum(np.searchsorted(lower_keys, suffix), len(lower_keys) - 1)
