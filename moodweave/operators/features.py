@@ -22,6 +22,22 @@ def negated(tokens: DataFrame, negators: Column, boundaries: Column, window: int
     return tokens.withColumn("negated", last_negator.isNotNull() & (F.coalesce(last_boundary, F.lit(-1)) < last_negator))
 
 
+def negated_places(words: Column, negators: list[str], boundaries: list[str], window: int) -> Column:
+    """array<int>: places (from 0) of an array of words that `negated` would mark, found inside the row: each negator masks the words
+    after it until a boundary.  Work follows the number of negators, and nothing is shuffled."""
+    among = lambda x, listed: F.array_contains(F.array(*map(F.lit, listed)), x) if listed else F.lit(False)
+    numbered = F.transform(words, lambda w, i: F.when(among(w, negators), i))
+    starts = F.array_compact(numbered)
+
+    def masked(at: Column) -> Column:
+        after = F.slice(words, at + 2, F.lit(window))
+        stop = F.array_position(F.transform(after, lambda w: among(w, boundaries)), True)
+        n = F.when(stop > 0, stop - 1).otherwise(F.size(after)).cast("int")
+        return F.when(n > 0, F.sequence(at + 1, at + n)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(starts, masked)))
+
+
 def is_negator(term: Column, following: Column, extra: tuple[str, ...] = ("not", "no", "never", "without", "nor", "neither")) -> Column:
     """Listed words and those in -n't; not "not" before a word such as "only"."""
     listed = term.isin(*extra) | (term.endswith("n't") & (F.length(term) > 3))

@@ -138,11 +138,13 @@ def lex_counts_prior(spark, sf):
 
 def lex_negated_counts(spark, sf):
     docs = _docs(spark, sf)
-    marks = lexicon.stop_words(docs)
-    tokens = lexicon.token_table(docs).join(F.broadcast(marks), "term", "left")
-    scoped = features.negated(tokens, F.coalesce(F.col("rank").isin(10, 20), F.lit(False)), F.coalesce(F.col("rank").isin(15, 25), F.lit(False)), 3)
+    listed = {r["rank"]: r["term"] for r in lexicon.stop_words(docs).collect()}  # STOP_RANKS terms
+    pick = lambda *ranks: [listed[r] for r in ranks if r in listed]
+    words = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    words = words.withColumn("masked", features.negated_places(F.col("w"), pick(10, 20), pick(15, 25), 3))
     terms = lexicon.demo_lexicon(docs).select("term").distinct()
-    hit = scoped.join(F.broadcast(terms), "term", "left_semi")
+    each = words.select("doc_id", "masked", F.posexplode("w").alias("pos", "term"))
+    hit = each.join(F.broadcast(terms), "term", "left_semi").select("doc_id", F.array_contains("masked", F.col("pos")).alias("negated"))
     return hit.groupBy("doc_id").agg(F.count("*").alias("hits"), F.count_if("negated").alias("negated_hits"))
 
 

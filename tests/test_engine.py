@@ -111,6 +111,18 @@ def test_negation_scope(spark):
     assert [r["pos"] for r in m.where("negated").orderBy("pos").collect()] == [3]
 
 
+def test_negation_inside_rows_equals_the_window_form(spark):
+    r = random.Random(7)
+    rows = [(i, [r.choice(["not", "never", "but", "a", "b", "c"]) for _ in range(r.randrange(30))]) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    t = d.select("doc_id", F.posexplode("w").alias("pos", "term"))
+    for window in (1, 3, 5):
+        m = features.negated(t, F.col("term").isin("not", "never"), F.col("term") == "but", window)
+        want = {(x["doc_id"], x["pos"]) for x in m.where("negated").collect()}
+        got = d.select("doc_id", F.explode(features.negated_places(F.col("w"), ["not", "never"], ["but"], window)).alias("pos")).collect()
+        assert {(x["doc_id"], x["pos"]) for x in got} == want
+
+
 def test_longest_matches(spark):
     d = spark.createDataFrame([(1, "not very happy man happy".split()), (2, None)], "doc_id long, tokens array<string>")
     got = features.longest_matches(d, {"happy": "joy", "very happy": "joy", "not very happy": "sadness"}, ("not",), 2).collect()
