@@ -20,16 +20,28 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
+def let(body, **values: Column) -> Column:
+    """body of a struct of the values, each of which is then evaluated once, however often body names it, lambdas included."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def normalise(x: Column) -> Column:
     """Divided by the sum; uniform where the sum isn't positive."""
-    s = total(x)
-    return F.when(s > 0, F.transform(x, lambda v: v / s)).otherwise(F.transform(x, lambda _: F.lit(1.0) / F.size(x)))
+
+    def divide(t: Column) -> Column:
+        return F.when(t["s"] > 0, F.transform(t["x"], lambda v: v / t["s"])).otherwise(F.transform(t["x"], lambda _: F.lit(1.0) / F.size(t["x"])))
+
+    return let(lambda t: let(divide, x=t["x"], s=total(t["x"])), x=x)
 
 
 def entropy(p: Column) -> Column:
     """Entropy over that of the uniform distribution; 0 for a single outcome."""
-    h = F.aggregate(p, F.lit(0.0), lambda s, v: s - F.greatest(v, F.lit(FLOOR)) * F.ln(F.greatest(v, F.lit(FLOOR))))
-    return F.when(F.size(p) > 1, h / F.ln(F.size(p).cast("double"))).otherwise(0.0)
+
+    def of(t: Column) -> Column:
+        h = F.aggregate(t["p"], F.lit(0.0), lambda s, v: s - F.greatest(v, F.lit(FLOOR)) * F.ln(F.greatest(v, F.lit(FLOOR))))
+        return F.when(F.size(t["p"]) > 1, h / F.ln(F.size(t["p"]).cast("double"))).otherwise(0.0)
+
+    return let(of, p=p)
 
 
 def per_thousand(x: Column, n: Column) -> Column:
@@ -38,11 +50,19 @@ def per_thousand(x: Column, n: Column) -> Column:
 
 def blend(guess: Column, lexicon: Column, prior: Column, n_words: Column, half_at: float) -> Column:
     """struct<counts, strength>: counts drawn to the lexicon's by s = L / (L + half_at), L lexicon hits per 1,000 words."""
-    rate = total(lexicon) / F.greatest(n_words, F.lit(1)) * 1000
-    s = F.when(rate > 0, rate / (rate + max(half_at, 1e-6))).otherwise(0.0)
-    mixed = normalise(F.zip_with(normalise(guess), normalise(prior), lambda g, p: (1 - s) * g + s * p))
-    mass = (1 - s) * total(guess) + s * total(lexicon)
-    return F.struct(F.when(s > 0, F.transform(mixed, lambda v: v * mass)).otherwise(guess).alias("counts"), s.alias("strength"))
+
+    def strength(t: Column) -> Column:
+        rate = t["found"] / F.greatest(t["n"], F.lit(1)) * 1000
+        s = F.when(rate > 0, rate / (rate + max(half_at, 1e-6))).otherwise(0.0)
+        return let(mixed, guess=t["guess"], guessed=total(t["guess"]), found=t["found"], g=normalise(t["guess"]), p=normalise(t["prior"]), s=s)
+
+    def mixed(t: Column) -> Column:
+        m = normalise(F.zip_with(t["g"], t["p"], lambda g, p: (1 - t["s"]) * g + t["s"] * p))
+        mass = (1 - t["s"]) * t["guessed"] + t["s"] * t["found"]
+        counts = let(lambda u: F.transform(u["m"], lambda v: v * u["mass"]), m=m, mass=mass)
+        return F.struct(F.when(t["s"] > 0, counts).otherwise(t["guess"]).alias("counts"), t["s"].alias("strength"))
+
+    return let(strength, guess=guess, prior=prior, found=total(lexicon), n=n_words)
 
 
 def noisy_or(p: Column) -> Column:

@@ -90,8 +90,14 @@ def text_repeated_lines(spark, sf):
     return rows.groupBy("doc_id", "norm").agg(F.count("*").alias("n")).where("n >= 3")
 
 
+def _windows(spark, sf) -> DataFrame:
+    """(doc_id, w) of each document's windows; words are a column of their own first, as a lambda would find them anew each time."""
+    words = _docs(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("words"))
+    return words.select("doc_id", F.explode(tx.windows(F.col("words"), 64, 16)).alias("w"))
+
+
 def text_token_windows(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.explode(tx.windows(tx.tokens(F.col("text")), 64, 16)).alias("w"))
+    rows = _windows(spark, sf)
     words = F.col("w.words")
     return rows.select("doc_id", F.col("w.start").cast("long").alias("start"), F.size(words).cast("long").alias("n_tokens"), F.try_element_at(words, F.lit(1)).alias("first_term"), F.try_element_at(words, F.lit(-1)).alias("last_term"))
 
@@ -213,7 +219,7 @@ def score_signal_gate(spark, sf):
 
 
 def score_chunk_to_doc(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.explode(tx.windows(tx.tokens(F.col("text")), 64, 16)).alias("w"))
+    rows = _windows(spark, sf)
     body = F.size("w.words")
     new = F.when(F.col("w.start") == 0, body).otherwise(F.greatest(body - 16, F.lit(1)))
     letters = F.aggregate("w.words", F.lit(0), lambda s, t: s + F.length(t))
