@@ -73,6 +73,7 @@ def cosine_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str
 def against_mean(profiles: DataFrame, cost: np.ndarray, solver: ot.Solver, k: int = 3, vector: str = "x", key: str = "doc_id") -> DataFrame:
     """Each document's transport to the mean measure: cost parts, the divergence and the k largest flows off the diagonal."""
     width = len(cost)
+    profiles = settle(profiles.select(key, vector), "mean-rows")  # read twice
     means = profiles.agg(*[F.avg(F.col(vector)[i]).alias(str(i)) for i in range(width)]).first()
     mean = solver.prepare(np.array([[means[str(i)] or 0.0 for i in range(width)]]))
     mean_self = ot.self_costs(mean, cost, solver)
