@@ -26,14 +26,18 @@ def idf(tokens: DataFrame, n_docs: int | None = None) -> DataFrame:
     return df.withColumn("idf", F.ln((F.lit(1.0) + n) / (1 + F.col("df"))) + 1)
 
 
-def weighted_terms(docs: DataFrame, n_docs: int, k: int, least_length: int = 2, weights: DataFrame | None = None, default_weight: float = 1.0) -> DataFrame:
+def weighted_terms(docs: DataFrame, n_docs: int, k: int, least_length: int = 2, weights: DataFrame | None = None, default_weight: float = 1.0, vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, tf, w, rank): each document's k terms of the highest tf-idf, ties to the later term.
 
-    With term weights, terms are ranked by weighted tf-idf but w stays without them, to be multiplied by `term_weight` later.
+    With a vocabulary (a lexicon's `term`s, broadcast), only its terms are counted, before any is ranked.  With term weights, terms
+    are ranked by weighted tf-idf but w stays without them, to be multiplied by `term_weight` later.
     Counting is per document row before the exchange on terms; the join to frequencies is by term and Spark splits skewed ones.
     """
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['-]\p{L}+)*"), F.lit(0)), lambda t: F.length(t) >= least_length)
-    counts = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counts = docs.select("doc_id", F.explode(words).alias("term"))
+    if vocabulary is not None:
+        counts = counts.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
+    counts = counts.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = document_frequency(docs, least_length)
     w = F.col("tf") * (F.ln((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1)
     rows = counts.join(df, "term").select("doc_id", "term", "tf", w.alias("w"))
@@ -45,11 +49,16 @@ def weighted_terms(docs: DataFrame, n_docs: int, k: int, least_length: int = 2,
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def build_clouds(terms: DataFrame, vad: DataFrame) -> DataFrame:
-    """(doc_id, terms, w, x, conf): each document's cloud; terms without values have confidence 0 and stand at the origin."""
+def build_clouds(terms: DataFrame, vad: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, terms, w, x, conf): each document's cloud; terms without values have confidence 0 and stand at the origin.
+
+    With docs, those without terms are kept and have empty clouds.
+    """
     rows = terms.join(vad.select("term", F.array("v", "a", "d").alias("x"), "conf"), "term", "left")
     one = F.struct("rank", "term", (F.col("w") * F.col("term_weight")).alias("w"), F.coalesce("x", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))).alias("x"), F.coalesce("conf", F.lit(0.0)).alias("conf"))
     packed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
+    if docs is not None:
+        packed = docs.select("doc_id").distinct().join(packed, "doc_id", "left").withColumn("t", F.coalesce("t", F.array().cast(packed.schema["t"].dataType)))
     return packed.select("doc_id", *[F.col(f"t.{c}").alias("terms" if c == "term" else c) for c in ("term", "w", "x", "conf")])
 
 
@@ -59,7 +68,7 @@ def centroids(clouds: DataFrame) -> DataFrame:
     axis = lambda i: F.aggregate(F.zip_with("w", "x", lambda w, x: w * x[i]), F.lit(0.0), lambda a, b: a + b) / s
     mean = F.array(axis(0), axis(1), axis(2))
     norm = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda a, b: a + b * b))
-    return clouds.select("doc_id", F.transform(mean, lambda v: v / F.greatest(norm, F.lit(1e-12))).alias("centroid"))
+    return clouds.where(F.size("terms") > 0).select("doc_id", F.transform(mean, lambda v: v / F.greatest(norm, F.lit(1e-12))).alias("centroid"))
 
 
 def cloud_distance(a: dict, b: dict, solver: ot.Solver, self_a: float, self_b: float, fill: float = 1.0) -> tuple[float, dict]:

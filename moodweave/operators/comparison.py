@@ -59,15 +59,17 @@ def explain_pair(scores: DataFrame, i, j, cost: np.ndarray, cfg: Config = Config
 
 
 def compare_clouds(docs: DataFrame, vad: DataFrame, queries: Column, cfg: Config = Config(), weights: DataFrame | None = None, candidates: int = 50) -> DataFrame:
-    """(query, id, rank, distance, flows): neighbours of the query documents by transport between term clouds, of candidates by centroid."""
-    terms = clouds.weighted_terms(docs, docs.count(), cfg.max_terms, cfg.min_token_len, weights)
-    cloud = clouds.build_clouds(terms.join(F.broadcast(vad.select("term")), "term", "left_semi"), vad)  # a lexicon
+    """(query, id, rank, distance, flows): neighbours of the query documents by transport between term clouds, of candidates by centroid; a query without terms is a row without a neighbour."""
+    terms = clouds.weighted_terms(docs, docs.count(), cfg.max_terms, cfg.min_token_len, weights, vocabulary=vad)
+    cloud = clouds.build_clouds(terms, vad, docs)
     pairs = clouds.candidate_pairs(cloud, queries, max(candidates, cfg.top_k))
     solved = clouds.compare_pairs(pairs, cloud, ot.Solver("sinkhorn_divergence", cfg.epsilon, cfg.iterations), cfg.top_flows)
     turned = F.transform("flows", lambda f: F.struct(f["to"].alias("from"), f["from"].alias("to"), f["mass"].alias("mass"), f["contribution"].alias("contribution")))
     both = solved.select(F.col("i").alias("query"), F.col("j").alias("id"), "distance", "flows").unionByName(solved.select(F.col("j").alias("query"), F.col("i").alias("id"), "distance", turned.alias("flows")))
     asked = cloud.select(F.col("doc_id").alias("id")).where(queries).select(F.col("id").alias("query"))
-    return top_per_group(both.join(asked, "query", "left_semi"), "query", cfg.top_k, F.col("distance"), F.col("id"))
+    near = top_per_group(both.join(asked, "query", "left_semi"), "query", cfg.top_k, F.col("distance"), F.col("id"))
+    alone = cloud.where(F.size("terms") == 0).select(F.col("doc_id").alias("query")).join(asked, "query", "left_semi")
+    return near.unionByName(alone, allowMissingColumns=True)
 
 
 def group_shift(tokens: DataFrame, group: str, vad: DataFrame, cfg: Config = Config()) -> dict:

@@ -410,13 +410,13 @@ def lex_phrase_matches(spark, sf):
 
 def ot_token_clouds(spark, sf):
     docs = _docs(spark, sf)
-    lex = lexicon.demo_lexicon(docs)
-    terms = clouds.weighted_terms(docs, docs.count(), 24)
-    vocab = _base_vad(lex)
-    cloud = clouds.build_clouds(terms.join(F.broadcast(vocab.select("term")), "term", "left_semi"), vocab)
+    vocab = _base_vad(lexicon.demo_lexicon(docs))
+    terms = clouds.weighted_terms(docs, docs.count(), Config().max_terms, vocabulary=vocab)
+    cloud = clouds.build_clouds(terms, vocab, docs)
     pairs = clouds.candidate_pairs(cloud, F.col("id") % 50 == 0, 10)
     out = clouds.compare_pairs(pairs, cloud, ot.Solver("sinkhorn_divergence"), 3)
-    return out.select("i", "j", *_r("distance"), F.size("flows").cast("long").alias("n_flows"))
+    alone = cloud.where((F.col("doc_id") % 50 == 0) & (F.size("terms") == 0)).select(F.col("doc_id").alias("i"))
+    return out.unionByName(alone, allowMissingColumns=True).select("i", "j", *_r("distance"), F.coalesce(F.size("flows"), F.lit(0)).cast("long").alias("n_flows"))
 
 
 def text_excerpts(spark, sf):

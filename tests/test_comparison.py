@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from moodweave import cli, config
 from moodweave.functions import labels as lb
 from moodweave.functions import text as tx
-from moodweave.operators import comparison, models, sampling
+from moodweave.operators import clouds, comparison, models, sampling
 from moodweave.operators import transport as ot
 
 
@@ -40,6 +40,16 @@ def test_compare_clouds_and_groups(spark):
     assert out["groups"] == ["false", "true"] and out["distance"] > 0.1 and out["flows"][0]["from"] in ("happy", "glad")
 
 
+def test_clouds_rank_lexicon_terms_only(spark):
+    """Rare words outside the lexicon took the places of a cloud; documents without terms vanished."""
+    docs = spark.createDataFrame([(0, "zyx wvu tsr happy sad"), (1, "happy sad qpo nml"), (2, "kji hgf"), (3, None)], "doc_id long, text string")
+    vad = spark.createDataFrame([("happy", 0.9, 0.5, 0.5, 1.0), ("sad", -0.8, 0.3, 0.2, 1.0)], "term string, v double, a double, d double, conf double")
+    terms = clouds.weighted_terms(docs, 4, 2, vocabulary=vad)
+    assert sorted((r["doc_id"], r["term"]) for r in terms.collect()) == [(0, "happy"), (0, "sad"), (1, "happy"), (1, "sad")]
+    near = comparison.compare_clouds(docs, vad, F.lit(True), config.Config(max_terms=2)).collect()
+    assert {(r["query"], r["id"]) for r in near} == {(0, 1), (1, 0), (2, None), (3, None)}
+
+
 def test_exact_transport_is_the_least(spark):
     rng = np.random.RandomState(4)
     cost = rng.rand(3, 3)
