@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
 from . import transport as ot
 from .lexicon import document_frequency
 
@@ -110,6 +111,106 @@ def compare_pairs(pairs: DataFrame, clouds: DataFrame, solver: ot.Solver = ot.So
     return both.mapInPandas(solve, "i long, j long, distance double, flows array<struct<from:string,to:string,mass:double,contribution:double>>")
 
 
+def _costs_to_all(q: dict, first: np.ndarray, points: np.ndarray, places: list[np.ndarray], weights: list[np.ndarray], solver: ot.Solver, fill: float) -> np.ndarray:
+    """Transport cost between a cloud and each of many, whose terms are places in a table of distinct points (v, a, d, conf).
+
+    first[i]: the query is the side that plans start from.  The clouds come in order of size, so few cells of a block are padding.
+    """
+    cost = ot.term_vad_cost(points[:, :3], q["x"], points[:, 3], q["conf"], fill)
+    if cost.max() > ot.SAFE * solver.epsilon:
+        out = np.empty(len(places))
+        for i, (at, w) in enumerate(zip(places, weights, strict=True)):
+            a, b, c = (q["w"][None], w[None], cost[at].T) if first[i] else (w[None], q["w"][None], cost[at])
+            out[i] = ot.parts(a, b, c, solver)["cost"][0]
+        return out
+    padded = np.zeros((1, cost.shape[1]))
+    kernel = np.vstack([np.exp(-cost / solver.epsilon), padded])
+    moved = kernel * np.vstack([cost, padded])
+    out, least = np.empty(len(places)), np.finfo(float).tiny
+    for side in (True, False):
+        mine = np.flatnonzero(first == side)
+        start = 0
+        while start < len(mine):
+            stop = start + 1
+            while stop < len(mine) and (stop + 1 - start) * len(places[mine[stop]]) * len(q["w"]) <= BLOCK_CELLS:
+                stop += 1
+            part = mine[start:stop]
+            m = max(len(places[i]) for i in part)
+            at, w = np.full((len(part), m), len(points)), np.zeros((len(part), 1, m))
+            for r, i in enumerate(part):
+                at[r, : len(places[i])], w[r, 0, : len(places[i])] = places[i], weights[i]
+            k = kernel[at]
+            kt = k.transpose(0, 2, 1)
+            v = np.ones((len(part), 1, m if side else len(q["w"])))
+            for _ in range(solver.iterations):
+                if side:
+                    u = q["w"] / (v @ k)
+                    v = w / np.maximum(u @ kt, least)
+                else:
+                    u = w / np.maximum(v @ kt, least)
+                    v = q["w"] / (u @ k)
+            d, e = (v, u) if side else (u, v)
+            out[part] = ((d @ moved[at]) * e).sum((1, 2))
+            start = stop
+    return out
+
+
+#: Rows of a batch that meets a block of queries in one task, and cells of the plans that are solved at once (about what a cache holds).
+BATCH_ROWS, BLOCK_CELLS = 512, 1 << 16
+
+
+def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), fill: float = 1.0) -> DataFrame:
+    """(query, id, distance, rank): the k nearest clouds of each query document among all others, ties by id; empty clouds take no part.
+
+    Every query is solved against every cloud: blocks of queries meet batches of clouds, as in `neighbours`, and distances are those
+    of `compare_pairs`, where plans start from the document of the lesser id.  Masses balance.
+    """
+    from .neighbours import BLOCK
+
+    if solver.unbalanced:
+        raise ValueError("clouds are compared with balanced masses")
+
+    def prepare(it):
+        for pdf in it:
+            selves, weights = [], []
+            for w, x, conf in zip(pdf["w"], pdf["x"], pdf["conf"], strict=True):
+                c = {"w": np.asarray(w, float), "x": np.stack(x).astype(float), "conf": np.asarray(conf, float)}
+                selves.append(self_cost(c, solver, fill))
+                weights.append(solver.prepare(c["w"]))
+            yield pd.DataFrame({"id": pdf["id"], "w": weights, "p": [np.column_stack([np.stack(x), c]).ravel() for x, c in zip(pdf["x"], pdf["conf"], strict=True)], "self_cost": selves})
+
+    full = clouds.where(F.size("terms") > 0).select(F.col("doc_id").alias("id"), "w", "x", "conf")
+    rows = settle(full.mapInPandas(prepare, "id long, w array<double>, p array<double>, self_cost double"), "cloud-rows")
+    picked = rows.where(queries)
+    columns = ("id", "w", "p", "self_cost")
+    n_blocks, n_batches = max(1, -(-picked.count() // BLOCK)), max(1, -(-rows.count() // BATCH_ROWS))
+    blocks = picked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(*[F.collect_list(c).alias(f"q_{c}") for c in columns])
+    batches = rows.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_batches)).alias("batch")).agg(*[F.collect_list(c).alias(c) for c in columns])
+    met = batches.join(blocks, how="cross").repartition(min(n_blocks * n_batches, 4096), F.col("batch"), F.col("block"))
+
+    def nearest(it):
+        for pdf in it:
+            for _, r in pdf.iterrows():
+                order = np.argsort([len(w) for w in r["w"]], kind="stable")
+                ids, s = np.asarray(r["id"])[order], np.asarray(r["self_cost"], float)[order]
+                weights = [np.asarray(r["w"][i], float) for i in order]
+                points, at = np.unique(np.concatenate([np.asarray(r["p"][i], float).reshape(-1, 4) for i in order]), axis=0, return_inverse=True)
+                places = np.split(at.ravel(), np.cumsum([len(w) for w in weights])[:-1])
+                out = []
+                for q, w, p, qs in zip(r["q_id"], r["q_w"], r["q_p"], r["q_self_cost"], strict=True):
+                    p = np.asarray(p, float).reshape(-1, 4)
+                    d = _costs_to_all({"w": np.asarray(w, float), "x": p[:, :3], "conf": p[:, 3]}, q < ids, points, places, weights, solver, fill) - (s + qs) / 2
+                    d[ids == q] = np.inf
+                    best = np.lexsort((ids, d))[:k]
+                    best = best[np.isfinite(d[best])]
+                    out.append(pd.DataFrame({"query": q, "id": ids[best], "distance": d[best]}))
+                yield pd.concat(out)
+
+    near = met.drop("batch", "block").mapInPandas(nearest, "query long, id long, distance double")
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def candidate_pairs(clouds: DataFrame, queries: Column, k: int = 50) -> DataFrame:
     """(i, j), i < j: for each query document the k of the nearest centroids by cosine."""
     from .neighbours import cosine_neighbours

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.vectors import align
+from ..storage import settle
 from . import clouds, measures, neighbours
 from . import transport as ot
 from .lexicon import EMOTIONS
@@ -58,18 +59,30 @@ def explain_pair(scores: DataFrame, i, j, cost: np.ndarray, cfg: Config = Config
     return {k: float(v[0]) for k, v in p.items() if k != "plan"} | {"distance": float(d[0]), "flows": ot.top_flows(p["plan"][0], cost, cfg.top_flows)}
 
 
-def compare_clouds(docs: DataFrame, vad: DataFrame, queries: Column, cfg: Config = Config(), weights: DataFrame | None = None, candidates: int = 50) -> DataFrame:
-    """(query, id, rank, distance, flows): neighbours of the query documents by transport between term clouds, of candidates by centroid; a query without terms is a row without a neighbour."""
+def compare_clouds(docs: DataFrame, vad: DataFrame, queries: Column, cfg: Config = Config(), weights: DataFrame | None = None, candidates: int = 0) -> DataFrame:
+    """(query, id, rank, distance, flows): neighbours of the query documents by transport between term clouds, among all documents.
+
+    A query without terms is a row without a neighbour.  With `candidates`, only so many clouds of the nearest centroids are solved
+    for each query, and neighbours outside of them are missed.
+    """
     terms = clouds.weighted_terms(docs, docs.count(), cfg.max_terms, cfg.min_token_len, weights, vocabulary=vad)
-    cloud = clouds.build_clouds(terms, vad, docs)
-    pairs = clouds.candidate_pairs(cloud, queries, max(candidates, cfg.top_k))
-    solved = clouds.compare_pairs(pairs, cloud, ot.Solver("sinkhorn_divergence", cfg.epsilon, cfg.iterations), cfg.top_flows)
+    cloud = settle(clouds.build_clouds(terms, vad, docs), "clouds")  # read for the search and for its flows
+    asked = cloud.withColumnRenamed("doc_id", "id").where(queries)
+    solver = ot.Solver("sinkhorn_divergence", cfg.epsilon, cfg.iterations)
+    if candidates > 0:
+        pairs = clouds.candidate_pairs(cloud, queries, max(candidates, cfg.top_k))
+    else:
+        near = clouds.cloud_neighbours(cloud, queries, cfg.top_k, solver)
+        pairs = near.select(F.least("query", "id").alias("i"), F.greatest("query", "id").alias("j")).distinct()
+    solved = clouds.compare_pairs(pairs, cloud, solver, cfg.top_flows)
     turned = F.transform("flows", lambda f: F.struct(f["to"].alias("from"), f["from"].alias("to"), f["mass"].alias("mass"), f["contribution"].alias("contribution")))
     both = solved.select(F.col("i").alias("query"), F.col("j").alias("id"), "distance", "flows").unionByName(solved.select(F.col("j").alias("query"), F.col("i").alias("id"), "distance", turned.alias("flows")))
-    asked = cloud.select(F.col("doc_id").alias("id")).where(queries).select(F.col("id").alias("query"))
-    near = top_per_group(both.join(asked, "query", "left_semi"), "query", cfg.top_k, F.col("distance"), F.col("id"))
-    alone = cloud.where(F.size("terms") == 0).select(F.col("doc_id").alias("query")).join(asked, "query", "left_semi")
-    return near.unionByName(alone, allowMissingColumns=True)
+    if candidates > 0:
+        found = top_per_group(both.join(asked.select(F.col("id").alias("query")), "query", "left_semi"), "query", cfg.top_k, F.col("distance"), F.col("id"))
+    else:
+        found = near.join(both.select("query", "id", "flows"), ["query", "id"])
+    alone = asked.where(F.size("terms") == 0).select(F.col("id").alias("query"))
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def group_shift(tokens: DataFrame, group: str, vad: DataFrame, cfg: Config = Config()) -> dict:

@@ -410,13 +410,8 @@ def lex_phrase_matches(spark, sf):
 
 def ot_token_clouds(spark, sf):
     docs = _docs(spark, sf)
-    vocab = _base_vad(lexicon.demo_lexicon(docs))
-    terms = clouds.weighted_terms(docs, docs.count(), Config().max_terms, vocabulary=vocab)
-    cloud = clouds.build_clouds(terms, vocab, docs)
-    pairs = clouds.candidate_pairs(cloud, F.col("id") % 50 == 0, 10)
-    out = clouds.compare_pairs(pairs, cloud, ot.Solver("sinkhorn_divergence"), 3)
-    alone = cloud.where((F.col("doc_id") % 50 == 0) & (F.size("terms") == 0)).select(F.col("doc_id").alias("i"))
-    return out.unionByName(alone, allowMissingColumns=True).select("i", "j", *_r("distance"), F.coalesce(F.size("flows"), F.lit(0)).cast("long").alias("n_flows"))
+    out = comparison.compare_clouds(docs, _base_vad(lexicon.demo_lexicon(docs)), F.col("id") % 50 == 0, Config(top_flows=3))
+    return out.select(F.col("query").alias("i"), F.col("id").alias("j"), F.col("rank").cast("long").alias("rank"), *_r("distance"), F.coalesce(F.size("flows"), F.lit(0)).cast("long").alias("n_flows"))
 
 
 def text_excerpts(spark, sf):

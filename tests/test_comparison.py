@@ -50,6 +50,35 @@ def test_clouds_rank_lexicon_terms_only(spark):
     assert {(r["query"], r["id"]) for r in near} == {(0, 1), (1, 0), (2, None), (3, None)}
 
 
+def test_cloud_search_is_exhaustive(spark):
+    """Copies with the query's own centroid filled all candidate places; every other document was never solved."""
+    rng = np.random.RandomState(3)
+    words = [f"w{chr(97 + i)}x" for i in range(12)]
+    vad = spark.createDataFrame([(w, *map(float, rng.uniform(-1, 1, 3)), float(rng.choice([0.5, 1.0]))) for w in words], "term string, v double, a double, d double, conf double")
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.randint(1, 9)))) for i in range(60)], "doc_id long, text string")
+    cloud = clouds.build_clouds(clouds.weighted_terms(docs, 60, 256, vocabulary=vad), vad, docs)
+    pairs = spark.range(60).select(F.col("id").alias("i")).crossJoin(spark.range(60).select(F.col("id").alias("j"))).where("i < j")
+    for epsilon in (0.1, 0.02):  # shared kernels, and logarithms
+        solver = ot.Solver("sinkhorn_divergence", epsilon)
+        solved = {frozenset((r["i"], r["j"])): r["distance"] for r in clouds.compare_pairs(pairs, cloud, solver).collect()}
+        got = clouds.cloud_neighbours(cloud, F.col("id") % 7 == 0, 4, solver).collect()
+        assert len(got) == 9 * 4
+        for q in range(0, 60, 7):
+            want = sorted(solved[frozenset((q, j))] for j in range(60) if j != q)[:4]
+            mine = sorted((r["rank"], r["distance"], r["id"]) for r in got if r["query"] == q)
+            assert np.allclose([d for _, d, _ in mine], want, atol=1e-9)
+            assert all(abs(solved[frozenset((q, j))] - d) < 1e-9 for _, d, j in mine)
+
+
+def test_compare_clouds_misses_no_neighbour(spark):
+    """Fifty single words in the query's direction come first by centroid, yet stand far away; the nearest cloud was never solved."""
+    far = [(f"far{chr(97 + i // 26)}{chr(97 + i % 26)}", 0.05, 0.05, 0.05, 1.0) for i in range(55)]
+    vad = spark.createDataFrame([("big", 0.9, 0.9, 0.9, 1.0), ("near", 0.95, 0.9, 0.8, 1.0), *far], "term string, v double, a double, d double, conf double")
+    docs = spark.createDataFrame([(0, "big"), (1, "near"), *[(i + 2, t[0]) for i, t in enumerate(far)]], "doc_id long, text string")
+    got = comparison.compare_clouds(docs, vad, F.col("id") == 0, config.Config(top_k=1, drop_top_df=0, vad_threshold=0.0, min_arousal=0.0)).collect()
+    assert [r["id"] for r in got] == [1] and got[0]["flows"][0]["to"] == "near"
+
+
 def test_exact_transport_is_the_least(spark):
     rng = np.random.RandomState(4)
     cost = rng.rand(3, 3)
