@@ -425,7 +425,7 @@ def text_line_chunks(spark, sf):
 
 
 def text_truncated(spark, sf):
-    d = _docs(spark, sf).select("doc_id", tx.truncate(F.coalesce("text", F.lit("")), 1000, 300, 300, (r"\\bidiot\\b",), 40).alias("t"))
+    d = _docs(spark, sf).select("doc_id", tx.truncate(F.coalesce("text", F.lit("")), 1000, 300, 300, (r"\bidiot\b",), 40).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("n_left"))
 
 

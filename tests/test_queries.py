@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from moodweave.functions import text as tx
 
 SF = os.environ.get("MOODWEAVE_SF", "/root/testdata/sf0.001")
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
@@ -50,3 +52,15 @@ def test_query(spark, duck, name):
     mine, theirs = (d[columns].astype({c: float for c in columns if "float64" in (str(mine[c].dtype), str(theirs[c].dtype))}) for d in (mine, theirs))
     rows = lambda d: sorted(tuple(told(v) for v in r) for r in d.itertuples(index=False))
     assert rows(mine) == rows(theirs)
+
+
+def test_truncated_texts_keep_their_anchor(spark, tmp_path):
+    """The pattern asked for a backslash, so no snippet was ever kept between head and tail."""
+    texts = ["a " * 400 + "you idiot there " + "b " * 400, "a " * 400 + "idiotic " + "b " * 400, "short idiot"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r["doc_id"]: r["n_left"] for r in entry.queries()["text_truncated"](spark, str(tmp_path)).collect()}
+    assert left[0] >= left[1] + len("idiot") and left[2] == len(texts[2])
+    made = {r["doc_id"]: r["t"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", tx.truncate(F.col("text"), 1000, 300, 300, (r"\bidiot\b",), 40).alias("t")).collect()}
+    at = texts[0].index("idiot")
+    assert made[0].startswith(texts[0][:300]) and made[0].endswith(texts[0][-300:]) and texts[0][at - 10 : at + 15] in made[0]
+    assert {i: len(t) for i, t in made.items()} == left
