@@ -39,7 +39,11 @@ def weighted_terms(docs: DataFrame, n_docs: int, k: int, least_length: int = 2,
     if vocabulary is not None:
         counts = counts.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
     counts = counts.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = document_frequency(docs, least_length)
+    return ranked_terms(counts, document_frequency(docs, least_length), n_docs, k, weights, default_weight)
+
+
+def ranked_terms(counts: DataFrame, df: DataFrame, n_docs: int, k: int, weights: DataFrame | None = None, default_weight: float = 1.0) -> DataFrame:
+    """`weighted_terms` of counts(doc_id, term, tf) that are already made, and df(term, df)."""
     w = F.col("tf") * (F.ln((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1)
     rows = counts.join(df, "term").select("doc_id", "term", "tf", w.alias("w"))
     if weights is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.vectors import align
 from ..storage import settle
-from . import clouds, measures, neighbours
+from . import clouds, features, lexicon, measures, neighbours
 from . import transport as ot
 from .lexicon import EMOTIONS
 from .rollups import top_per_group
@@ -59,14 +59,46 @@ def explain_pair(scores: DataFrame, i, j, cost: np.ndarray, cfg: Config = Config
     return {k: float(v[0]) for k, v in p.items() if k != "plan"} | {"distance": float(d[0]), "flows": ot.top_flows(p["plan"][0], cost, cfg.top_flows)}
 
 
-def compare_clouds(docs: DataFrame, vad: DataFrame, queries: Column, cfg: Config = Config(), weights: DataFrame | None = None, candidates: int = 0) -> DataFrame:
+def selected_clouds(docs: DataFrame, vad: DataFrame, cfg: Config = Config(), weights: DataFrame | None = None, stops: DataFrame | None = None) -> DataFrame:
+    """(doc_id, terms, w, x, conf): each document's cloud of emotional terms, by the steps and settings of the reference's driver.
+
+    The vocabulary is filtered by vad_threshold and min_arousal (a column in_lexicon of vad tells lexicon terms from others; without it
+    all are); phrases, then words or their base words are extracted unless negated or a stop word; the drop_top_df most frequent words
+    of the corpus are dropped; idf is over what is left, and max_terms of each document are kept.  The lexicon and the stop words are
+    bounded tables and come to the driver.
+    """
+    marked = vad if "in_lexicon" in vad.columns else vad.withColumn("in_lexicon", F.lit(True))
+    allowed = {r["term"] for r in lexicon.emotional_terms(marked, cfg.vad_threshold, cfg.min_arousal).where("conf > 0").select("term").collect()}
+    stopped = {r["term"] for r in stops.select("term").collect()} if stops is not None else set()
+    counts = features.emotional_words(docs, allowed, stopped, cfg.negation_window, cfg.min_token_len)
+    if cfg.drop_top_df > 0:
+        df = lexicon.document_frequency(docs, cfg.min_token_len)
+        df = df if stops is None else df.join(F.broadcast(stops.select("term")), "term", "left_anti")
+        counts = counts.join(F.broadcast(clouds.frequent_terms(df, cfg.drop_top_df)), "term", "left_anti")
+    counts = settle(counts, "cloud-terms")  # read twice
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return clouds.build_clouds(clouds.ranked_terms(counts, df, docs.count(), cfg.max_terms, weights), vad, docs)
+
+
+def explain_clouds(docs: DataFrame, vad: DataFrame, i, j, cfg: Config = Config(), weights: DataFrame | None = None, stops: DataFrame | None = None) -> dict:
+    """Distance and largest term flows from document i to j, their terms being selected over all documents."""
+    cloud = settle(selected_clouds(docs, vad, cfg, weights, stops).where(F.col("doc_id").isin(i, j)), "pair-clouds")
+    sizes = {r["doc_id"]: r["n"] for r in cloud.select("doc_id", F.size("terms").alias("n")).collect()}
+    if not (sizes.get(i) and sizes.get(j)):
+        return {"error": "not comparable", "terms": sizes}
+    pair = docs.sparkSession.createDataFrame([(min(i, j), max(i, j))], "i long, j long")
+    r = clouds.compare_pairs(pair, cloud, ot.Solver("sinkhorn_divergence", cfg.epsilon, cfg.iterations), cfg.top_flows).first()
+    flows = [f.asDict() for f in r["flows"]]
+    return {"distance": r["distance"], "terms": sizes, "flows": flows if i <= j else [f | {"from": f["to"], "to": f["from"]} for f in flows]}
+
+
+def compare_clouds(docs: DataFrame, vad: DataFrame, queries: Column, cfg: Config = Config(), weights: DataFrame | None = None, candidates: int = 0, stops: DataFrame | None = None) -> DataFrame:
     """(query, id, rank, distance, flows): neighbours of the query documents by transport between term clouds, among all documents.
 
     A query without terms is a row without a neighbour.  With `candidates`, only so many clouds of the nearest centroids are solved
     for each query, and neighbours outside of them are missed.
     """
-    terms = clouds.weighted_terms(docs, docs.count(), cfg.max_terms, cfg.min_token_len, weights, vocabulary=vad)
-    cloud = settle(clouds.build_clouds(terms, vad, docs), "clouds")  # read for the search and for its flows
+    cloud = settle(selected_clouds(docs, vad, cfg, weights, stops), "clouds")  # read for the search and for its flows
     asked = cloud.withColumnRenamed("doc_id", "id").where(queries)
     solver = ot.Solver("sinkhorn_divergence", cfg.epsilon, cfg.iterations)
     if candidates > 0:

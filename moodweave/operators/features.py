@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import base_words, tokens
+
 # Words that end a negation, and words after "not" that undo it.
 BOUNDARIES = ("but", "however", "though", "although", "yet", "nevertheless", "nonetheless", "still", "except")
 NOT_SKIPS = ("only", "just", "merely", "simply")
+NEGATORS = ("not", "no", "never", "without", "nor", "neither")
 #: Counts are summed in these units (the least common multiple of 1 to 8), so shares of shared terms add up exactly.
 UNITS = 840
 
@@ -38,7 +43,7 @@ def negated_places(words: Column, negators: list[str], boundaries: list[str], wi
     return F.array_distinct(F.flatten(F.transform(starts, masked)))
 
 
-def is_negator(term: Column, following: Column, extra: tuple[str, ...] = ("not", "no", "never", "without", "nor", "neither")) -> Column:
+def is_negator(term: Column, following: Column, extra: tuple[str, ...] = NEGATORS) -> Column:
     """Listed words and those in -n't; not "not" before a word such as "only"."""
     listed = term.isin(*extra) | (term.endswith("n't") & (F.length(term) > 3))
     return listed & ~((term == "not") & F.coalesce(following.isin(*NOT_SKIPS), F.lit(False)))
@@ -97,3 +102,51 @@ def longest_matches(docs: DataFrame, phrases: dict[str, str], negators: tuple[st
             yield pd.DataFrame(out, columns=["doc_id", "start", "n_words", "phrase", "emotion", "negated"])
 
     return docs.select("doc_id", "tokens").mapInPandas(fold, "doc_id long, start int, n_words int, phrase string, emotion string, negated boolean")
+
+
+def emotional_words(docs: DataFrame, allowed: set[str], stops: set[str] = frozenset(), window: int = 3, least_length: int = 2, negators: tuple[str, ...] = NEGATORS) -> DataFrame:
+    """(doc_id, term, tf) of the allowed terms that stand in each text and are not negated.
+
+    The longest phrase is taken first, left to right, and consumes its words; a single word that is not allowed itself counts for the
+    first of its base words that is.  Phrases that begin with a negator are not negated by others.  The walk is sequential, hence Python.
+    """
+    allowed = frozenset(allowed) - frozenset(stops)
+    phrases = {tuple(t.split()): t for t in allowed if " " in t}
+    longest = max(map(len, phrases), default=1)
+
+    def negates(words: list[str], i: int) -> bool:
+        w = words[i]
+        return (w in negators or (len(w) > 3 and w.endswith("n't"))) and not (w == "not" and i + 1 < len(words) and words[i + 1] in NOT_SKIPS)
+
+    def walk(batches):
+        bases: dict[str, str | None] = {}
+        for batch in batches:
+            out = []
+            for doc, words in zip(batch["doc_id"], batch["words"], strict=True):
+                words = list(words) if words is not None else []
+                negative = [i for i in range(len(words)) if negates(words, i)]
+                mask = set()
+                for i in negative:
+                    for j in range(i + 1, min(len(words), i + 1 + window)):
+                        if words[j] in BOUNDARIES:
+                            break
+                        mask.add(j)
+                starts, found, i = set(negative), Counter(), 0
+                while i < len(words):
+                    for n in range(min(longest, len(words) - i), 1, -1):
+                        if term := phrases.get(tuple(words[i : i + n])):
+                            if i in starts or not any(j in mask for j in range(i, i + n)):
+                                found[term] += 1
+                            i += n
+                            break
+                    else:
+                        w = words[i]
+                        if w not in bases:
+                            bases[w] = None if w in stops else w if w in allowed else next((b for b in base_words(w) if b in allowed), None)
+                        if len(w) >= least_length and i not in mask and bases[w] is not None:
+                            found[bases[w]] += 1
+                        i += 1
+                out += [(doc, t, n) for t, n in found.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "term", "tf"])
+
+    return docs.select("doc_id", tokens(F.col("text")).alias("words")).mapInPandas(walk, "doc_id long, term string, tf long")

@@ -50,6 +50,21 @@ def test_clouds_rank_lexicon_terms_only(spark):
     assert {(r["query"], r["id"]) for r in near} == {(0, 1), (1, 0), (2, None), (3, None)}
 
 
+def test_compare_clouds_selects_its_terms(spark):
+    """Negated, dull and too frequent words entered the clouds; phrases and inflected words did not."""
+    docs = spark.createDataFrame([(0, "not happy but glad"), (1, "very sad tables, a table regrets"), (2, "glad not only grim glad")], "doc_id long, text string")
+    vad = spark.createDataFrame([("happy", 0.9, 0.5, 0.5, 1.0), ("glad", 0.8, 0.4, 0.5, 1.0), ("very sad", -0.9, 0.3, 0.2, 1.0), ("sad", -0.7, 0.3, 0.2, 1.0), ("table", 0.1, 0.1, 0.1, 1.0), ("regret", -0.6, 0.2, 0.2, 1.0), ("grim", -0.7, 0.2, 0.2, 1.0)], "term string, v double, a double, d double, conf double")
+    held = lambda cfg, **more: {r["doc_id"]: sorted(r["terms"]) for r in comparison.selected_clouds(docs, vad, cfg, **more).collect()}
+    assert held(config.Config()) == {0: ["glad"], 1: ["regret", "very sad"], 2: ["glad", "grim"]}
+    assert held(config.Config(vad_threshold=0.65, negation_window=0)) == {0: ["glad", "happy"], 1: ["very sad"], 2: ["glad", "grim"]}
+    assert held(config.Config(drop_top_df=2)) == {0: [], 1: ["regret", "very sad"], 2: ["grim"]}
+    assert held(config.Config(), stops=spark.createDataFrame([("grim",)], "term string"))[2] == ["glad"]
+    near = {(r["query"], r["id"]): r for r in comparison.compare_clouds(docs, vad, F.lit(True)).collect()}
+    e = comparison.explain_clouds(docs, vad, 2, 1)
+    assert abs(e["distance"] - near[2, 1]["distance"]) < 1e-9 and e["flows"][0]["from"] in ("glad", "grim") and e["terms"] == {1: 2, 2: 2}
+    assert "error" in comparison.explain_clouds(docs, vad, 0, 1, config.Config(drop_top_df=2))
+
+
 def test_cloud_search_is_exhaustive(spark):
     """Copies with the query's own centroid filled all candidate places; every other document was never solved."""
     rng = np.random.RandomState(3)
