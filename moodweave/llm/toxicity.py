@@ -7,9 +7,9 @@ both know, and words of a family known to be toxic count even in forms never see
 ordinary log-likelihood over its number of words, put on a probability scale by a logistic fit on training rows that the counts
 did not see.
 
-The two interpolated models are kept as one table of log ratios in back-off form, hashed to SLOTS slots with fingerprints, so what
-executors get has the same bound however large the corpus is.  Labels enter through a sample of at most `most_rows` labelled rows,
-those with the lowest seeded hashes; every document is scored, over its whole text.
+The two interpolated models are kept as one table of log ratios in back-off form, hashed to SLOTS slots or more with fingerprints, so what
+executors get is bounded by the sample however large the corpus is.  Labels enter through a sample of at most `most_rows` / 2
+labelled rows of each class, those with the lowest seeded hashes; every document is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -64,16 +64,16 @@ def maximal_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return key[place > 0]
 
 
-def _slot(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slot(key: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     h = tc.mix(key)
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.uint32) | np.uint32(1)
+    return (h & np.uint64(slots - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.uint32) | np.uint32(1)
 
 
 @dataclass
 class Model:
-    mark: np.ndarray  # [SLOTS] fingerprint of the gram or context in the slot, 0 where empty
-    ratio: np.ndarray  # [SLOTS] log ratio of a gram's probabilities
-    backoff: np.ndarray  # [SLOTS] log ratio of the weights a context passes on
+    mark: np.ndarray  # [slots] fingerprint of the gram or context in the slot, 0 where empty
+    ratio: np.ndarray  # [slots] log ratio of a gram's probabilities
+    backoff: np.ndarray  # [slots] log ratio of the weights a context passes on
     a: float = 1.0
     b: float = 0.0
 
@@ -88,13 +88,13 @@ class Model:
                 key = symbols[at]
                 for back in range(1, n):
                     key |= symbols[at - back] << np.uint64(8 * back)
-                slot, mark = _slot(key)
+                slot, mark = _slot(key, len(self.mark))
                 known = self.mark[slot] == mark
                 total[at[known]] += self.ratio[slot[known]]
                 open_[at[known]] = False
                 rest = at[~known]
                 if n > 1 and len(rest):
-                    slot, mark = _slot(key[~known] >> np.uint64(8))
+                    slot, mark = _slot(key[~known] >> np.uint64(8), len(self.mark))
                     total[rest] += np.where(self.mark[slot] == mark, self.backoff[slot], 0)
         off = np.concatenate([[0], np.cumsum(ends - starts + 2)])
         sums = np.concatenate([[0.0], np.cumsum(total)])
@@ -172,12 +172,13 @@ def build(gram: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Model:
         probability[order] = np.maximum(c - DISCOUNT, 0) / np.maximum(total[:, of], 1) + weight[:, of] * lower
         passed[order] = context, np.log(weight[1] / weight[0])
         slots.append((k, np.log(probability[order][1] / probability[order][0]), k))
-    model = Model(np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32))
+    size = max(SLOTS, 1 << (2 * sum(len(k) for k, _, _ in slots) - 1).bit_length())  # at most half full
+    model = Model(np.zeros(size, np.uint32), np.zeros(size, np.float32), np.zeros(size, np.float32))
     for k, ratio, _ in reversed(slots):  # lower orders last: they win a shared slot
-        slot, mark = _slot(k)
+        slot, mark = _slot(k, size)
         model.mark[slot], model.ratio[slot], model.backoff[slot] = mark, ratio, 0
     for context, ratio in passed.values():
-        slot, mark = _slot(context)
+        slot, mark = _slot(context, size)
         free = model.mark[slot] == 0
         model.mark[slot[free]] = mark[free]
         mine = model.mark[slot] == mark
@@ -185,14 +186,14 @@ def build(gram: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Model:
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and intercept by Newton's method with a slight ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (not negative) and intercept by Newton's method with a slight ridge, each row counting as its weight."""
     scale = x.std() or 1.0
     z, w = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
     ridge = np.array([1e-2, 1e-3])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (y - p)) - ridge * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -204,11 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Rows with a null key or label are not used; a document labelled several times takes the majority, ties toxic.  Four fifths
     of the sample (by hash) give counts, of the more common class only as many documents as the other has, so that neither model
-    is the smoother one; the rest of the sample, as it comes, gives the scale of scores.
+    is the smoother one; the rest of the sample gives the scale of scores, each class weighing what it has among all labels.
     """
     said = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.avg(toxic) >= 0.5).cast("int").alias("toxic"))
-    said = said.withColumn("__h", F.xxhash64(F.lit("tox"), "__key")).orderBy("__h", "__key").limit(most_rows)
-    picked = said.toPandas()  # at most most_rows rows of three numbers
+    said = said.withColumn("__h", F.xxhash64(F.lit("tox"), "__key"))
+    sizes = {r["toxic"]: r["count"] for r in said.groupBy("toxic").count().collect()}
+    of_class = [said.where(F.col("toxic") == c).orderBy("__h", "__key").limit(most_rows // 2) for c in (0, 1)]
+    picked = of_class[0].unionByName(of_class[1]).toPandas()  # at most most_rows rows of three numbers
     scaled = picked["__h"] % 5 == 0
     each = picked[~scaled].groupby("toxic").size()
     if len(each) < 2:
@@ -238,7 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     shipped.unpersist()
     x, y = held.column("x").to_numpy(), held.column("y").to_numpy()
     if 0 < y.sum() < len(y):
-        model.a, model.b = _logistic(x, y)
+        stands_for = [max(1.0, sizes[c] / (most_rows // 2)) for c in (0, 1)]
+        model.a, model.b = _logistic(x, y, np.where(y > 0, stands_for[1], stands_for[0]))
     return model
 
 

@@ -143,6 +143,16 @@ def test_toxicity_model_is_a_probability():
     assert np.allclose(model.word_ratios(data, starts, ends), 0, atol=1e-5)  # equal counts: no evidence
 
 
+def test_toxicity_keeps_a_rare_class(spark):
+    """A bound on all labels at once left nearly all of a rare class out of the sample."""
+    texts = [f"plain talk number {i} of the day" for i in range(1, 401)] + ["you vile rotten scum go away"] * 10
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i in range(410)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, texts), labels, most_rows=20)
+    assert model is not None
+    scores = {x["doc_id"]: x["score"] for x in toxicity.score(frame(spark, texts), model).collect()}
+    assert min(scores[i] for i in range(400, 410)) > max(scores[i] for i in range(400))
+
+
 def test_toxicity_awkward_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (5, None), (5, 0), (5, 1)], "doc_id long, toxic int")
