@@ -467,7 +467,7 @@ def ot_compare_rows(spark, sf):
 def ot_group_distance(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), "text")
     words = docs.select("doc_id", "lang", F.explode(tx.tokens(F.col("text"))).alias("term"))
-    out = comparison.group_shift(words, "lang", _base_vad(lexicon.demo_lexicon(docs)), Config(max_terms=64))
+    out = comparison.group_shift(words, "lang", _base_vad(lexicon.demo_lexicon(docs)), Config())
     rows = [(*out["groups"], round(out["distance"], 6), f["from"], f["to"], round(f["contribution"], 6)) for f in out.get("flows", [])]
     return spark.createDataFrame(rows, "a string, b string, distance double, from_term string, to_term string, contribution double")
 

@@ -64,3 +64,14 @@ def test_truncated_texts_keep_their_anchor(spark, tmp_path):
     at = texts[0].index("idiot")
     assert made[0].startswith(texts[0][:300]) and made[0].endswith(texts[0][-300:]) and texts[0][at - 10 : at + 15] in made[0]
     assert {i: len(t) for i, t in made.items()} == left
+
+
+def test_group_distance_keeps_the_default_number_of_terms(spark, monkeypatch):
+    """The groups' clouds were cut to 64 of their lexicon terms."""
+    from moodweave.config import Config
+    from moodweave.operators import comparison
+
+    asked, whole = [], comparison.group_shift
+    monkeypatch.setattr(comparison, "group_shift", lambda words, group, vad, cfg=Config(): (asked.append(cfg.max_terms), whole(words, group, vad, cfg))[1])
+    assert entry.queries()["ot_group_distance"](spark, SF).count() > 0
+    assert asked == [Config().max_terms] == [256]
