@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import settle, unused
 
 _MOST_STRINGS = 96
 
@@ -60,6 +60,7 @@ def _least(clauses) -> Clauses:
 
 
 def _both(a: Clauses, b: Clauses) -> Clauses:
+    """Clauses of texts that satisfy both; a alone, which asks for less, where the product would be too large to look up."""
     joined = {x | y for x, y in itertools.product(a, b)}
     return _least(joined) if len(joined) <= 512 else a
 
@@ -143,25 +144,48 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
     return full.groupBy("__key").agg(F.collect_set("kind").alias("__kinds"))
 
 
+#: Items that an inner fold takes: appending copies what is there, so folds go by blocks and cost grows in proportion to the items.
+_FOLD = 512
+
+
+def _bound(value: Column, body) -> Column:
+    """body of a value that is found once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, kind: str, step, emit) -> Column:
+    """array<kind> of emit(at, x) for each of the items, at being an int that starts at 0 and becomes step(at, x) after each."""
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    first = F.expr(f"cast(array() as array<struct<at:int,found:array<{kind}>>>)")
+
+    def block(done: Column, some: Column) -> Column:
+        start = F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0)).alias("at"), empty.alias("found"))
+        return F.aggregate(some, start, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["found"], emit(acc["at"], x)).alias("found")))
+
+    def whole(all_: Column) -> Column:
+        blocks = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _FOLD).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        folded = F.aggregate(blocks, first, lambda done, b: F.array_append(done, block(done, F.slice(all_, b * _FOLD + 1, F.lit(_FOLD)))))
+        return F.flatten(F.transform(folded, lambda x: x["found"]))
+
+    return _bound(items, whole)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, value>> of the rule's matches (value: its length); positions in code points, end exclusive.
 
     Lengths of the matches and of the text between them, summed from the left, give the positions.
     """
-    matches, values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(between, F.arrays_zip(matches.alias("m"), values.alias("v")), lambda b, mv: F.struct(F.length(b).alias("gap"), F.length(mv["m"]).alias("size"), F.length(mv["v"]).alias("value")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:int>>)")
-    placed = F.aggregate(
-        F.filter(lengths, lambda x: x["size"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(x["value"] >= rule.least, F.array_append(acc["found"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
+    matches, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
+    lengths = lambda c: F.transform(c, F.length)
+    value = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else lengths(matches)
+    sizes = F.filter(F.arrays_zip(lengths(between).alias("gap"), lengths(matches).alias("size"), value.alias("value")), lambda x: x["size"].isNotNull())
+    placed = running(
+        sizes,
+        "struct<start:int,end:int,value:int>",
+        lambda at, x: at + x["gap"] + x["size"],
+        lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")),
     )
-    return placed
+    return F.filter(placed, lambda x: x["value"] >= rule.least)
 
 
 def _ranked(found: Column, rank: int, kind: str) -> Column:
@@ -171,25 +195,28 @@ def _ranked(found: Column, rank: int, kind: str) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", name: str = "secrets") -> DataFrame:
     """docs with an array<struct<start int, rank int, kind string, end int>> of secrets added, by start and then rule order.
 
-    A null text counts as empty.  Rows that share a key share their candidates, which are then verified by text; a null key is a
-    key.  Other columns stay; one with the added name is replaced.  The candidates are settled in the shared folder, so that the
-    planner broadcasts them where their size allows it and shuffles the texts otherwise.
+    A null text counts as empty, and very long ones are taken whole, in time that grows with their length and matches.  Rows that
+    share a key share their candidates, which are then verified by text; a null key is a key.  Other columns stay, whatever their
+    names; one with the added name is replaced.  An empty table gives an empty result.  The candidates are settled in the shared
+    folder, so that the planner broadcasts them where their size allows it and shuffles the texts otherwise.
     """
     indexed = tuple(r for r in rules if trigram_query(r.pattern) != ANY)
     own = F.coalesce(F.col(text), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:int>>)")
+    of, kinds = unused(docs, "candidate", "kinds")
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     if indexed:
-        found = settle(candidates(docs, indexed, key, text), "secret-candidates")
-        docs = docs.join(found, docs[key].eqNullSafe(found["__key"]), "left").drop("__key")
+        found = settle(candidates(docs.select(key, text), indexed, key, text), "secret-candidates").toDF(of, kinds)
+        docs = docs.join(found, docs[key].eqNullSafe(found[of]), "left")
     else:
-        docs = docs.withColumn("__kinds", F.lit(None).cast("array<string>"))
+        docs = docs.withColumn(kinds, F.lit(None).cast("array<string>"))
     parts = []
     for rank, rule in enumerate(rules):
-        runs = F.array_contains("__kinds", rule.kind) if rule in indexed else F.lit(True)
+        runs = F.array_contains(kinds, rule.kind) if rule in indexed else F.lit(True)
         if rule.prefilter:
             runs = runs & own.rlike(rule.prefilter)
         parts.append(_ranked(F.when(F.coalesce(runs, F.lit(False)), spans(own, rule)).otherwise(none), rank, rule.kind))
-    return docs.withColumn(name, F.array_sort(F.concat(*parts))).drop("__kinds")
+    return docs.select(*columns, F.array_sort(F.concat(*parts)).alias(name))
 
 
 def listed(found: Column) -> Column:
@@ -197,17 +224,34 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+#: Code points of a piece that a cut has to walk through.
+_PIECE = 4096
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text that is given in pieces of _PIECE."""
+    first, last = F.floor(start / _PIECE).cast("int"), F.floor((end - 1) / _PIECE).cast("int")
+    at, to = (start % _PIECE).cast("int"), ((end - 1) % _PIECE).cast("int") + 1
+    head, tail = F.substring(pieces[first], at + 1, F.lit(_PIECE)), F.substring(pieces[last], F.lit(1), to)
+    across = F.concat(head, F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), tail)
+    return F.when(end <= start, F.lit("")).when(first == last, F.substring(pieces[first], at + 1, to - at)).otherwise(across)
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping secrets in the text replaced by a mark (null texts stay null); n_chars, where there is one, follows."""
-    found = scan(docs, rules, key, text, "__secrets")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    merged = F.aggregate(
-        "__secrets",
-        state,
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
-    )
-    out = found.withColumn(text, F.when(F.size("__secrets") > 0, merged).otherwise(F.col(text)))
+    """docs with each run of overlapping secrets in the text replaced by a mark (null texts stay null); n_chars, where there is one, follows.
+
+    Very long texts are redacted whole: what stands between runs is cut out of pieces of the text, so the time grows with the
+    text's length and its secrets.  Rows without a secret are as they were; so are repeated rows, null keys and other columns.
+    """
+    (name,) = unused(docs, "secrets")
+    found = scan(docs, rules, key, text, name)
+    # A span that begins at or after the end of all before it opens a run; the text kept before it reaches back to that end.
+    opened = running(F.col(name), "struct<from:int,to:int>", lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.struct(at.alias("from"), s["start"].alias("to")))
+    kept = F.filter(opened, lambda x: x["to"] >= x["from"])
+    until = F.array_max(F.transform(name, lambda s: s["end"]))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    redacted = _bound(pieces, lambda p: F.concat(F.array_join(F.transform(kept, lambda x: F.concat(_cut(p, x["from"], x["to"]), F.lit(mark))), ""), _cut(p, until, F.length(text))))
+    out = found.withColumn(text, F.when(F.size(name) > 0, redacted).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
