@@ -9,18 +9,23 @@ sketches falls with edit distance and with rearrangement.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textcore as tc
 
 K = 5
 L = 2
 SKETCHES = 64
+#: Keys sampled for each range of keys, which also is the least number of sampled keys that a range is made for.
+SAMPLED = 32
 _rng = np.random.RandomState(20240501)
 _XOR, _MULTIPLY, _TAG = ((_rng.randint(0, 1 << 32, SKETCHES).astype(np.uint64) << np.uint64(32)) | _rng.randint(0, 1 << 32, SKETCHES).astype(np.uint64) | np.uint64(1) for _ in range(3))
 #: Most elements times sketches that are held at once.
@@ -79,28 +84,44 @@ def _hex(row: np.ndarray) -> str:
     return row.astype(">u2").tobytes().hex()
 
 
+def _bounds(docs: DataFrame, key: str, parts: int) -> list[tuple]:
+    """Ascending bounds (key, text hash) of about `parts` even ranges, from at most SAMPLED keys a part, those of the lowest hashes.
+
+    A key that would fill several ranges is divided among them by the hashes of its texts, which spread evenly.
+    """
+    keys = docs.select(F.col(key).alias("key")).where("key is not null")
+    got = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key")).limit(SAMPLED * parts).collect())
+    n = min(parts, len(got) // SAMPLED)
+    cuts = [got[i * len(got) // n] for i in range(1, n)]
+    return [(k, -(1 << 63) + j * (1 << 64) // times) for k, times in Counter(cuts).items() for j in range(times)]
+
+
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (part, extra, key, text) such that within a part, sorted by extra, key descending (nulls last) and text, each row
-    that isn't extra is followed by the next document in descending key order, after the last by the first.
+    """Rows (part, extra, key, tie, text) such that within a part, sorted by extra, key descending (nulls last) and tie descending, each
+    row that isn't extra is followed by the next document in descending key order, after the last by the first.
 
-    Parts are ranges of the key; each also gets, as an extra row, a copy of the first document of the part after it.  Only the
-    bounds and each part's largest key come to the driver, a number a part.  The texts are shuffled once.
+    Parts are ranges of the key and of tie, the text's hash; each also gets, as an extra row, a copy of the first document of the
+    part after it.  Only a sample of keys and the first key of each part come to the driver; both grow with the parts, not with
+    the rows.  A row finds its part by bisection, and the texts are shuffled once.
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("c")).first()["c"] or []
-    bounds = sorted(set(cuts))
-    if bounds:
-        part = F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col(key) < b)))
-    else:
-        part = F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.lit(0))
-    placed = docs.select(part.alias("part"), F.col(key).alias("key"), F.col(text).alias("text"))
-    heads = sorted((r["part"], r["head"]) for r in placed.groupBy("part").agg(F.max("key").alias("head")).collect())
-    goes_to = F.lit(None).cast("int")
-    for at, (_, head) in enumerate(heads):
-        goes_to = F.when(F.col("key").eqNullSafe(F.lit(head).cast(docs.schema[key].dataType)), F.lit(heads[at - 1][0])).otherwise(goes_to)
-    places = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.struct(goes_to.alias("part"), F.lit(True).alias("extra"))), lambda p: p["part"].isNotNull())
-    spread = placed.select(F.explode(places).alias("p"), "key", "text").select("p.part", "p.extra", "key", "text")
-    return spread.repartitionById(max(1, len(bounds) + 2), "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), F.col("text").asc_nulls_first())
+    spark = docs.sparkSession
+    bounds = _bounds(docs, key, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shipped = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def part_of(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        b = shipped.value
+        return pa.array([len(b) + 1 if k is None else len(b) - bisect_right(b, (k, t)) for k, t in zip(keys.to_pylist(), ties.to_pylist(), strict=True)], pa.int32())
+
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    placed = rows.withColumn("part", part_of("key", "tie"))
+    first = placed.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).select("part", "head.key", "head.tie").collect()
+    heads = sorted(first, key=lambda r: r["part"])
+    wanted = spark.createDataFrame([(heads[at - 1]["part"], r["key"], r["tie"]) for at, r in enumerate(heads)], T.StructType([T.StructField("goes_to", T.IntegerType()), T.StructField("k", docs.schema[key].dataType), T.StructField("t", T.LongType())]))
+    found = placed.join(F.broadcast(wanted), F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")), "left")  # a row a part
+    places = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("extra"))), lambda p: p["part"].isNotNull())
+    spread = found.select(F.explode(places).alias("p"), "key", "tie", "text").select("p.part", "p.extra", "key", "tie", "text")
+    return spread.repartitionById(len(bounds) + 2, "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), F.desc("tie"), "text")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,8 +129,9 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document in
     descending key order.  A null text is empty; a document without words has a fingerprint of zeros, so all such are alike;
-    one of fewer than K words has one k-mer, all its words.  Rows that share a key follow each other by text, null keys come
-    last, a single row is its own next document, and an empty table gives an empty result.  Other columns are not read.
+    one of fewer than K words has one k-mer, all its words.  Keys may be of any type that sorts.  Rows that share a key follow
+    each other by the hash of their text, null keys come last, a single row is its own next document, and an empty table gives
+    an empty result.  Very long texts are taken whole, one at a time.  Other columns are not read.
     """
     schema = docs.select(F.col(key).alias("doc_id")).schema.add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
 
