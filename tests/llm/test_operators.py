@@ -163,14 +163,75 @@ def test_toxicity_learns_words_and_families(spark):
     assert right >= 190 and all(0 <= s <= 1 for s in scores.values())
 
 
-def test_toxicity_model_is_a_probability():
-    """Over the two-symbol alphabet of the training words, back-off ratios equal those of the plain recursion."""
-    data = np.frombuffer(b"ab abb ba a bab abba", np.uint8)
+def plain_kneser_ney(words_of: list[list[str]]):
+    """word -> log-likelihood ratio of class 1 to class 0 by the textbook recursion over dictionaries; words_of: words by class."""
+    order, shared = toxicity.ORDER, toxicity.SHARED_ORDER
+
+    def counts(words):
+        levels = {n: {} for n in range(1, order + 1)}
+        for w in words:
+            s = "<" + w + ">"
+            for end in range(2, len(s) + 1):
+                g = s[max(0, end - order) : end]
+                levels[len(g)][g] = levels[len(g)].get(g, 0) + 1
+        for n in range(order - 1, 0, -1):
+            for g in levels[n + 1]:
+                levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+        return levels
+
+    each = [counts(w) for w in words_of]
+
+    def at(c, n):
+        if n > shared:
+            return each[c][n]
+        return {g: sum(e[n].get(g, 0) for e in each) for g in {*each[0][n], *each[1][n]}}
+
+    def discount(c, n):
+        values = [*at(c, n).values()]
+        ones, twos = values.count(1), values.count(2)
+        return min(max(ones / max(ones + 2 * twos, 1), toxicity.LEAST_DISCOUNT), toxicity.MOST_DISCOUNT)
+
+    def p(c, gram):
+        n, table = len(gram), at(c, len(gram))
+        if n == 1:
+            return (table.get(gram, 0) + 0.5) / (sum(table.values()) + 0.5 * 256)
+        d, after = discount(c, n), {g: v for g, v in table.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(c, gram[1:])
+        total = sum(after.values())
+        return max(after.get(gram, 0) - d, 0) / total + sum(min(v, d) for v in after.values()) / total * p(c, gram[1:])
+
+    def ratio(word):
+        s = "<" + word + ">"
+        grams = [s[max(0, end - order) : end] for end in range(2, len(s) + 1)]
+        return sum(math.log(p(1, g) / p(0, g)) for g in grams)
+
+    return ratio
+
+
+def test_toxicity_model_is_kneser_ney():
+    """Back-off ratios equal those of the plain recursion, for words seen by either class, by both, and by none."""
+    r = random.Random(8)
+    made = lambda letters, n: ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(n)]
+    of_class = [made("abc", 120) + made("abd", 40), made("abc", 40) + made("ade", 100)]
+    grams, cls, n = [], [], []
+    for c, ws in enumerate(of_class):
+        data = np.frombuffer(" ".join(ws).encode(), np.uint8)
+        starts, ends, _ = tc.words(data, np.array([0, len(data)]), tc.ALNUM)
+        keys, times = np.unique(toxicity.maximal_grams(data, starts, ends), return_counts=True)
+        grams.append(keys), cls.append(np.full(len(keys), c)), n.append(times)
+    model = toxicity.build(np.concatenate(grams).view(np.int64), np.concatenate(cls), np.concatenate(n))
+    asked = of_class[0][:40] + of_class[1][-40:] + made("abcdef", 60) + ["a", "zzz"]
+    data = np.frombuffer(" ".join(asked).encode(), np.uint8)
     starts, ends, _ = tc.words(data, np.array([0, len(data)]), tc.ALNUM)
-    grams = toxicity.maximal_grams(data, starts, ends)
-    keys, n = np.unique(grams, return_counts=True)
-    model = toxicity.build(np.concatenate([keys, keys]).view(np.int64), np.repeat([0, 1], len(keys)), np.concatenate([n, n]))
-    assert np.allclose(model.word_ratios(data, starts, ends), 0, atol=1e-5)  # equal counts: no evidence
+    plain = plain_kneser_ney(of_class)
+    assert np.allclose(model.word_ratios(data, starts, ends), [plain(w) for w in asked], atol=1e-4)
+
+
+def test_toxicity_table_holds_every_gram():
+    keys = np.unique(np.random.RandomState(1).randint(1, 1 << 40, 300_000).astype(np.uint64))
+    table = toxicity.Table(keys)
+    assert (table.find(keys)[table.order] == np.arange(len(keys))).all() and (table.find(keys + np.uint64(1 << 41)) == -1).all()
 
 
 def test_toxicity_keeps_a_rare_class(spark):
