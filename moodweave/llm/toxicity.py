@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model of at most most_rows labelled documents, or None if either class is missing.
 
     Rows with a null key or label are not used; a document labelled several times takes the majority, ties toxic; rows that repeat
-    a key all count; other columns are not read.  Four fifths of the sample (by hash) give counts, where balanced only as many
+    a key all count, in the scale once; other columns are not read.  Four fifths of the sample (by hash) give counts, where balanced only as many
     documents of the more common class as the other has, so that neither model is the smoother one; the rest of the sample chooses
     among TOWARD_ONE and gives the scale of scores, each class weighing what it has among all labels.
     """
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = picked[picked["part"] != "spare"]
     chosen = docs.sparkSession.createDataFrame(picked, said.schema.add("part", "string"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")  # at most most_rows rows
-    fitting, scaling = rows.where("part = 'fit'"), rows.where("part = 'scale'")
+    fitting, scaling = rows.where("part = 'fit'"), rows.where("part = 'scale'").dropDuplicates(["k"])
     counted = fitting.select("toxic", "text").mapInArrow(_count, "gram long, cls int, n long").groupBy("gram", "cls").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # as many rows as the bounded sample has distinct grams
     gram, cls, n = (got.column(c).to_numpy() for c in ("gram", "cls", "n"))

@@ -415,9 +415,53 @@ def test_languages(spark):
     assert langid.train(odd.limit(0)) is None and langid.identify(odd.limit(0), None).count() == 0
 
 
-def test_presence_is_of_whole_texts():
-    seen = np.concatenate(list(langid.presence(pa.array(["ab", "x" * 70_000 + "ab", None, ""]))))
-    assert (seen[1] >= seen[0]).all() and not seen[2:].any() and seen[0].sum() == 3
+def plain_grams(text: str | None) -> list[tuple[int, set]]:
+    """Length and n-grams of each window."""
+    fold = "".join("0" if c in "0123456789" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+    return [(min(langid.WINDOW, len(fold) - a), {fold[i : i + n] for n in langid.ORDERS for i in range(a, min(a + langid.WINDOW, len(fold) - n + 1))}) for a in range(0, len(fold), langid.WINDOW)]
+
+
+def plain_kernel(text: str | None, mark: set) -> float:
+    parts = plain_grams(text)
+    return sum(n * len(g & mark) / math.sqrt(len(g) * len(mark)) for n, g in parts) / max(1, sum(n for n, _ in parts))
+
+
+def test_languages_match_plain_kernel_ridge(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WINDOW", 64)
+    monkeypatch.setattr(langid, "_SEGMENT", 300)
+    monkeypatch.setattr(langid, "_CELLS", 4000)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(("Da", "été", "ich", "7x")) + r.choice(("s", "t", "ñ")) * r.randrange(1, 3) for _ in range(r.randrange(1, 60))) for _ in range(40)]
+    marks = [plain_grams(t)[0][1] for t in texts[:6]]
+    packed = lambda s: np.sort(np.array([(len(g) << 32) | int.from_bytes(g, "big") for g in s], np.int64))
+    landmarks = langid.Landmarks.of([packed(m) for m in marks])
+    asked = texts + ["", None, "a", "é"]
+    k = landmarks.kernel(pa.array(asked, pa.string()))
+    assert np.allclose(k, [[plain_kernel(t, m) for m in marks] for t in asked], atol=1e-5)
+    inner = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    assert np.allclose(landmarks.table.T @ landmarks.table, inner, atol=1e-5)
+    # Ridge regression in the landmarks' span: the coefficients a that minimise the weighted squares and ridge * a' inner a.
+    y = np.array([i % 3 for i in range(40)])
+    weights, bias = langid.ridge(k[:40], inner, y, 3)
+    w = (1 / np.bincount(y))[y]
+    x = np.hstack([k[:40], np.ones((40, 1))])
+    penalty = np.zeros((7, 7))
+    penalty[:6, :6], penalty[6, 6] = inner, 1
+    best = np.linalg.solve((x * w[:, None]).T @ x + langid.RIDGE * 3 / 10 * penalty, (x * w[:, None]).T @ np.where(y[:, None] == np.arange(3), 1.0, -1.0))
+    assert np.allclose(np.vstack([weights, bias]), best, atol=1e-4)
+    model = langid.Model(["p", "q", "r"], landmarks.vocabulary, (landmarks.table @ weights).astype(np.float32), bias)
+    assert np.allclose(model.margins(pa.array(asked, pa.string())), k @ weights + bias, atol=1e-4)
+
+
+def test_long_texts_keep_their_language(spark):
+    r = random.Random(4)
+    ends = {"aa": ["tion", "ness", "the"], "bb": ["ung", "schaft", "der"]}
+    say = lambda lang, n: " ".join(r.choice("bcdfgh") + r.choice("aeiou") + r.choice(ends[lang]) for _ in range(n))
+    rows = [(i, say(lang, r.randrange(5, 60)), lang, "s", 0) for i, lang in enumerate(r.choices(list(ends), k=200))]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    asked = frame(spark, [say("aa", 20), say("aa", 500_000), say("bb", 20), say("bb", 500_000)])
+    said = sorted((x["doc_id"], x["lang_pred"], x["score"]) for x in langid.identify(asked, model).collect())
+    assert [x[1] for x in said] == ["aa", "aa", "bb", "bb"] and said[1][2] > said[0][2] - 0.1 and said[3][2] > said[2][2] - 0.1
 
 
 # --- 6 urls
