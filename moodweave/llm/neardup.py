@@ -5,9 +5,11 @@ consistent weighted sampling draws SAMPLES shingles a document, such that two do
 to their weighted Jaccard similarity; bands of samples file documents into buckets, and documents of one bucket are verified by
 that similarity itself, over whole texts.
 
-Document frequencies are exact and over all documents, for every shingle that at least RARE of the documents hold; rarer ones
-weigh as if that many did.  At most (shingles a document) / RARE shingles can be that frequent, so their table stays small and is
-sent to executors whatever the size of the corpus.
+Document frequencies are over all documents, for every shingle that at least RARE of the documents hold; rarer ones weigh as if
+that many did.  At most (shingles a document) / RARE shingles can be that frequent, so their table stays small and is sent to
+executors whatever the size of the corpus.  A large group of near copies would make its own shingles frequent and hence light,
+until what its members do not share outweighed all that they do; so documents that are frequent shingles for the most part count
+once for all that agree in their least one, and a passage that many different documents hold counts with each of them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import connected_components
-from .store import discard, is_small, settle
+from .store import discard, is_small, settle, unused
 from .vectordedup import _roots, grouped
 
 WORDS = 5
@@ -31,10 +33,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 RARE = 0.01
-#: How much more a rare shingle weighs than one that every document holds.
-SPREAD = 0.25
-#: Most documents of a bucket that are compared at once.
-BLOCK = 192
+#: Share of frequent shingles from which on documents are taken for copies of one another where frequencies are counted.
+MOSTLY = 0.5
+#: Most documents, and bytes of text, of a bucket that are compared at once (two documents always are).
+BLOCK, BLOCK_BYTES = 192, 64 << 20
 
 _rng = np.random.RandomState(20240907)
 _SEEDS = (_rng.randint(0, 1 << 32, SAMPLES).astype(np.uint64) << np.uint64(32)) | _rng.randint(0, 1 << 32, SAMPLES).astype(np.uint64) | np.uint64(1)
@@ -87,13 +89,12 @@ def _bags(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    """1 where all n documents hold a shingle, 1 + SPREAD where RARE of them or fewer do, in between by the logarithm of df."""
-    rarity = np.log(np.maximum(n, 1) / np.maximum(df, 1)) / math.log(1 / RARE)
-    return 1 + SPREAD * np.clip(rarity, 0, 1)
+    """ln((1 + n) / (1 + df)) + 1, where fewer than RARE of the n documents count as that many."""
+    return np.log((1 + n) / (1 + np.maximum(df, RARE * n))) + 1
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> Weights:
-    """Two passes: which shingles may be frequent, and how many documents hold those.
+    """Two passes: which shingles may be frequent, and how many documents, copies counting once, hold those.
 
     A shingle that RARE of all documents hold is held by at least half that share in blocks where half that share holds it; so
     blocks report what passes RARE / 2 locally, and sums that pass RARE / 2 of all documents are the candidates, at most
@@ -132,17 +133,37 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> Weights:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = maybe.value
-        total = np.zeros(len(wanted), np.int64)
+        order_of = np.sort(tc.mix(wanted))  # a group is named by its least shingle's rank
+        total, single = np.zeros(len(wanted), np.int64), 0
+        seen: set[int] = set()  # pairs of a group of copies and a shingle's place
         for batch in batches:
             for _, _, data, off in tc.blocks(batch.column("text")):
-                h, _, _ = _bags(data, off)
-                if len(h):
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    total += np.bincount(at[wanted[at] == h], minlength=len(wanted))
+                h, _, hoff = _bags(data, off)
+                at = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
+                hit = wanted[at] == h
+                each = np.concatenate([[0], np.cumsum(hit)])
+                held = each[hoff[1:]] - each[hoff[:-1]]
+                copies = (held > 0) & (held >= MOSTLY * np.diff(hoff))
+                doc = np.repeat(np.arange(len(copies)), np.diff(hoff))[hit]
+                at = at[hit]
+                total += np.bincount(at[~copies[doc]], minlength=len(wanted))
+                single += int((~copies).sum())
+                if copies.any():
+                    least = np.minimum.reduceat(tc.mix(wanted[at]), np.minimum(each[hoff[:-1]], max(0, len(at) - 1)))
+                    least = np.searchsorted(order_of, least)
+                    mine = copies[doc]
+                    seen.update(np.unique(least[doc[mine]] * len(wanted) + at[mine]).tolist())
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], names=["h", "c"])
-
-    exact = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).toArrow()
+        pairs = np.array(sorted(seen), np.int64)
+        group, at = pairs // len(wanted), pairs % len(wanted)
+        h = np.concatenate([wanted[some].view(np.int64), wanted[at].view(np.int64), [0]])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([np.full(len(some), -1), group, [-2]])), pa.array(np.concatenate([total[some], np.ones(len(at), np.int64), [single]]))], names=["h", "g", "c"])
+
+    held = texts.mapInArrow(count, "h long, g long, c long").groupBy("h", "g").agg(F.when(F.col("g") < 0, F.sum("c")).otherwise(F.lit(1)).alias("c"))
+    held = settle(held, "df-held")
+    n = held.agg(F.sum(F.when(F.col("g") == -2, F.col("c"))) + F.count_distinct(F.when(F.col("g") >= 0, F.col("g")))).first()[0] or 0
+    exact = held.where("g <> -2").groupBy("h").agg(F.sum("c").alias("c")).toArrow()
+    discard(held)
     h, c = exact.column("h").to_numpy().view(np.uint64), exact.column("c").to_numpy()
     order = np.argsort(h)
     return Weights(h[order], idf_of(c[order], n), float(idf_of(np.zeros(1), n)[0]))
@@ -222,45 +243,36 @@ def similarities(data: np.ndarray, off: np.ndarray, weights: Weights) -> np.ndar
 
 
 def _verify(members: DataFrame, texts: DataFrame, weights: Weights, label: str) -> DataFrame:
-    """Edges (u, v) that connect similar documents within each group of members(a, b, c, rep, side): all pairs where the group has
-    side 0 only, else pairs of differing sides or of two zeros.  A document's text is fetched once a group it is in.  Where
-    few documents are asked for, their keys are broadcast first, so that only their texts are shuffled."""
+    """Edges (u, v) that connect similar texts within each group of members(a, b, c, rep, same, side): all pairs where the group has
+    side 0 only, else pairs of differing sides or of two zeros.  A text is fetched once a group it is in, from the document rep.
+    Where few documents are asked for, their keys are broadcast first, so that only their texts are shuffled."""
     shipped = members.sparkSession.sparkContext.broadcast(weights)
-    reps = members.select("rep").distinct()
-    if is_small(reps, 64):
-        texts = texts.join(F.broadcast(reps), "rep", "left_semi")
-    full = texts.hint("shuffle_hash").join(members.hint("shuffle_hash"), "rep").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
+    reps = members.select("rep", "same").distinct()
+    if is_small(reps, 96):
+        texts = texts.join(F.broadcast(reps), ["rep", "same"], "left_semi")
+    full = texts.hint("shuffle_hash").join(members.hint("shuffle_hash"), ["rep", "same"]).repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in grouped(batches, ("a", "b", "c")):
-            reps, side = g.column("rep").to_numpy(), g.column("side").to_numpy()
-            _, keep = np.unique(reps, return_index=True)
-            data, off = tc.utf8(g.column("text").take(pa.array(keep)))
-            reps, side = reps[keep], side[keep]
-            if len(reps) < 2:
+            names, side = np.array(g.column("same").to_pylist()), g.column("side").to_numpy()
+            _, keep = np.unique(names, return_index=True)
+            if len(keep) < 2:
                 continue
+            data, off = tc.utf8(g.column("text").take(pa.array(keep)))
+            names, side = names[keep], side[keep]
             near = similarities(data, off, shipped.value) >= THRESHOLD - 1e-6
             near &= ~((side[:, None] == 1) & (side[None, :] == 1))
             root = _roots(near)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[root[at]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[at].tolist(), pa.string()), pa.array(names[root[at]].tolist(), pa.string())], names=["u", "v"])
 
-    return settle(full.select("a", "b", "c", "rep", "side", "text").mapInArrow(compare, "u long, v long"), label)
+    return settle(full.select("a", "b", "c", "same", "side", "text").mapInArrow(compare, "u string, v string"), label)
 
 
-def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, component_id (least doc_id of its class) and kept (it is that document).
-
-    A class is what a chain of exact copies or of pairs of similarity THRESHOLD or more connects.  Null texts are empty; texts
-    without words are similar only to exact copies; one of fewer than five words has one shingle.  A row with a null key is a class
-    of its own (component null, kept true).  Rows repeating a key belong to one class, whatever their texts.  Other columns are
-    not read.
-
-    Exact copies enter the comparison once.  A bucket of more than BLOCK documents is first compared in blocks that all hold the
-    bucket's first document; then, across blocks, only documents that are not yet connected are compared, so a large group of
-    near copies costs about as much as it has members and no pair of different texts in a bucket is left out.
-    """
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same) of every row, same being the text's MD5, and (same, component_id, first) of every text of rows with a key:
+    the class's least doc_id and its text's MD5."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = document_frequencies(rows)
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
@@ -275,54 +287,86 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     own = bands(draw(h, weights_of(h, n), np.append(hoff[some], hoff[-1])))
                     for d, k in zip(some.tolist(), own, strict=True):
                         keys[d] = k
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], batch.column("same")[first:end], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], batch.column("same")[first:end], pa.array(np.diff(off)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "bytes", "bands"])
 
     def weights_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         return shipped.value.of(h) * n
 
     named = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("same"), "text")
-    signed = settle(named.mapInArrow(sign, "doc_id long, same string, bands array<long>"), "near-signed")
-    classes = signed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    filed = settle(classes.select("same", "rep", F.posexplode("bands").alias("band", "bucket")), "near-filed")
+    signed = settle(named.mapInArrow(sign, "doc_id long, same string, bytes long, bands array<long>"), "near-signed")
+    classes = signed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    filed = settle(classes.select("same", "rep", "bytes", F.posexplode("bands").alias("band", "bucket")), "near-filed")
     by = ["band", "bucket"]
-    sizes = filed.groupBy(*by).agg(F.count("*").alias("size"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 24))).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.min("rep").alias("hub")).where("size > 1")
+    cut = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    sizes = filed.groupBy(*by).agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.sum(F.pmod(F.xxhash64("same"), F.lit(1 << 24))).alias("s"), F.bit_xor(F.xxhash64("same", F.lit(1))).alias("x"), F.min(F.struct("rep", "same")).alias("hub")).where("size > 1")
     # Buckets of the same members, as most of a pair's are, are compared once.
-    buckets = settle(sizes.groupBy("size", "s", "x", "hub").agg(F.min(F.struct(*by)).alias("p")).select("p.*", "size", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "near-buckets")
-    members = settle(filed.join(buckets, by).select(*by, "rep", "same", "hub", "blocks", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int").alias("block")), "near-members")
-    first = members.select(F.col("band").alias("a"), F.col("bucket").alias("b"), F.col("block").alias("c"), "rep", F.lit(0).alias("side"))
-    hubs = buckets.where("blocks > 1").select(F.col("band").alias("a"), F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), F.col("hub").alias("rep"), F.lit(0).alias("side"))
-    texts = named.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
+    buckets = settle(sizes.groupBy("size", "bytes", "s", "x", "hub").agg(F.min(F.struct(*by)).alias("p")).select("p.*", "size", "hub", F.least(cut(F.col("size"), F.col("bytes")), F.col("size").cast("int")).alias("blocks")), "near-buckets")
+    members = settle(filed.join(buckets, by).select(*by, "rep", "same", "bytes", "blocks", F.pmod(F.xxhash64("same", "band"), F.col("blocks")).cast("int").alias("block")), "near-members")
+    place = [F.col("band").alias("a"), F.col("bucket").alias("b")]
+    first = members.select(*place, F.col("block").alias("c"), "rep", "same", F.lit(0).alias("side"))
+    hubs = buckets.where("blocks > 1").select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), "hub.rep", "hub.same", F.lit(0).alias("side"))
+    texts = named.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "same", "text")
     edges = _verify(first.unionByName(hubs), texts, weights, "near-edges")
     linked = edges
     large = members.where("blocks > 1")
     if not large.isEmpty():
         parts = connected_components(edges, "near-cc1")
-        known = large.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).select(*by, "rep", "part", "block")
+        known = large.join(parts, F.col("same") == F.col("node"), "left").withColumn("part", F.coalesce("component", "same")).select(*by, "rep", "same", "bytes", "part", "block")
         known = settle(known, "near-known")
-        counted = known.groupBy(*by, "part").agg(F.count("*").alias("n"))
-        main = counted.groupBy(*by).agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("all")).where("m.n < all")
-        main = main.select(*by, F.col("m.part").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("outs"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("ins"))
+        counted = known.groupBy(*by, "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+        main = counted.groupBy(*by).agg(F.max(F.struct("n", "part", "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("bytes_all")).where("m.n < all")
+        main = main.select(*by, F.col("m.part").alias("main"), cut(F.col("all") - F.col("m.n"), F.col("bytes_all") - F.col("m.size")).alias("outs"), cut(F.col("m.n"), F.col("m.size")).alias("ins"))
         open_ = settle(known.join(main, by), "near-open")
-        h = F.xxhash64("rep", F.lit(7))
+        h = F.xxhash64("same", F.lit(7))
         outer = open_.where("part <> main").withColumn("own", F.pmod(h, F.col("outs")).cast("int"))
         inner = open_.where("part = main").withColumn("own", F.pmod(h, F.col("ins")).cast("int"))
         cell = lambda i, j: F.shiftleft(i.cast("long"), 32) + j.cast("long")
         groups = [
-            outer.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ins") - 1))).select(*by, cell(F.col("own"), F.col("o")).alias("c"), "rep", F.lit(0).alias("side")),
-            inner.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(*by, cell(F.col("o"), F.col("own")).alias("c"), "rep", F.lit(1).alias("side")),
-            outer.where("outs > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(*by, (-1 - cell(F.least("own", "o"), F.greatest("own", "o"))).alias("c"), "rep", F.lit(0).alias("side")),
+            outer.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ins") - 1))).select(*by, cell(F.col("own"), F.col("o")).alias("c"), "rep", "same", F.lit(0).alias("side")),
+            inner.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(*by, cell(F.col("o"), F.col("own")).alias("c"), "rep", "same", F.lit(1).alias("side")),
+            outer.where("outs > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(*by, (-1 - cell(F.least("own", "o"), F.greatest("own", "o"))).alias("c"), "rep", "same", F.lit(0).alias("side")),
         ]
-        again = groups[0].unionByName(groups[1]).unionByName(groups[2]).select(F.col("band").alias("a"), F.col("bucket").alias("b"), "c", "rep", "side")
+        again = groups[0].unionByName(groups[1]).unionByName(groups[2]).select(*place, "c", "rep", "same", "side")
         linked = edges.unionByName(_verify(again, texts, weights, "near-edges2"))
-    parts = connected_components(linked, "near-cc")
-    known = classes.select("same", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(known, "same", "left")
-    return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    parts = settle(connected_components(linked, "near-cc").join(classes.select("same", "rep"), F.col("node") == F.col("same")), "near-parts")
+    firsts = parts.groupBy("component").agg(F.min(F.struct("rep", "same")).alias("f"))
+    found = parts.join(firsts, "component").select("same", "f")
+    known = classes.select("same", "rep").join(found, "same", "left").select("same", F.coalesce("f.rep", "rep").alias("component_id"), F.coalesce("f.same", "same").alias("first"))
+    return signed.select("doc_id", "same"), known
+
+
+def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, component_id (least doc_id of its class) and kept (it is that document).
+
+    A class is what a chain of exact copies or of pairs of similarity THRESHOLD or more connects.  Null texts are empty; texts
+    without words are similar only to exact copies; one of fewer than five words has one shingle.  A row with a null key is a class
+    of its own (component null, kept true).  Rows that share a key but not their text are documents of their own; rows that share
+    both are alike.  Very long texts are taken whole; an empty table gives an empty result.  Other columns are not read.
+
+    Exact copies enter the comparison once.  A bucket of more than BLOCK documents, or of more than BLOCK_BYTES of text, is first
+    compared in blocks that all hold the bucket's first document; then, across blocks, only documents that are not yet connected
+    are compared, so a large group of near copies costs about as much as it has members and no pair of different texts in a
+    bucket is left out.
+    """
+    signed, known = _classes(docs, key, text)
+    out = signed.withColumn("same", F.when(F.col("doc_id").isNotNull(), F.col("same"))).join(known, "same", "left")
+    return out.select("doc_id", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("same").eqNullSafe(F.col("first"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each class, repeated rows included; rows with a null key stay."""
-    kept = find_groups(docs, key, text).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.where(F.col(key).isNotNull())
-    one = own.hint("shuffle_hash").join(kept.hint("shuffle_hash"), own[key] == F.col("__kept"), "left_semi").dropDuplicates([key])
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    """docs without all but one document of each class, and of rows that share key and text without all but any one; rows with a
+    null key stay.  Long texts, nulls and empty tables are as in `find_groups`; columns stay, whatever their names.
+
+    Only what goes is settled and taken off the documents, by a broadcast where Spark finds it small.
+    """
+    signed, known = _classes(docs, key, text)
+    rows = signed.where("doc_id is not null").groupBy("doc_id", "same").agg(F.count("*").alias("times"))
+    rows = rows.join(known, "same").withColumn("kept", (F.col("doc_id") == F.col("component_id")) & (F.col("same") == F.col("first")))
+    k, m = unused(docs, "of_key", "of_text")
+    odd = settle(rows.where("not kept or times > 1").select(F.col("doc_id").alias(k), F.col("same").alias(m), "kept"), "near-gone")
+    met = (docs[key] == F.col(k)) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col(m))
+    out = docs.join(odd.select(k, m), met, "left_anti")
+    again = odd.where("kept")
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(again.select(k, m), met, "left_semi").dropDuplicates([key, text]))
+    return out

@@ -590,21 +590,31 @@ def edited(text: str, n: int, seed: int) -> str:
 
 
 def plain_groups(rows: list[tuple]) -> list:
-    """Weighted Jaccard of all pairs, with exact document frequencies, and chains of them."""
+    """Weighted Jaccard of all pairs, with frequencies that count copies once, and chains of similar pairs."""
     bags = []
     for _, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
         w = re.findall(r"[a-z0-9]+", (t or "").lower())
+        h, c, _ = neardup._bags(data, np.array([0, len(data)]))
+        bags.append(dict(zip(h.tolist(), c.tolist(), strict=True)))
         grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
-        bag = {}
-        for g in grams:
-            bag[g] = bag.get(g, 0) + 1
-        bags.append(bag)
-    df = {}
+        assert sorted(bags[-1].values()) == sorted(grams.count(g) for g in set(grams))
+    held = {}
     for b in bags:
         for g in b:
+            held[g] = held.get(g, 0) + 1
+    order = lambda g: int(tc.mix(np.array([g], np.uint64))[0])
+    voices = {}  # what counts once: a document, or those that are frequent shingles mostly and agree in the least one
+    for d, b in enumerate(bags):
+        frequent = [g for g in b if held[g] >= max(2, len(rows) * neardup.RARE / 2)]
+        voice = min(frequent, key=order) if frequent and len(frequent) >= neardup.MOSTLY * len(b) else ("alone", d)
+        voices.setdefault(voice, set()).update(frequent)
+    n, df = len(voices), {}
+    for grams in voices.values():
+        for g in grams:
             df[g] = df.get(g, 0) + 1
+    idf = {g: float(neardup.idf_of(np.array([df.get(g, 0)]), n)[0]) for g in held}
     n = len(rows)
-    idf = {g: float(neardup.idf_of(np.array([d]), n)[0]) for g, d in df.items()}
     part = list(range(n))
     links = []
     for i, j in itertools.combinations(range(n), 2):
@@ -667,6 +677,31 @@ def test_near_duplicates_awkward_rows(spark):
     assert neardup.find_groups(odd.limit(0)).count() == 0 and neardup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_key_with_different_texts_are_all_kept(spark):
+    a, b, c = (" ".join(words(i, 60)) for i in (1, 2, 3))
+    rows = [(7, a, "x"), (7, b, "x"), (7, a, "x"), (9, edited(a, 1, 5), "y"), (5, b, "y"), (8, c, None), (None, a, "z"), (None, a, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of_key string")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(docs).collect())
+    assert kept == sorted([("7", a), ("5", b), ("8", c), ("None", a), ("None", a)])
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in neardup.find_groups(docs).collect())
+    assert got == sorted([("7", "7", True), ("7", "5", False), ("7", "7", True), ("9", "7", False), ("5", "5", True), ("8", "8", True), ("None", "None", True), ("None", "None", True)])
+
+
+def test_large_groups_of_copies_do_not_become_light(spark):
+    base = " ".join(words(1, 120))
+    texts = [edited(base, 1, i) for i in range(150)] + [" ".join(words(1000 + i, 120)) for i in range(150)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.find_groups(frame(spark, texts)).collect()}
+    assert all(got[i] == 0 for i in range(150)) and all(got[i] == i for i in range(150, 300))
+
+
+def test_long_texts_of_a_bucket_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 200_000)
+    base = " ".join(words(1, 40_000))
+    texts = [edited(base, 3, i) for i in range(6)] + [" ".join(words(50 + i, 300)) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.find_groups(frame(spark, texts)).collect()}
+    assert all(got[i] == 0 for i in range(6)) and all(got[i] == i for i in range(6, 26))
+
+
 # --- 10 fingerprints
 
 
