@@ -542,6 +542,13 @@ def test_mixing_awkward_rows(spark):
     assert mixing.plan_mix(odd).count() == odd.count()
     assert mixing.mix_documents(odd).columns == odd.columns
     assert mixing.plan_mix(odd.limit(0)).count() == 0 and mixing.mix_documents(odd.limit(0)).count() == 0
+    assert {p["__take"] for p in mixing.mix_documents(odd).collect()} == {"clash"}
+    alike = frame(spark, ["a b c d"] * 300).withColumn("doc_id", F.lit(4).cast("long")).withColumn("source", F.when(F.col("n_chars") > 0, F.lit("x")))
+    alike = alike.unionByName(frame(spark, ["p q"] * 40).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")}))
+    taken = {s: sum(p["taken"] for p in mixing.plan_mix(alike).collect() if p["source"] == s) for s in ("x", None)}
+    assert abs(taken["x"] - 1040) <= 150 and taken[None] == 240
+    got = mixing.mix_documents(alike).selectExpr("source", "size(split(trim(text), ' ')) n").collect()
+    assert {s: sum(g["n"] for g in got if g["source"] == s) for s in taken} == taken
     nothing = frame(spark, [None, ""])
     assert {p["taken"] for p in mixing.plan_mix(nothing).collect()} == {0}
 
