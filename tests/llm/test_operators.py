@@ -500,6 +500,33 @@ def test_rules_run_only_where_their_token_stands():
                 assert set(rule.tokens) <= set(re.findall(urlfilter.TOKEN, host + path))
 
 
+def test_tokens_are_derived_from_patterns():
+    clauses = lambda p: sorted(map(sorted, urlfilter.token_clauses(p)))
+    assert clauses(r"^(?:[^/]*\.)?example\.com/en/") == [["com"], ["en"], ["example"]]
+    assert clauses(r"^(?:[^/]*\.)?example\.com/e") == [["com"], ["example"]]
+    assert clauses(r"/(?:pixel|beacon)\.gif") == [["beacon", "pixel"]]
+    assert clauses(r"/(?:pixel|bea.on)\.gif$") == [["gif"]]
+    assert clauses(r"(?i)/Ads\b") == [["ads"]]
+    assert clauses(r"ads|x+|[a-z]ads/") == clauses(r"[0-9]ads/") == clauses(r"/ads\d") == clauses(r"/(?:ads/)?x") == clauses("") == []
+    assert clauses(r"/(?:ads/)+x") == [["ads"]] and clauses(r"[/.-]a1[^a-zA-Z0-9]") == [["a1"]]
+
+
+def test_indexed_rules_decide_as_all_rules_do(spark, tmp_path):
+    r = random.Random(12)
+    parts = ["ads", "Ads", "ads1", "pixel.gif", "beacon.php", "x", "wp-login.php", "a;jsessionid=1", "login", "loginx", "en", "es", "é", "ads2.x"]
+    urls = [f"http://{r.choice(['ads3.', 'ad1.', '', 'www.'])}{r.choice(['example', 'x', 'y-z'])}.{r.choice(['com', 'net', 'org'])}/" + "/".join(r.choice(parts) for _ in range(r.randrange(4))) for _ in range(600)]
+    (tmp_path / "rules.txt").write_text("# ours\n\nallow\thost\tnet/\nblock\tpattern\t(?i)/ADS(?:/|$)\nblock\tpattern\t[0-9]\nblock\tpattern\té\n")
+    for rules in (urlfilter.RULES, urlfilter.read_rules(spark, f"file://{tmp_path}/rules.txt"), urlfilter.RULES[-1:], ()):
+        got = {x["url"]: x for x in urlfilter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules=rules).collect()}
+        for u in urls:
+            key = got[u]["host"] + got[u]["path"]
+            fits = min(((q.tier, -len(q.name), q.name, q.verdict) for q in rules if re.search(q.pattern, key, re.S)), default=(0, 0, None, "allow"))
+            assert (got[u]["rule"] or got[u]["pattern_rule"], got[u]["verdict"]) == (fits[2], fits[3])
+    (tmp_path / "bad.txt").write_text("deny\thost\tx/\n")
+    with pytest.raises(ValueError):
+        urlfilter.read_rules(spark, f"file://{tmp_path}/bad.txt")
+
+
 # --- 7 mixing
 
 
