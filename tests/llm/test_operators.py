@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
@@ -613,6 +614,34 @@ def test_warc_threshold_and_empty(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_warc_records_have_what_the_standard_asks_for(spark):
+    r = random.Random(2)
+    rows = [(i, f"http://x/{i}", "é" * r.choice([3, 900, 4000, 40_000, 90_000])) for i in range(60)] + [(None, None, "é" * 900), (70, "http://x/" + "y" * 9000, "é" * 900)]
+    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string"), new_path(spark, "warc-test")
+    warc.write_archives(pages, path, file_bytes=100_000, date="2024-05-01T00:00:00Z")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path).collect()
+    seen, bodies = set(), {}
+    for f in files:
+        raw = gzip.decompress(f["content"])
+        records = list(warc._parse(f["content"]))
+        assert len(raw) <= 100_000 or len(records) == 1
+        for fields, block in records:
+            assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields) and fields["WARC-Date"] == "2024-05-01T00:00:00Z"
+            assert fields["WARC-Record-ID"] not in seen and re.fullmatch(r"<urn:(page:\d+|uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})>", fields["WARC-Record-ID"])
+            seen.add(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] == "response":
+                head, _, body = block.partition(b"\r\n\r\n")
+                assert head.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(body)}".encode() in head
+                assert fields["Content-Type"] == "application/http; msgtype=response"
+                bodies[fields["WARC-Record-ID"]] = body
+            else:
+                assert not block and {"WARC-Refers-To", "WARC-Profile"} <= set(fields)
+        for fields, _ in records:
+            if fields["WARC-Type"] == "revisit":
+                seen.add(("to", fields["WARC-Refers-To"]))
+    assert {x[1] for x in seen if x[0] == "to"} <= set(bodies) and len({*map(bytes, bodies.values())}) == len(bodies) == len({h for _, _, h in rows})
+
+
 # --- 9 near duplicates
 
 
