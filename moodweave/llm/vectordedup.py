@@ -4,6 +4,10 @@ Vectors are normalised; each of several tables files a vector under the floors o
 into cells of WIDTH.  Vectors of one bucket are compared by exact cosine in double precision.  k follows the number of vectors, so
 that chance brings few together, and the number of tables follows k, so that a pair just at the threshold is missed with the
 stated probability only.
+
+Buckets first meet as sketches, the signs of SKETCH more projections: a vector is fetched only for those buckets in which some
+other sketch is within FAR bits of its own, which two vectors at the threshold miss less than once in a million times and vectors
+at right angles reach as seldom.  So what is shuffled a table is a key and a sketch, however long the vectors are.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ THRESHOLD = 0.95
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 0.001
 #: Vectors at right angles that a bucket may hold by chance.
-STRANGERS = 128
+STRANGERS = 512
+#: Bits of a sketch, and how many of them may differ.
+SKETCH, FAR = 128, 32
 #: Most vectors of a bucket that are compared as one block; larger buckets are split into pairs of blocks.
 BLOCK = 1024
 
@@ -89,24 +95,40 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             for d in np.unique(sizes).tolist():
                 if d not in planes:
                     rng = np.random.RandomState(d % (1 << 31) + 17)
-                    planes[d] = rng.standard_normal((d, tables * k)), rng.uniform(0, WIDTH, tables * k), rng.randint(1, 1 << 62, k).astype(np.int64) | 1
+                    planes[d] = rng.standard_normal((d, tables * k + SKETCH)), rng.uniform(0, WIDTH, tables * k), rng.randint(1, 1 << 62, k).astype(np.int64) | 1
                 a, b, odd = planes[d]
                 at = whole[sizes == d]
                 values = [np.asarray(lists[i].values.to_numpy(zero_copy_only=False), dtype).tobytes() for i in at.tolist()]
-                cells = np.floor((_unit(values, dtype) @ a + b) / WIDTH).astype(np.int64).reshape(len(at), tables, k)
+                along = _unit(values, dtype) @ a
+                cells = np.floor((along[:, : tables * k] + b) / WIDTH).astype(np.int64).reshape(len(at), tables, k)
                 keys = ((cells * odd).sum(2) + np.int64(d)) >> np.int64(24)
                 keys = keys.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(at)), batch.column("m").take(pa.array(at)), pa.array(values, pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))], names=["rep", "m", "raw", "keys", "buckets"])
-
-    signed = settle(classes.select("rep", "m", "x").mapInArrow(sign, "rep long, m long, raw binary, keys binary, buckets array<int>"), "vec-signed")
-    filed = signed.select("rep", F.posexplode("buckets").alias("t", "bucket"))
+                bits = np.packbits(along[:, tables * k :] > 0, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(at)), batch.column("m").take(pa.array(at)), pa.array(values, pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32())), pa.array([r.tobytes() for r in bits], pa.binary())], names=["rep", "m", "raw", "keys", "buckets", "sketch"])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (t, bucket, lo, hi), g in grouped(batches, by):
+            side = g.column("side").to_numpy()
+            x = np.unpackbits(np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1), axis=1).astype(np.float32) * 2 - 1
+            agree = (x @ x.T) >= SKETCH - 2 * FAR
+            agree &= ~np.eye(len(side), dtype=bool) if lo == hi else side[:, None] != side[None, :]
+            some = np.flatnonzero(agree.any(1))
+            if len(some):
+                same = [pa.array(np.full(len(some), v)).cast(g.schema.field(c).type) for c, v in zip(by, (t, bucket, lo, hi), strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, g.column("rep").combine_chunks().take(pa.array(some)), pa.array(side[some])], names=[*by, "rep", "side"])
+
+    by = ("t", "bucket", "lo", "hi")
+    signed = settle(classes.select("rep", "m", "x").mapInArrow(sign, "rep long, m long, raw binary, keys binary, buckets array<int>, sketch binary"), "vec-signed")
+    filed = signed.select("rep", "sketch", F.posexplode("buckets").alias("t", "bucket"))
     sizes = filed.groupBy("t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     block = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = filed.join(sizes, ["t", "bucket"]).select("rep", "t", "bucket", block.alias("blocks"))
+    placed = filed.join(sizes, ["t", "bucket"]).select("rep", "sketch", "t", "bucket", block.alias("blocks"))
     mine = F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int")
     spread = placed.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("rep", "t", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    full = spread.join(signed.select("rep", "m", "raw", "keys"), "rep").repartition("t", "bucket", "lo", "hi").sortWithinPartitions("t", "bucket", "lo", "hi")
+    spread = spread.select("t", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "sketch", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = lambda df: df.repartition(*by).sortWithinPartitions(*by)
+    near = settle(dealt(spread).mapInArrow(screen, "t int, bucket int, lo int, hi int, rep long, side int"), "vec-near")
+    full = dealt(near.join(signed.select("rep", "m", "raw", "keys"), "rep"))
 
     def compare(t: int, lo: int, hi: int, reps: list, m: np.ndarray, raw: list, keys: np.ndarray, side: np.ndarray):
         degree, edges = np.zeros(len(reps), np.int64), []
@@ -140,7 +162,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             totals.clear(), edges.clear()
             return out
 
-        for (t, _, lo, hi), g in grouped(batches, ("t", "bucket", "lo", "hi")):
+        for (t, _, lo, hi), g in grouped(batches, by):
             reps = g.column("rep").to_pylist()
             keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), np.int32).reshape(len(reps), -1)
             degree, more = compare(t, lo, hi, reps, g.column("m").to_numpy(), g.column("raw").to_pylist(), keys, g.column("side").to_numpy())

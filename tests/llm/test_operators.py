@@ -293,6 +293,9 @@ def test_vector_parameters_miss_few():
         k, tables = vectordedup.parameters(n)
         near = vectordedup._meet(math.sqrt(2 - 2 * 0.95), vectordedup.WIDTH)
         assert (1 - near**k) ** tables <= vectordedup.MISS
+    bits, differ = vectordedup.SKETCH, math.acos(0.95) / math.pi
+    missed = sum(math.comb(bits, i) * differ**i * (1 - differ) ** (bits - i) for i in range(vectordedup.FAR + 1, bits + 1))
+    assert missed < 1e-6 and sum(math.comb(bits, i) for i in range(vectordedup.FAR + 1)) / 2**bits < 1e-6
 
 
 def test_components(spark):
