@@ -107,7 +107,7 @@ def snippet(words: Column, at: Column, around: int) -> Column:
 # Irregular comparisons and their base words.
 IRREGULAR = {"better": "good", "best": "good", "worse": "bad", "worst": "bad", "less": "little", "least": "little", "more": "many", "most": "many"}
 
-#: Ending, least length of the word, ending of the candidate, in the order of preference; a stem in -ed or -ing has variants.
+# Ending, least length of the word, ending of the candidate, in the order of preference; a stem in -ed or -ing has variants.
 SUFFIXES = (("ies", 5, "y"), ("ier", 5, "y"), ("iest", 6, "y"), ("es", 4, ""), ("s", 4, ""), ("ed", 4, None), ("ing", 5, None), ("ly", 4, ""), ("er", 5, ""), ("est", 6, ""), ("ness", 7, ""))
 
 
@@ -201,17 +201,30 @@ def normalise_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: Lines that an inner fold takes.
+_FOLD = 512
+
+
 def line_chunks(text: Column, most: int) -> Column:
     """array<string>: lines packed in order into chunks of up to `most` characters; a longer line is a chunk of its own."""
     empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("held"))
 
     def add(acc: Column, line: Column) -> Column:
         joined = F.concat(acc["held"], F.lit("\n"), line)
         full = acc["held"].isNotNull() & (F.length(joined) > most)
         return F.struct(F.when(full, F.array_append(acc["done"], acc["held"])).otherwise(acc["done"]).alias("done"), F.when(acc["held"].isNull() | full, line).otherwise(joined).alias("held"))
 
-    return F.aggregate(lines(text), start, add, lambda acc: F.when(acc["held"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["held"])))
+    def block(folded: Column, some: Column) -> Column:
+        """Appending copies what is there, so lines are folded by blocks, each a part of the result."""
+        start = F.struct(empty.alias("done"), F.try_element_at(folded, F.lit(-1))["held"].alias("held"))
+        return F.array_append(folded, F.aggregate(some, start, add))
+
+    def whole(t: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(t) - 1) / _FOLD).cast("int"))
+        none = F.array().cast("array<struct<done:array<string>,held:string>>")
+        return F.aggregate(blocks, none, lambda folded, b: block(folded, F.slice(t, b * _FOLD + 1, F.lit(_FOLD))), lambda folded: F.concat(F.flatten(F.transform(folded, lambda x: x["done"])), F.array_compact(F.array(F.element_at(folded, F.lit(-1))["held"]))))
+
+    return F.transform(F.array(lines(text)), whole)[0]
 
 
 def excerpt(text: Column, size: int, anchor: str | None = None) -> Column:

@@ -65,6 +65,18 @@ def blend(guess: Column, lexicon: Column, prior: Column, n_words: Column, half_a
     return let(strength, guess=guess, prior=prior, found=total(lexicon), n=n_words)
 
 
+def softmax(x: Column) -> Column:
+    def of(t: Column) -> Column:
+        return let(lambda u: F.transform(u["e"], lambda v: v / u["s"]), e=t["e"], s=total(t["e"]))
+
+    return let(of, e=let(lambda t: F.transform(t["x"], lambda v: F.exp(v - t["m"])), x=x, m=F.array_max(x)))
+
+
+def blend_prior(prior: Column, logits: Column, strength: float = 0.3) -> Column:
+    """(1 - strength) softmax(logits) + strength prior, made a distribution."""
+    return normalise(F.zip_with(softmax(logits), prior, lambda p, q: (1 - strength) * p + strength * q))
+
+
 def noisy_or(p: Column) -> Column:
     return 1 - F.aggregate(p, F.lit(1.0), lambda s, v: s * (1 - v))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 
 import pandas as pd
@@ -46,11 +47,28 @@ def strip_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return docs.select(F.col(key).alias("key")).join(joined, "key", "left").select(F.col("key").alias(key), F.coalesce(text, F.lit("")).alias(text))
 
 
-def pack_paragraphs(docs: DataFrame, budget: int, stride: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk, text, body_tokens, new_body_tokens): paragraphs in order, as many to a chunk as the budget of words allows;
-    a longer paragraph gives windows that overlap by `stride`, of which only the words not seen before count as new."""
+def pack_paragraphs(docs: DataFrame, budget: int, stride: int = 0, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, special: int = 2) -> DataFrame:
+    """(key, chunk, text, body_tokens, new_body_tokens): paragraphs in order, as many to a chunk as the budget allows; a longer
+    paragraph gives windows that overlap by `stride`, of which only the tokens not seen before count as new.
+
+    The budget is of words, or, with the path of a tokenizer file, of the tokenizer's tokens less `special`, those that a model adds;
+    a window then is its tokens' span of the text, and the tokens of paragraphs put together are counted anew.
+    """
+
+    def units(p: str, encode) -> list[tuple[int, int]]:
+        """Spans of a paragraph's tokens."""
+        return [m.span() for m in re.finditer(r"\S+", p)] if encode is None else encode(p, add_special_tokens=False).offsets
+
+    def spaced(p: str, spans: list[tuple[int, int]], encode) -> str:
+        return " ".join(p[a:b] for a, b in spans) if encode is None else p[spans[0][0] : spans[-1][1]]
 
     def fold(it):
+        encode = None
+        if tokenizer is not None:
+            from tokenizers import Tokenizer
+
+            encode = Tokenizer.from_file(tokenizer).encode
+        most = budget - special if encode else budget
         for pdf in it:
             out = []
             for k, parts in zip(pdf["key"], pdf["parts"], strict=True):
@@ -60,25 +78,27 @@ def pack_paragraphs(docs: DataFrame, budget: int, stride: int = 0, key: str = "d
                 def close() -> None:
                     nonlocal held, n, made
                     if held:
-                        out.append((k, made, "\n\n".join(held), n, n))
+                        whole = "\n\n".join(held)
+                        n = len(units(whole, encode)) if encode else n
+                        out.append((k, made, whole, n, n))
                         held, n, made = [], 0, made + 1
 
                 for p in parts:
-                    words = p.split()
+                    words = units(p, encode)
                     if not words:
                         continue
-                    if len(words) > budget:
+                    if len(words) > most:
                         close()
                         start = 0
                         while True:
-                            w = words[start : start + budget]
-                            out.append((k, made, " ".join(w), len(w), len(w) if start == 0 else len(w) - stride))
+                            w = words[start : start + most]
+                            out.append((k, made, spaced(p, w, encode), len(w), len(w) if start == 0 else max(1, len(w) - stride)))
                             made += 1
-                            if start + budget >= len(words):
+                            if start + most >= len(words):
                                 break
-                            start += budget - stride
+                            start += most - stride
                         continue
-                    if n + len(words) > budget:
+                    if n + len(words) > most:
                         close()
                     held.append(p)
                     n += len(words)
@@ -113,6 +133,27 @@ def contained(items: DataFrame, docs: DataFrame, probe_words: int = 8, item_key:
     return full.where(F.expr("instr(hay, needle) > 0")).select("item", "doc")
 
 
+def _anchors(block: str) -> list[str]:
+    """What a block may be found by where it does not stand exactly: its beginning, its first words, its middle."""
+    words, middle = block.split(), len(block) // 2
+    tried = [block[:80], block[:60], block[:40], " ".join(words[:8]) if len(words) >= 8 else "", " ".join(words[:12]) if len(words) >= 12 else "", block[middle : middle + 80] if len(block) > 160 else ""]
+    return list(dict.fromkeys(a.strip() for a in tried if len(a.strip()) >= 20))
+
+
+def _near(block: str, body: str, at: int) -> tuple[float, int]:
+    """The largest share of a block that matches a window of the text from `at` on, and where that window begins."""
+    places = {at}
+    for a in _anchors(block):
+        inside = block.find(a)
+        places.update(max(at, at + m.start() - inside) for m in itertools.islice(re.finditer(re.escape(a), body[at:]), 10))
+    shares = []
+    for p in places:
+        match = difflib.SequenceMatcher(None, block, body[p : p + 2 * len(block)], autojunk=False)
+        shares.append((sum(m.size for m in match.get_matching_blocks()) / len(block), -p))
+    share, p = max(shares)
+    return share, -p
+
+
 def blocks_in_order(pairs: DataFrame, least: float = 0.98, blocks: str = "blocks", text: str = "text") -> DataFrame:
     """pairs with `found` (every block stands in the text, in order) and `coverage` (the least share of a block that matches)."""
 
@@ -124,9 +165,7 @@ def blocks_in_order(pairs: DataFrame, least: float = 0.98, blocks: str = "blocks
                 for block in parts if parts is not None else []:
                     where = body.find(block, at)
                     if where < 0 and block:
-                        anchors = [m.start() for m in re.finditer(re.escape(block[:24]), body[at:])][:10] or [0]
-                        shares = [(sum(m.size for m in difflib.SequenceMatcher(None, block, body[at + a : at + a + 2 * len(block)], autojunk=False).get_matching_blocks()) / len(block), at + a) for a in anchors]
-                        share, where = max(shares)
+                        share, where = _near(block, body, at)
                         low, ok = min(low, share), ok and share >= least
                     at = max(at, where + len(block))
                 found.append(ok)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import settle
 from . import transport as ot
-from .lexicon import document_frequency
+from .lexicon import document_frequency, weight_multiplier
 
 
 def frequent_terms(df: DataFrame, k: int) -> DataFrame:
@@ -37,17 +37,26 @@ def weighted_terms(docs: DataFrame, n_docs: int, k: int, least_length: int = 2,
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['-]\p{L}+)*"), F.lit(0)), lambda t: F.length(t) >= least_length)
     counts = docs.select("doc_id", F.explode(words).alias("term"))
     if vocabulary is not None:
-        counts = counts.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
+        counts = counts.join(vocabulary.select("term").distinct(), "term", "left_semi")
     counts = counts.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return ranked_terms(counts, document_frequency(docs, least_length), n_docs, k, weights, default_weight)
 
 
-def ranked_terms(counts: DataFrame, df: DataFrame, n_docs: int, k: int, weights: DataFrame | None = None, default_weight: float = 1.0) -> DataFrame:
-    """`weighted_terms` of counts(doc_id, term, tf) that are already made, and df(term, df)."""
-    w = F.col("tf") * (F.ln((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1)
-    rows = counts.join(df, "term").select("doc_id", "term", "tf", w.alias("w"))
+def ranked_terms(counts: DataFrame, df: DataFrame | None, n_docs: int, k: int, weights: DataFrame | None = None, default_weight: float = 1.0, mode: str = "tfidf", least: float = 0.0, most: float = 1.0, power: float = 1.0, mix: float = 1.0) -> DataFrame:
+    """`weighted_terms` of counts(doc_id, term, tf) that are already made, and df(term, df); mode is tfidf, tf or uniform.
+
+    Term weights are clamped, raised and mixed as `weight_multiplier` does; terms that come to no weight are dropped.
+    """
+    if mode == "tfidf":
+        rows = counts.join(df, "term").withColumn("w", F.col("tf") * (F.ln((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1))
+    elif mode in ("tf", "uniform"):
+        rows = counts.withColumn("w", F.col("tf").cast("double") if mode == "tf" else F.lit(1.0))
+    else:
+        raise ValueError(f"unknown weights {mode}")
+    rows = rows.select("doc_id", "term", "tf", "w")
     if weights is not None:
-        rows = rows.join(weights.withColumnRenamed("weight", "term_weight"), "term", "left").withColumn("term_weight", F.coalesce("term_weight", F.lit(default_weight)))
+        rows = rows.join(weights.select("term", F.col("weight").alias("given")), "term", "left").withColumn("term_weight", weight_multiplier(F.col("given"), default_weight, least, most, power, mix)).drop("given")
+        rows = rows.where(F.col("w") * F.col("term_weight") > 0)
     else:
         rows = rows.withColumn("term_weight", F.lit(1.0))
     by = Window.partitionBy("doc_id").orderBy((F.col("w") * F.col("term_weight")).desc(), F.desc("term"))
@@ -93,21 +102,32 @@ def self_cost(a: dict, solver: ot.Solver, fill: float = 1.0) -> float:
     return float(ot.parts(w, w, cost, solver)["cost"][0])
 
 
+def _unpack(r) -> dict:
+    get = r.get if isinstance(r, dict) else r.__getitem__
+    return {"terms": list(get("terms")), "w": np.asarray(get("w"), float), "x": np.stack([np.asarray(v, float) for v in get("x")]), "conf": np.asarray(get("conf"), float)}
+
+
 def compare_pairs(pairs: DataFrame, clouds: DataFrame, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), flows: int = 8, fill: float = 1.0) -> DataFrame:
-    """pairs(i, j) with distance and the largest term flows; each pair row carries its two bounded clouds."""
-    c = clouds.select("doc_id", F.struct("terms", "w", "x", "conf").alias("cloud"))
-    both = pairs.join(c.select(F.col("doc_id").alias("i"), F.col("cloud").alias("a")), "i").join(c.select(F.col("doc_id").alias("j"), F.col("cloud").alias("b")), "j").select("i", "j", "a", "b")
+    """pairs(i, j) with distance and the largest term flows; each pair row carries its two bounded clouds and their self costs, which
+    are solved once a cloud."""
 
-    def unpack(r) -> dict:
-        get = r.get if isinstance(r, dict) else r.__getitem__
-        return {"terms": list(get("terms")), "w": np.asarray(get("w"), float), "x": np.stack([np.asarray(v, float) for v in get("x")]), "conf": np.asarray(get("conf"), float)}
+    def own(it):
+        for pdf in it:
+            yield pdf.assign(self_cost=[self_cost(_unpack({"terms": t, "w": w, "x": x, "conf": c}), solver, fill) if len(w) else 0.0 for t, w, x, c in zip(pdf["terms"], pdf["w"], pdf["x"], pdf["conf"], strict=True)])
+
+    asked = pairs.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct()
+    clouds = clouds.select("doc_id", "terms", "w", "x", "conf").join(asked, "doc_id", "left_semi")
+    clouds = settle(clouds.mapInPandas(own, "doc_id long, terms array<string>, w array<double>, x array<array<double>>, conf array<double>, self_cost double"), "pair-clouds")
+    c = clouds.select("doc_id", F.struct("terms", "w", "x", "conf", "self_cost").alias("cloud"))
+    both = pairs.join(c.select(F.col("doc_id").alias("i"), F.col("cloud").alias("a")), "i").join(c.select(F.col("doc_id").alias("j"), F.col("cloud").alias("b")), "j").select("i", "j", "a", "b")
 
     def solve(it):
         for pdf in it:
             out = []
             for i, j, a, b in zip(pdf["i"], pdf["j"], pdf["a"], pdf["b"], strict=True):
-                a, b = unpack(a), unpack(b)
-                d, more = cloud_distance(a, b, solver, self_cost(a, solver, fill), self_cost(b, solver, fill), fill)
+                self_a, self_b = (c["self_cost"] for c in (a, b))
+                a, b = _unpack(a), _unpack(b)
+                d, more = cloud_distance(a, b, solver, self_a, self_b, fill)
                 moved = [{"from": a["terms"][p], "to": b["terms"][q], "mass": m, "contribution": c} for p, q, m, c in ot.top_flows(more["plan"], more["cost"], flows, diagonal=True)]
                 out.append((i, j, d, moved))
             yield pd.DataFrame(out, columns=["i", "j", "distance", "flows"])
@@ -159,17 +179,17 @@ def _costs_to_all(q: dict, first: np.ndarray, points: np.ndarray, places: list[n
     return out
 
 
-#: Rows of a batch that meets a block of queries in one task, and cells of the plans that are solved at once (about what a cache holds).
-BATCH_ROWS, BLOCK_CELLS = 512, 1 << 16
+#: Cells of the plans that are solved at once (about what a cache holds).
+BLOCK_CELLS = 1 << 16
 
 
 def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), fill: float = 1.0) -> DataFrame:
     """(query, id, distance, rank): the k nearest clouds of each query document among all others, ties by id; empty clouds take no part.
 
-    Every query is solved against every cloud: blocks of queries meet batches of clouds, as in `neighbours`, and distances are those
-    of `compare_pairs`, where plans start from the document of the lesser id.  Masses balance.
+    Every query is solved against every cloud, in blocks as in `neighbours`, and distances are those of `compare_pairs`, where plans
+    start from the document of the lesser id.  Masses balance.
     """
-    from .neighbours import BLOCK
+    from .neighbours import search
 
     if solver.unbalanced:
         raise ValueError("clouds are compared with balanced masses")
@@ -184,35 +204,20 @@ def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solv
             yield pd.DataFrame({"id": pdf["id"], "w": weights, "p": [np.column_stack([np.stack(x), c]).ravel() for x, c in zip(pdf["x"], pdf["conf"], strict=True)], "self_cost": selves})
 
     full = clouds.where(F.size("terms") > 0).select(F.col("doc_id").alias("id"), "w", "x", "conf")
-    rows = settle(full.mapInPandas(prepare, "id long, w array<double>, p array<double>, self_cost double"), "cloud-rows")
-    picked = rows.where(queries)
-    columns = ("id", "w", "p", "self_cost")
-    n_blocks, n_batches = max(1, -(-picked.count() // BLOCK)), max(1, -(-rows.count() // BATCH_ROWS))
-    blocks = picked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(*[F.collect_list(c).alias(f"q_{c}") for c in columns])
-    batches = rows.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_batches)).alias("batch")).agg(*[F.collect_list(c).alias(c) for c in columns])
-    met = batches.join(blocks, how="cross").repartition(min(n_blocks * n_batches, 4096), F.col("batch"), F.col("block"))
-
-    def nearest(it):
-        for pdf in it:
-            for _, r in pdf.iterrows():
-                order = np.argsort([len(w) for w in r["w"]], kind="stable")
-                ids, s = np.asarray(r["id"])[order], np.asarray(r["self_cost"], float)[order]
-                weights = [np.asarray(r["w"][i], float) for i in order]
-                points, at = np.unique(np.concatenate([np.asarray(r["p"][i], float).reshape(-1, 4) for i in order]), axis=0, return_inverse=True)
-                places = np.split(at.ravel(), np.cumsum([len(w) for w in weights])[:-1])
-                out = []
-                for q, w, p, qs in zip(r["q_id"], r["q_w"], r["q_p"], r["q_self_cost"], strict=True):
-                    p = np.asarray(p, float).reshape(-1, 4)
-                    d = _costs_to_all({"w": np.asarray(w, float), "x": p[:, :3], "conf": p[:, 3]}, q < ids, points, places, weights, solver, fill) - (s + qs) / 2
-                    d[ids == q] = np.inf
-                    best = np.lexsort((ids, d))[:k]
-                    best = best[np.isfinite(d[best])]
-                    out.append(pd.DataFrame({"query": q, "id": ids[best], "distance": d[best]}))
-                yield pd.concat(out)
-
-    near = met.drop("batch", "block").mapInPandas(nearest, "query long, id long, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def distances(asked: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+        part = part.iloc[np.argsort([len(w) for w in part["w"]], kind="stable")]
+        ids, s = part["id"].to_numpy(), part["self_cost"].to_numpy(float)
+        weights = [np.asarray(w, float) for w in part["w"]]
+        points, at = np.unique(np.concatenate([np.asarray(p, float).reshape(-1, 4) for p in part["p"]]), axis=0, return_inverse=True)
+        places = np.split(at.ravel(), np.cumsum([len(w) for w in weights])[:-1])
+        out = np.empty((len(asked), len(part)))
+        for i, (q, w, p, qs) in enumerate(zip(asked["id"], asked["w"], asked["p"], asked["self_cost"], strict=True)):
+            p = np.asarray(p, float).reshape(-1, 4)
+            out[i, part.index] = _costs_to_all({"w": np.asarray(w, float), "x": p[:, :3], "conf": p[:, 3]}, q < ids, points, places, weights, solver, fill) - (s + qs) / 2
+        return out
+
+    return search(full.mapInPandas(prepare, "id long, w array<double>, p array<double>, self_cost double"), queries, k, distances)
 
 
 def candidate_pairs(clouds: DataFrame, queries: Column, k: int = 50) -> DataFrame:

@@ -51,7 +51,7 @@ def is_negator(term: Column, following: Column, extra: tuple[str, ...] = NEGATOR
 
 def emotion_counts(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, emotion, count, hits): a term of several emotions gives each an equal share.  The lexicon is a bounded table."""
-    hit = tokens.join(F.broadcast(lexicon.select("term", "emotion", "shared")), "term")
+    hit = tokens.join(lexicon.select("term", "emotion", "shared"), "term")
     return hit.groupBy("doc_id", "emotion").agg((F.sum((F.lit(UNITS) / F.col("shared")).cast("long")) / UNITS).alias("count"), F.count("*").alias("hits"))
 
 
@@ -64,10 +64,22 @@ def profiles(docs: DataFrame, counts: DataFrame, emotions: int = 8) -> DataFrame
 
 def vad_means(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, v, a, d, vad_hits): unweighted means over the words that have values."""
-    hit = tokens.join(F.broadcast(terms.select("term", "v", "a", "d")), "term")
+    hit = tokens.join(terms.select("term", "v", "a", "d"), "term")
     return hit.groupBy("doc_id").agg(F.avg("v").alias("v"), F.avg("a").alias("a"), F.avg("d").alias("d"), F.count("*").alias("vad_hits"))
 
 
+def vad_with_fallback(docs: DataFrame, tokens: DataFrame, words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, v, a, d, vad_hits, vad_source): means over the words that have values of their own, else over emotion entries, each of a
+    word's emotions weighing its share, else zeros."""
+    own = vad_means(tokens, words)
+    hit = tokens.join(lexicon.select("term", "v", "a", "d", "shared"), "term")
+    entries = hit.groupBy("doc_id").agg(*[(F.sum(F.col(c) / F.col("shared")) / F.sum(1 / F.col("shared"))).alias(f"e_{c}") for c in "vad"], F.sum((F.lit(UNITS) / F.col("shared")).cast("long")).alias("e_units"))
+    both = docs.select("doc_id").join(own, "doc_id", "left").join(entries, "doc_id", "left")
+    source = F.when(F.col("vad_hits") > 0, "vad_lexicon").when(F.col("e_units") > 0, "emotion_lexicon").otherwise("none")
+    hits = F.coalesce("vad_hits", (F.col("e_units") / UNITS).cast("long"), F.lit(0)).cast("long")
+    return both.select("doc_id", *[F.coalesce(c, f"e_{c}", F.lit(0.0)).alias(c) for c in "vad"], hits.alias("vad_hits"), source.alias("vad_source"))
+
+
 def longest_matches(docs: DataFrame, phrases: dict[str, str], negators: tuple[str, ...] = (), window: int = 0) -> DataFrame:
     """(doc_id, start, n_words, phrase, emotion, negated) of multi-word terms, longest first, left to right, matches consuming their words.
 

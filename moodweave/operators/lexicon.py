@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -99,7 +99,7 @@ def filter_entries(lexicon: DataFrame, stops: DataFrame | None = None, least_int
     """Entries that pass the thresholds (a missing intensity counts as failing one); with a prototype flag, only measured ones."""
     kept = lexicon
     if stops is not None:
-        kept = kept.join(F.broadcast(stops.select("term")), "term", "left_anti")
+        kept = kept.join(stops.select("term"), "term", "left_anti")
     if least_intensity > 0:
         kept = kept.where(F.coalesce("intensity", F.lit(-1.0)) >= least_intensity)
     if least_salience > 0:
@@ -117,6 +117,40 @@ def emotional_terms(terms: DataFrame, threshold: float, least_arousal: float, in
     return terms.where(F.when(F.col(in_lexicon), lex).otherwise(other))
 
 
+def concat_sources(sources: list[DataFrame], flag: str = "is_prototype") -> DataFrame:
+    """(term, emotion, v, a, d, is_prototype) of lexicons put one after another: of entries of one term and emotion the last one that
+    was measured wins, else the last.  Sources without the flag count as measured."""
+    parts = [s.select(F.lower("term").alias("term"), "emotion", "v", "a", "d", (F.col(flag) if flag in s.columns else F.lit(False)).alias(flag), F.lit(i).alias("source")) for i, s in enumerate(sources)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    best = F.max_by(F.struct("v", "a", "d", flag), F.struct(~F.col(flag), F.col("source"), F.col("v"), F.col("a"), F.col("d")))
+    return rows.groupBy("term", "emotion").agg(best.alias("x")).select("term", "emotion", "x.*")
+
+
+def expand_with_neighbours(lexicon: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """lexicon(term, emotion, v, a, d) and, for each of its terms, the term's neighbours(term, neighbour) in the same emotion with the
+    same values; a neighbour that the emotion has already stays as it is, one of several terms takes the first term's values."""
+    more = lexicon.select("term", "emotion", "v", "a", "d").join(neighbours, "term").groupBy("emotion", F.col("neighbour")).agg(F.min_by(F.struct("v", "a", "d"), "term").alias("x"))
+    more = more.select(F.col("neighbour").alias("term"), "emotion", "x.*").join(lexicon.select("term", "emotion"), ["term", "emotion"], "left_anti")
+    return lexicon.select("term", "emotion", "v", "a", "d").unionByName(more)
+
+
+def vocabulary_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: terms of either, of both, of the first only, of the second only, and whether the first is a subset of the second."""
+    x, y = a.select("term").distinct().withColumn("x", F.lit(1)), b.select("term").distinct().withColumn("y", F.lit(1))
+    both = x.join(y, "term", "full_outer")
+    counts = both.agg(F.count("*").alias("either"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("both"), F.count_if(F.col("y").isNull()).alias("first_only"), F.count_if(F.col("x").isNull()).alias("second_only"))
+    return counts.withColumn("subset", F.col("first_only") == 0)
+
+
+def weight_multiplier(weight: Column, default: float = 1.0, least: float = 0.0, most: float = 1.0, power: float = 1.0, mix: float = 1.0) -> Column:
+    """1 - mix + mix * w^power, w being the weight (default where there is none) within [least, most]."""
+    mix = max(0.0, min(1.0, mix))
+    w = F.greatest(F.lit(float(least)), F.least(F.lit(float(max(least, most))), F.coalesce(weight, F.lit(float(default)))))
+    return F.lit(1.0 - mix) + F.lit(mix) * F.pow(w, F.lit(float(power)))
+
+
 def term_weights(intensity: DataFrame, terms: DataFrame, w_intensity: float = 0.6, w_salience: float = 0.4, least: float = 0.05) -> DataFrame:
     """(term, weight): weighted mean of the greatest intensity and the salience of a term, a missing one 0, clamped to [least, 1]."""
     i = intensity.groupBy("term").agg(F.max("intensity").alias("i"))

@@ -32,6 +32,21 @@ def choose_measure(rows: DataFrame, unbalanced: bool, unit: str = "words") -> st
     raise ValueError("no column to compare by")
 
 
+def mass_of(rows: DataFrame, name: str, unit: str = "words") -> str | None:
+    """The measure whose sum scales a distribution where mass need not balance: the first that the columns allow."""
+    if name == "lex_prior":
+        wanted = [f"lex_counts_per_1k_{unit}", "lex_counts"]
+    else:
+        wanted = [f"pred_counts_calibrated_per_1k_{unit}", f"pred_counts_per_1k_{unit}", f"pred_mixscaled_per_1k_{unit}", "pred_counts_calibrated", "pred_counts", "lex_counts"]
+    columns = set(rows.columns)
+    return next((m for m in wanted if m in columns or (m in DERIVED and set(DERIVED[m]) <= columns)), None)
+
+
+def emotion_axis(rows: DataFrame, key: str = "doc_id", names: str = "emotions") -> list[str]:
+    """The emotions of the first row by key, which name the axis of all vectors."""
+    return list(rows.where(F.col(names).isNotNull()).agg(F.min_by(names, key).alias("e")).first()["e"] or [])
+
+
 def mass_scaled(rows: DataFrame, vector: str, mass: str | None) -> DataFrame:
     """The vector made a distribution and, if there is a mass measure, multiplied by that measure's sum."""
     scaled = normalise(F.col(vector))

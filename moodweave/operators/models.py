@@ -36,6 +36,18 @@ class LexiconPredictions:
         return chunks.withColumn("probs", F.transform(smooth, lambda c: c / total))
 
 
+def predict_documents(chunks: DataFrame, provider: ScoreProvider, vectors: tuple[str, ...] = ("probs",), key: str = "doc_id", weight: str = "new_tokens") -> DataFrame:
+    """Document predictions of any provider: its chunk vectors averaged by the tokens that each chunk adds, with n_chunks and n_tokens."""
+    said = provider.predict(chunks)
+    each = said.select(key, "chunk", weight, *vectors)
+    out = each.groupBy(key).agg(F.count("*").alias("n_chunks"), F.sum(weight).alias("n_tokens"))
+    for v in vectors:
+        at = each.select(key, weight, F.posexplode(v).alias("i", "x")).groupBy(key, "i").agg((F.sum(F.col("x") * F.col(weight)) / F.sum(weight)).alias("x"))
+        packed = at.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias(v))
+        out = out.join(packed, key)
+    return out
+
+
 def class_from_probabilities(probs: Column, low: int = -1) -> tuple[Column, Column, Column]:
     """Predicted class (the first of the largest), its signed form, and the expected signed value."""
     best = F.array_position(probs, F.array_max(probs)) - 1
@@ -86,6 +98,22 @@ def logistic(rows: DataFrame, features: list[str], outcome: str, iterations: int
     return LogisticRegression(featuresCol="__x", labelCol=outcome, maxIter=iterations, regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False).fit(data)
 
 
+def row_losses(probs: Column, labels: Column, mask: Column, vad: Column, vad_gold: Column, uniform_transport: Column) -> Column:
+    """struct<cross_entropy, vad, transport, terms> of one row's stored predictions: what `mean_loss` adds up."""
+    p = F.transform(probs, lambda x: F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), x)))
+    each = F.zip_with(F.zip_with(p, labels, lambda a, b: -(b * F.ln(a) + (1 - b) * F.ln(1 - a))), mask, lambda a, m: a * m)
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    squares = F.zip_with(vad, vad_gold, lambda a, b: (a - b) * (a - b))
+    return F.struct(add(each).alias("cross_entropy"), (add(squares) / F.size(vad)).alias("vad"), uniform_transport.alias("transport"), add(F.transform(mask, lambda m: m.cast("double"))).alias("terms"))
+
+
+def mean_loss(rows: DataFrame, losses: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """One row: masked cross-entropy a known label, mean squared VAD error, mean transport, and their weighted sum."""
+    c = F.col(losses)
+    out = rows.agg((F.sum(c["cross_entropy"]) / F.greatest(F.sum(c["terms"]), F.lit(1.0))).alias("cross_entropy"), F.avg(c["vad"]).alias("vad"), F.avg(c["transport"]).alias("transport"))
+    return out.withColumn("loss", weights[0] * F.col("cross_entropy") + weights[1] * F.col("vad") + weights[2] * F.col("transport"))
+
+
 def composite_loss(probs: np.ndarray, labels: np.ndarray, mask: np.ndarray, vad: np.ndarray, vad_gold: np.ndarray, transport: np.ndarray, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> float:
     """Masked cross-entropy, squared VAD error and mean transport, weighted: what training minimises, over stored predictions."""
     p = np.clip(probs, 1e-7, 1 - 1e-7)

@@ -1,12 +1,14 @@
 """Searches of documents against documents: by transport between emotion profiles, and by cosine between vectors.
 
-The queries are a stated part of the rows.  They are packed into blocks of at most BLOCK vectors; each block meets each batch of rows
-once, a task keeps only the best k of a batch for each query, and a window over those gives the final k.  Neither side is ever
-collected and no pair row outlives its batch.
+The queries are a stated part of the rows.  They are taken in blocks of at most BLOCK, each sent whole to the tasks; every task reads
+its part of the rows once a block and keeps only the best k of it for each query, and a window over those gives the final k.  No
+row is shuffled for a query, and no pair outlives its batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,59 +17,103 @@ from pyspark.sql import functions as F
 from ..storage import settle
 from . import transport as ot
 
-BLOCK = 512
+#: Queries that are sent to the tasks at once, rows that meet them at once, and pairs that a task should have at most.
+BLOCK, BATCH, PAIRS = 2048, 1024, 1 << 22
 
 
-def _search(rows: DataFrame, queries: Column, k: int, distance, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(query, id, distance, rank): of rows(id, x, self_cost, extra...) the k nearest of each query row, itself excluded, ties by id."""
-    rows = settle(rows, "search-rows")
-    picked = rows.where(queries)
-    n = max(1, -(-picked.count() // BLOCK))
-    blocks = picked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(*[F.collect_list(c).alias(f"q_{c}") for c in ("id", "x", "self_cost")])
-    batches = rows.groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-rows.count() // 2048)))).alias("batch")).agg(*[F.collect_list(c).alias(c) for c in ("id", "x", "self_cost")])
-    met = batches.join(blocks, how="cross").repartition(F.col("batch"), F.col("block"))
+def search(rows: DataFrame, queries: Column, k: int | None, distances: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], with_self: bool = False) -> DataFrame:
+    """(query, id, distance, rank): of rows(id, ...) the k nearest of each query row, ties by id; itself excluded unless asked for.
 
-    def nearest(it):
-        for pdf in it:
-            for _, r in pdf.iterrows():
-                ids, x, s = np.asarray(r["id"]), np.stack(r["x"]).astype(float), np.asarray(r["self_cost"], float)
-                out = []
-                for q, qx, qs in zip(r["q_id"], r["q_x"], r["q_self_cost"], strict=True):
-                    d = distance(np.asarray(qx, float), float(qs), x, s)
-                    d[ids == q] = np.inf
-                    best = np.lexsort((ids, d))[:k]
-                    best = best[np.isfinite(d[best])]
-                    out.append(pd.DataFrame({"query": q, "id": ids[best], "distance": d[best]}))
-                yield pd.concat(out)
-
-    near = met.drop("batch", "block").mapInPandas(nearest, "query long, id long, distance double")
+    distances gives the [queries, rows] matrix of a block and a batch.  Without k all distances are kept, and there is no rank.
+    """
+    spark = rows.sparkSession
+    rows = settle(rows, "search-rows")
+    n, asked = rows.count(), rows.where(queries).count()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n * min(asked, BLOCK) // PAIRS))
+    blocks = max(1, -(-asked // BLOCK))
+    spread = settle(rows.repartition(max(1, min(n, tasks))), "search-spread")
+    found = None
+    for b in range(blocks):
+        mine = rows.where(queries).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        block = mine.toPandas().sort_values("id", ignore_index=True)  # about BLOCK rows
+        one = settle(spread.mapInPandas(_nearest(spark.sparkContext.broadcast(block), k, distances, with_self), "query long, id long, distance double"), "search-found")
+        found = one if found is None else found.unionByName(one)
+    if k is None:
+        return found
     w = Window.partitionBy("query").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def transport_neighbours(profiles: DataFrame, queries: Column, cost: np.ndarray, solver: ot.Solver = ot.Solver(), k: int = 10, vector: str = "x", key: str = "doc_id") -> DataFrame:
-    """Nearest documents by transport between their measures; self costs are solved once a document."""
+def _nearest(block, k: int | None, distances, with_self: bool):
+    def run(it):
+        q = block.value
+        asked = q["id"].to_numpy()
+        ids, far = [np.zeros(0, np.int64)] * len(q), [np.zeros(0)] * len(q)
+        for pdf in it:
+            for start in range(0, len(pdf), BATCH) if len(q) else ():
+                part = pdf.iloc[start : start + BATCH].reset_index(drop=True)
+                there = part["id"].to_numpy()
+                d = distances(q, part)
+                if not with_self:
+                    d[asked[:, None] == there[None, :]] = np.inf
+                if k is None:
+                    i, j = np.nonzero(np.isfinite(d))
+                    yield pd.DataFrame({"query": asked[i], "id": there[j], "distance": d[i, j]})
+                    continue
+                for i in range(len(q)):
+                    both, place = np.concatenate([far[i], d[i]]), np.concatenate([ids[i], there])
+                    best = np.lexsort((place, both))[:k]
+                    best = best[np.isfinite(both[best])]
+                    far[i], ids[i] = both[best], place[best]
+        if k is not None and len(q):
+            yield pd.DataFrame({"query": np.repeat(asked, [len(x) for x in ids]), "id": np.concatenate(ids), "distance": np.concatenate(far)})
+
+    return run
+
+
+def _prepared(profiles: DataFrame, cost: np.ndarray, solver: ot.Solver, vector: str, key: str) -> DataFrame:
+    """(id, x, self_cost): measures as the solver wants them; self costs are solved once a document."""
 
     def prepare(it):
         for pdf in it:
             x = solver.prepare(np.stack(pdf["x"])) if len(pdf) else np.zeros((0, len(cost)))
             yield pd.DataFrame({"id": pdf["id"], "x": list(x), "self_cost": ot.self_costs(x, cost, solver)})
 
-    rows = profiles.select(F.col(key).alias("id"), F.col(vector).alias("x")).mapInPandas(prepare, "id long, x array<double>, self_cost double")
+    return profiles.select(F.col(key).alias("id"), F.col(vector).alias("x")).mapInPandas(prepare, "id long, x array<double>, self_cost double")
 
-    def distance(q, q_self, x, x_self):
-        a = np.broadcast_to(q, x.shape)
-        return ot.distances(a, x, np.full(len(x), q_self), x_self, cost, solver)
 
-    return _search(rows, queries, k, distance)
+def _transport(cost: np.ndarray, solver: ot.Solver):
+    def distances(q: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+        x, s = np.stack(part["x"]).astype(float), part["self_cost"].to_numpy(float)
+        return np.stack([ot.distances(np.broadcast_to(np.asarray(qx, float), x.shape), x, np.full(len(x), qs), s, cost, solver) for qx, qs in zip(q["x"], q["self_cost"], strict=True)])
+
+    return distances
+
+
+def transport_neighbours(profiles: DataFrame, queries: Column, cost: np.ndarray, solver: ot.Solver = ot.Solver(), k: int = 10, vector: str = "x", key: str = "doc_id") -> DataFrame:
+    """Nearest documents by transport between their measures."""
+    return search(_prepared(profiles, cost, solver, vector, key), queries, k, _transport(cost, solver))
+
+
+def distance_rows(profiles: DataFrame, rows: Column, cost: np.ndarray, solver: ot.Solver = ot.Solver(), vector: str = "x", key: str = "doc_id") -> DataFrame:
+    """(query, id, distance): the stated rows of the distance matrix of all profiles; `F.lit(True)` gives it whole.
+
+    The diagonal is 0 for divergences, and there only; without one, the query is the side that mass starts from.
+    """
+    far = search(_prepared(profiles, cost, solver, vector, key), rows, None, _transport(cost, solver), with_self=True)
+    return far.withColumn("distance", F.when(F.col("query") == F.col("id"), 0.0).otherwise(F.col("distance"))) if solver.divergence else far
 
 
 def cosine_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Nearest vectors by half of one minus cosine; rows without a vector take no part."""
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    rows = rows.withColumn("self_cost", norm).where(F.col("self_cost") > 0)
-    return _search(rows, queries, k, lambda q, qn, x, n: np.clip((1 - (x @ q) / (n * qn)) / 2, 0, 1))
+
+    def distances(q: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+        lengths = q["norm"].to_numpy()[:, None] * part["norm"].to_numpy()[None, :]
+        return np.clip((1 - np.stack(q["x"]) @ np.stack(part["x"]).T / lengths) / 2, 0, 1)
+
+    return search(rows.withColumn("norm", norm).where(F.col("norm") > 0), queries, k, distances)
 
 
 def against_mean(profiles: DataFrame, cost: np.ndarray, solver: ot.Solver, k: int = 3, vector: str = "x", key: str = "doc_id") -> DataFrame:

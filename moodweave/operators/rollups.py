@@ -9,10 +9,20 @@ from ..storage import settle
 
 
 def by_period_and_type(rows: DataFrame, period: str, kind: str, value: str) -> DataFrame:
-    """n, mean and median of value by period and type, and by period over all types (type ALL), in one pass."""
+    """n, mean and median of value by period and type, and by period over all types (type ALL), in one pass over the rows."""
     rows = rows.where(F.col(period).isNotNull() & F.col(kind).isNotNull())
-    grouped = rows.groupingSets([[period, kind], [period]], period, kind).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"))
-    return grouped.select(period, F.when(F.col("g") > 0, "ALL").otherwise(F.col(kind)).alias(kind), "n", "mean", "median")
+    # Rows are first counted by value, so a median sorts distinct values of a group, and a running count finds its middle.
+    counted = rows.groupBy(period, kind, value).agg(F.count("*").alias("c"), F.sum(value).alias("s"))
+    both = counted.groupingSets([[period, kind, value], [period, value]], period, kind, value).agg(F.grouping_id().alias("g"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    both = both.select(period, F.when(F.col("g") > 0, "ALL").otherwise(F.col(kind)).alias(kind), value, "c", "s")
+    group = Window.partitionBy(period, kind)
+    known = F.when(F.col(value).isNotNull(), F.col("c")).otherwise(0)
+    upto = F.sum(known).over(group.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"known": known, "upto": upto, "all": F.sum(known).over(group)})
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)  # places from 0 of the middle values
+    here = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("known") <= at)
+    grouped = placed.groupBy(period, kind).agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("known")).alias("mean"), ((F.max(F.when(here(low), F.col(value))) + F.max(F.when(here(high), F.col(value)))) / 2).alias("median"))
+    return grouped.select(period, kind, "n", "mean", "median")
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "row") -> DataFrame:
@@ -44,6 +54,44 @@ def upper_median(x: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
 
 
+def signal_stats(rows: DataFrame, flag: str = "low_emotion_signal", signal: str = "emotion_signal_per_1k_words") -> DataFrame:
+    """One row: docs, low_emotion_signal, its rate, and the mean signal of the rows that have one."""
+    low = F.count_if(F.col(flag))
+    return rows.agg(F.count("*").alias("docs"), low.alias("low_emotion_signal"), F.when(F.count("*") > 0, low / F.count("*")).alias("low_emotion_signal_rate"), F.avg(signal).alias("emotion_signal_per_1k_words_mean"))
+
+
+def compare_runs(runs: dict[str, DataFrame], **names) -> DataFrame:
+    """signal_stats of runs over the same documents, a row a run, with what differs from the first run."""
+    out, base = None, None
+    for i, (run, rows) in enumerate(runs.items()):
+        s = signal_stats(rows, **names).withColumns({"run": F.lit(run), "place": F.lit(i)})
+        out = s if out is None else out.unionByName(s)
+    first = out.where("place = 0").select(F.col("low_emotion_signal_rate").alias("base_rate"), F.col("emotion_signal_per_1k_words_mean").alias("base_mean"))
+    return out.join(F.broadcast(first)).withColumns({"rate_change": F.col("low_emotion_signal_rate") - F.col("base_rate"), "mean_change": F.col("emotion_signal_per_1k_words_mean") - F.col("base_mean")}).drop("place", "base_rate", "base_mean")  # one row
+
+
+def intensity_of(rows: DataFrame, i: Column) -> Column:
+    """A document's value of an emotion for a ranking: the first that its row has of calibrated and plain counts per thousand words,
+    mixed rates, calibrated and plain distributions."""
+    from .measures import measure
+
+    kinds = ("pred_counts_calibrated_per_1k_words", "pred_counts_per_1k_words", "pred_mixscaled_per_1k_words", "pred_dist_calibrated", "pred_dist")
+    base = {k: k.removesuffix("_per_1k_words") if k.startswith("pred_counts") else k for k in kinds}
+    have = [k for k in kinds if base[k] in rows.columns]
+    if not have:
+        raise ValueError("no measure to rank by")
+    return F.coalesce(*[F.try_element_at(measure(k), (i + 1).cast("int")) for k in have])
+
+
+def strongest_documents(rows: DataFrame, emotions: int, k: int, key: str = "doc_id") -> DataFrame:
+    """(emotion, rank, key, score): for each emotion the k documents of the highest `intensity_of`, ties by key; documents flagged low, and
+    those without a value, take no part."""
+    open_ = rows.where(~F.coalesce("low_emotion_signal", F.lit(False))) if "low_emotion_signal" in rows.columns else rows
+    at = open_.withColumn("emotion", F.explode(F.sequence(F.lit(0), F.lit(emotions - 1))))
+    scored = at.select(key, "emotion", F.round(intensity_of(rows, F.col("emotion")), 6).alias("score")).where("score is not null")
+    return top_per_group(scored, "emotion", k, F.desc("score"), F.col(key)).select("emotion", "rank", key, "score")
+
+
 def separation(distance: str, same: Column) -> Column:
     """(mean between - mean within) over the pooled population deviation."""
     within, between = F.when(same, F.col(distance)), F.when(~same, F.col(distance))

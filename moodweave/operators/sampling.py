@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
 from .rollups import numbered
 
 
@@ -36,13 +37,34 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int, rest: int, seed:
 def balanced(rows: DataFrame, key: str, kind: str, n: int, seed: str) -> DataFrame:
     """(key, kind): n rows, as evenly as the kinds allow: an equal share of each (the first kinds by name one more), and what a
     small kind lacks from the rows that come next in drawing order."""
-    kinds = sorted(r[kind] for r in rows.select(kind).distinct().collect())  # classes
-    if not kinds:
-        return rows.select(key, kind)
-    share = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(n // len(kinds) + (i < n % len(kinds))))])
-    d = rows.select(key, kind, draw(F.col(key), seed).alias("draw"))
+    kinds = settle(rows.select(kind).where(F.col(kind).isNotNull()).distinct(), "kinds")
+    count = kinds.count()
+    if not count:
+        return rows.select(key, kind).limit(0)
+    early = kinds.orderBy(kind).limit(min(n % count, n)).select(kind, F.lit(1).alias("more"))
+    share = kinds.join(early, kind, "left").select(kind, (F.lit(n // count) + F.coalesce("more", F.lit(0))).alias("share"))
+    d = rows.where(F.col(kind).isNotNull()).select(key, kind, draw(F.col(key), seed).alias("draw"))
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy("draw", key))).where(F.col("rank") <= n)
-    first = ranked.where(F.col("rank") <= share[F.col(kind)])
+    ranked = settle(ranked.join(share, kind), "ranked")  # n rows a kind at most, read three times
+    first = ranked.where(F.col("rank") <= F.col("share"))
     missing = n - first.count()
-    more = ranked.where(F.col("rank") > share[F.col(kind)]).orderBy("draw", key).limit(max(0, missing))
+    more = ranked.where(F.col("rank") > F.col("share")).orderBy("draw", key).limit(max(0, missing))
     return first.unionByName(more).select(key, kind)
+
+
+def split_rows(rows: DataFrame, key: str, ratio: float, seed: str) -> DataFrame:
+    """(key, split): dev for the first rows in drawing order, train for the rest."""
+    return split_groups(rows, key, ratio, seed)
+
+
+def simple(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows of all, those that are drawn first; every column stays."""
+    return rows.orderBy(draw(F.col(key), seed), key).limit(n)
+
+
+def split_counts(rows: DataFrame, split: str, groups: str, label: str) -> DataFrame:
+    """(split, label, rows, groups): a histogram of labels by split, and of each split over all labels (label ALL)."""
+    sets = rows.select(split, F.coalesce(F.col(label).cast("string"), F.lit("unlabelled")).alias(label), groups)
+    each = sets.groupBy(split, label).agg(F.count("*").alias("rows"), F.count_distinct(groups).alias("groups"))
+    whole = sets.groupBy(split).agg(F.count("*").alias("rows"), F.count_distinct(groups).alias("groups")).withColumn(label, F.lit("ALL"))
+    return each.unionByName(whole)

@@ -64,6 +64,11 @@ def term_vad_cost(x: np.ndarray, y: np.ndarray, conf_x: np.ndarray, conf_y: np.n
     return d * both + fill * (1 - both)
 
 
+def mixed_cost(embedding: np.ndarray, vad: np.ndarray, alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
+    """alpha times the cosine cost and beta times the VAD cost, whose missing confidence then costs nothing (fill 0)."""
+    return alpha * embedding + beta * vad
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     m = x.max(-1)
     return m + np.log(np.exp(x - m[..., None]).sum(-1))

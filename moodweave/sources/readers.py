@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,46 @@ from ..functions.vectors import rescale_vad
 from ..operators.lexicon import scale_of
 
 
+# Names by which the files of a lexicon folder are known.
+VAD_NAMES = ("NRC-VAD-Lexicon*.txt", "NRC-VAD-Lexicon*.tsv", "NRC-VAD-Lexicon*.csv")
+INTENSITY_NAME = "NRC-Emotion-Intensity-Lexicon-v1.txt"
+
+
+def files_under(spark: SparkSession, path: str, deep: bool = True) -> list[tuple[str, str, int]]:
+    """(path, name, bytes) of the files under a folder by path, or of the file itself, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    found = fs.listFiles(at, deep)
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getPath().getName(), f.getLen()))
+    return sorted(out)
+
+
+def vad_file(spark: SparkSession, path: str) -> str:
+    """A VAD lexicon in a folder: the first by name that is called as the published ones are, else the largest table with VAD in its name."""
+    files = files_under(spark, path, deep=False)
+    if len(files) == 1 and files[0][0].rstrip("/").endswith(path.rstrip("/").split(":")[-1].lstrip("/")):
+        return files[0][0]
+    for pattern in VAD_NAMES:
+        for at, name, _ in files:
+            if fnmatchcase(name, pattern):
+                return at
+    other = [(size, at) for at, name, size in files if "vad" in name.lower() and name.lower().endswith((".txt", ".tsv", ".csv"))]
+    if not other:
+        raise FileNotFoundError(f"no VAD lexicon under {path}")
+    return max(other)[1]
+
+
+def intensity_file(spark: SparkSession, path: str) -> str | None:
+    """An intensity lexicon in a folder: by its published name, else by "intensity" in the name (translated ones aside), else the first text."""
+    files = [(at, name) for at, name, _ in files_under(spark, path) if name.endswith(".txt") or at.rstrip("/").endswith(path.rstrip("/").split(":")[-1].lstrip("/"))]
+    ranked = sorted(files, key=lambda f: (f[1] != INTENSITY_NAME, not ("intensity" in f[1].lower() and "forvariouslanguages" not in f[1].lower()), f[0]))
+    return ranked[0][0] if ranked else None
+
+
 def text_folder(spark: SparkSession, path: str, recursive: bool = True, suffix: str = ".txt", strip: bool | None = None) -> DataFrame:
     """(path, stem, text) of files with the suffix in either case.  With strip None, files named ICJ_... lose their boilerplate."""
     either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
@@ -50,14 +92,14 @@ def _term(word: Column) -> Column:
 def _with_vad(rows: DataFrame, word_vad: DataFrame, prototypes: DataFrame) -> DataFrame:
     w = word_vad.select("term", *[F.col(c).alias(f"w_{c}") for c in "vad"])
     p = prototypes.select("emotion", *[F.col(c).alias(f"p_{c}") for c in "vad"])
-    out = rows.join(w, "term", "left").join(F.broadcast(p), "emotion", "left")
+    out = rows.join(w, "term", "left").join(p, "emotion", "left")
     return out.select("term", "emotion", *[F.coalesce(f"w_{c}", f"p_{c}").alias(c) for c in "vad"], F.col("w_v").isNull().alias("is_prototype")).where("v is not null")
 
 
 def word_vad(spark: SparkSession, path: str, scale: str | None = None) -> DataFrame:
     """(term, v, a, d) on -1 to 1.  Fields are split at tabs, else commas, else white space; values are the three after the term, else
-    the last three; lines without three numbers (headers) are skipped; the last of repeated terms wins."""
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    the last three; lines without three numbers (headers) are skipped; the last of repeated terms wins.  In a folder, `vad_file` is read."""
+    raw = spark.read.text(vad_file(spark, path)).select("value", F.monotonically_increasing_id().alias("line"))
     value = F.col("value")
     f = F.when(value.contains("\t"), F.split(value, "\t")).when(value.contains(","), F.split(value, ",")).otherwise(F.split(F.trim(value), r"\s+"))
     number = lambda i: F.try_element_at(F.col("f"), F.lit(i)).try_cast("double")
@@ -66,7 +108,7 @@ def word_vad(spark: SparkSession, path: str, scale: str | None = None) -> DataFr
     ok = lambda xs: xs[0].isNotNull() & xs[1].isNotNull() & xs[2].isNotNull()
     rows = raw.select("line", f.alias("f")).select("line", _term(F.col("f")[0]).alias("term"), *[F.when(ok(first), a).when(ok(last), b).alias(c) for a, b, c in zip(first, last, "vad", strict=True)])
     rows = rows.where("v is not null and term <> ''").groupBy("term").agg(F.max_by(F.struct("v", "a", "d"), "line").alias("x")).select("term", "x.*")
-    mode = F.lit(scale) if scale else F.lit(scale_of(rows).first()["mode"])
+    mode = F.lit(scale) if scale else F.lit(scale_of(rows).first()["mode"])  # one row
     return rows.select("term", *[rescale_vad(F.col(c), mode).alias(c) for c in "vad"])
 
 
@@ -81,8 +123,8 @@ def json_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def intensities(spark: SparkSession, path: str) -> DataFrame:
-    """(term, emotion, score): the greatest score of lines term, emotion, score."""
-    rows = spark.read.schema("term string, emotion string, score string").option("sep", "\t").csv(path)
+    """(term, emotion, score): the greatest score of lines term, emotion, score.  In a folder, `intensity_file` is read."""
+    rows = spark.read.schema("term string, emotion string, score string").option("sep", "\t").csv(intensity_file(spark, path) or path)
     rows = rows.select(_term(F.col("term")).alias("term"), F.lower("emotion").alias("emotion"), F.col("score").try_cast("double").alias("score")).where("score is not null and term <> ''")
     return rows.groupBy("term", "emotion").agg(F.max("score").alias("score"))
 
