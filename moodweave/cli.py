@@ -15,8 +15,13 @@ from .operators import transport as ot
 from .sources import readers, sinks
 
 
+def _texts(spark, path):
+    """Texts in the normal form that words are found in."""
+    return readers.text_folder(spark, path).withColumn("text", tx.nfkc(F.col("text")))
+
+
 def _score(spark, a, cfg):
-    docs = readers.text_folder(spark, a.input).withColumn("doc_id", F.xxhash64("path")).withColumn("meta", tx.parse_file_name(F.col("path")))
+    docs = _texts(spark, a.input).withColumn("doc_id", F.xxhash64("path")).withColumn("meta", tx.parse_file_name(F.col("path")))
     lex = readers.json_lexicon(spark, a.lexicon) if a.lexicon else lexicon.seed_table(spark)
     place = F.array_position(F.array(*map(F.lit, lexicon.EMOTIONS)), F.col("emotion")).cast("int") - 1
     lex = lex.withColumn("emotion", place).where("emotion >= 0")
@@ -40,7 +45,7 @@ def _explain(spark, a, cfg):
 
 
 def _compare_tokens(spark, a, cfg):
-    docs = readers.text_folder(spark, a.input).select(F.xxhash64("path").alias("doc_id"), "text")
+    docs = _texts(spark, a.input).select(F.xxhash64("path").alias("doc_id"), "text")
     vad = readers.word_vad(spark, a.vad).withColumn("conf", F.lit(1.0))
     sinks.json_lines(comparison.compare_clouds(docs, vad, F.expr(a.queries), cfg), a.output, "overwrite")
 

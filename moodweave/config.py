@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from .operators.transport import Solver
+from .operators.transport import Solver, TermCost
 
 
 @dataclass(frozen=True)
@@ -22,10 +22,21 @@ class Config:
     min_arousal: float = 0.45
     negation_window: int = 3
     low_signal_filter: bool = False
+    weight: str = "tfidf"
+    weight_min: float = 0.0
+    weight_max: float = 1.0
+    weight_power: float = 1.0
+    weight_mix: float = 1.0
+    cost: str = "vad"
+    alpha: float = 0.5
+    beta: float = 0.5
 
     def solver(self) -> Solver:
         return Solver(self.mode, self.epsilon, self.iterations, self.reg_m)
 
+    def term_cost(self) -> TermCost:
+        return TermCost(self.cost, self.alpha, self.beta)
+
 
 def coerce(value, like):
     """The value as the type of `like`: texts such as yes and 0 are booleans where one is due."""

@@ -63,12 +63,16 @@ def ranked_terms(counts: DataFrame, df: DataFrame | None, n_docs: int, k: int, w
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def build_clouds(terms: DataFrame, vad: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def build_clouds(terms: DataFrame, vad: DataFrame, docs: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(doc_id, terms, w, x, conf): each document's cloud; terms without values have confidence 0 and stand at the origin.
 
-    With docs, those without terms are kept and have empty clouds.
+    With docs, those without terms are kept and have empty clouds.  With vectors(term, vector), embeddings made elsewhere, a point is
+    its values and its vector, and terms without one are left out.
     """
     rows = terms.join(vad.select("term", F.array("v", "a", "d").alias("x"), "conf"), "term", "left")
+    if vectors is not None:
+        vad_or_origin = F.coalesce("x", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+        rows = rows.join(vectors.select("term", F.transform("vector", lambda e: e.cast("double")).alias("vector")), "term").withColumn("x", F.concat(vad_or_origin, "vector")).drop("vector")
     one = F.struct("rank", "term", (F.col("w") * F.col("term_weight")).alias("w"), F.coalesce("x", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))).alias("x"), F.coalesce("conf", F.lit(0.0)).alias("conf"))
     packed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
     if docs is not None:
@@ -85,18 +89,18 @@ def centroids(clouds: DataFrame) -> DataFrame:
     return clouds.where(F.size("terms") > 0).select("doc_id", F.transform(mean, lambda v: v / F.greatest(norm, F.lit(1e-12))).alias("centroid"))
 
 
-def cloud_distance(a: dict, b: dict, solver: ot.Solver, self_a: float, self_b: float, fill: float = 1.0) -> tuple[float, dict]:
-    cost = ot.term_vad_cost(a["x"], b["x"], a["conf"], b["conf"], fill)
+def cloud_distance(a: dict, b: dict, solver: ot.Solver, self_a: float, self_b: float, term_cost: ot.TermCost = ot.TermCost()) -> tuple[float, dict]:
+    cost = term_cost(a["x"], b["x"], a["conf"], b["conf"])
     p = ot.parts(solver.prepare(a["w"][None]), solver.prepare(b["w"][None]), cost, solver)
     d = float(p["cost"][0]) - (self_a + self_b) / 2
     return d, {"plan": p["plan"][0], "cost": cost}
 
 
-def self_cost(a: dict, solver: ot.Solver, fill: float = 1.0) -> float:
+def self_cost(a: dict, solver: ot.Solver, term_cost: ot.TermCost = ot.TermCost()) -> float:
     """Cost of a cloud against itself, staying put being free; only divergences take it off."""
     if not solver.divergence:
         return 0.0
-    cost = ot.term_vad_cost(a["x"], a["x"], a["conf"], a["conf"], fill)
+    cost = term_cost(a["x"], a["x"], a["conf"], a["conf"])
     np.fill_diagonal(cost, 0.0)
     w = solver.prepare(a["w"][None])
     return float(ot.parts(w, w, cost, solver)["cost"][0])
@@ -107,13 +111,13 @@ def _unpack(r) -> dict:
     return {"terms": list(get("terms")), "w": np.asarray(get("w"), float), "x": np.stack([np.asarray(v, float) for v in get("x")]), "conf": np.asarray(get("conf"), float)}
 
 
-def compare_pairs(pairs: DataFrame, clouds: DataFrame, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), flows: int = 8, fill: float = 1.0) -> DataFrame:
+def compare_pairs(pairs: DataFrame, clouds: DataFrame, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), flows: int = 8, term_cost: ot.TermCost = ot.TermCost()) -> DataFrame:
     """pairs(i, j) with distance and the largest term flows; each pair row carries its two bounded clouds and their self costs, which
     are solved once a cloud."""
 
     def own(it):
         for pdf in it:
-            yield pdf.assign(self_cost=[self_cost(_unpack({"terms": t, "w": w, "x": x, "conf": c}), solver, fill) if len(w) else 0.0 for t, w, x, c in zip(pdf["terms"], pdf["w"], pdf["x"], pdf["conf"], strict=True)])
+            yield pdf.assign(self_cost=[self_cost(_unpack({"terms": t, "w": w, "x": x, "conf": c}), solver, term_cost) if len(w) else 0.0 for t, w, x, c in zip(pdf["terms"], pdf["w"], pdf["x"], pdf["conf"], strict=True)])
 
     asked = pairs.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct()
     clouds = clouds.select("doc_id", "terms", "w", "x", "conf").join(asked, "doc_id", "left_semi")
@@ -127,7 +131,7 @@ def compare_pairs(pairs: DataFrame, clouds: DataFrame, solver: ot.Solver = ot.So
             for i, j, a, b in zip(pdf["i"], pdf["j"], pdf["a"], pdf["b"], strict=True):
                 self_a, self_b = (c["self_cost"] for c in (a, b))
                 a, b = _unpack(a), _unpack(b)
-                d, more = cloud_distance(a, b, solver, self_a, self_b, fill)
+                d, more = cloud_distance(a, b, solver, self_a, self_b, term_cost)
                 moved = [{"from": a["terms"][p], "to": b["terms"][q], "mass": m, "contribution": c} for p, q, m, c in ot.top_flows(more["plan"], more["cost"], flows, diagonal=True)]
                 out.append((i, j, d, moved))
             yield pd.DataFrame(out, columns=["i", "j", "distance", "flows"])
@@ -135,12 +139,12 @@ def compare_pairs(pairs: DataFrame, clouds: DataFrame, solver: ot.Solver = ot.So
     return both.mapInPandas(solve, "i long, j long, distance double, flows array<struct<from:string,to:string,mass:double,contribution:double>>")
 
 
-def _costs_to_all(q: dict, first: np.ndarray, points: np.ndarray, places: list[np.ndarray], weights: list[np.ndarray], solver: ot.Solver, fill: float) -> np.ndarray:
-    """Transport cost between a cloud and each of many, whose terms are places in a table of distinct points (v, a, d, conf).
+def _costs_to_all(q: dict, first: np.ndarray, points: np.ndarray, places: list[np.ndarray], weights: list[np.ndarray], solver: ot.Solver, term_cost: ot.TermCost) -> np.ndarray:
+    """Transport cost between a cloud and each of many, whose terms are places in a table of distinct points (those of the cost, then the confidence).
 
     first[i]: the query is the side that plans start from.  The clouds come in order of size, so few cells of a block are padding.
     """
-    cost = ot.term_vad_cost(points[:, :3], q["x"], points[:, 3], q["conf"], fill)
+    cost = term_cost(points[:, :-1], q["x"], points[:, -1], q["conf"])
     if cost.max() > ot.SAFE * solver.epsilon:
         out = np.empty(len(places))
         for i, (at, w) in enumerate(zip(places, weights, strict=True)):
@@ -183,7 +187,7 @@ def _costs_to_all(q: dict, first: np.ndarray, points: np.ndarray, places: list[n
 BLOCK_CELLS = 1 << 16
 
 
-def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), fill: float = 1.0) -> DataFrame:
+def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solver = ot.Solver("sinkhorn_divergence"), term_cost: ot.TermCost = ot.TermCost()) -> DataFrame:
     """(query, id, distance, rank): the k nearest clouds of each query document among all others, ties by id; empty clouds take no part.
 
     Every query is solved against every cloud, in blocks as in `neighbours`, and distances are those of `compare_pairs`, where plans
@@ -199,7 +203,7 @@ def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solv
             selves, weights = [], []
             for w, x, conf in zip(pdf["w"], pdf["x"], pdf["conf"], strict=True):
                 c = {"w": np.asarray(w, float), "x": np.stack(x).astype(float), "conf": np.asarray(conf, float)}
-                selves.append(self_cost(c, solver, fill))
+                selves.append(self_cost(c, solver, term_cost))
                 weights.append(solver.prepare(c["w"]))
             yield pd.DataFrame({"id": pdf["id"], "w": weights, "p": [np.column_stack([np.stack(x), c]).ravel() for x, c in zip(pdf["x"], pdf["conf"], strict=True)], "self_cost": selves})
 
@@ -209,12 +213,12 @@ def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solv
         part = part.iloc[np.argsort([len(w) for w in part["w"]], kind="stable")]
         ids, s = part["id"].to_numpy(), part["self_cost"].to_numpy(float)
         weights = [np.asarray(w, float) for w in part["w"]]
-        points, at = np.unique(np.concatenate([np.asarray(p, float).reshape(-1, 4) for p in part["p"]]), axis=0, return_inverse=True)
+        points, at = np.unique(np.concatenate([np.asarray(p, float).reshape(len(w), -1) for p, w in zip(part["p"], weights, strict=True)]), axis=0, return_inverse=True)
         places = np.split(at.ravel(), np.cumsum([len(w) for w in weights])[:-1])
         out = np.empty((len(asked), len(part)))
         for i, (q, w, p, qs) in enumerate(zip(asked["id"], asked["w"], asked["p"], asked["self_cost"], strict=True)):
-            p = np.asarray(p, float).reshape(-1, 4)
-            out[i, part.index] = _costs_to_all({"w": np.asarray(w, float), "x": p[:, :3], "conf": p[:, 3]}, q < ids, points, places, weights, solver, fill) - (s + qs) / 2
+            p = np.asarray(p, float).reshape(len(w), -1)
+            out[i, part.index] = _costs_to_all({"w": np.asarray(w, float), "x": p[:, :-1], "conf": p[:, -1]}, q < ids, points, places, weights, solver, term_cost) - (s + qs) / 2
         return out
 
     return search(full.mapInPandas(prepare, "id long, w array<double>, p array<double>, self_cost double"), queries, k, distances)

@@ -64,9 +64,27 @@ def term_vad_cost(x: np.ndarray, y: np.ndarray, conf_x: np.ndarray, conf_y: np.n
     return d * both + fill * (1 - both)
 
 
-def mixed_cost(embedding: np.ndarray, vad: np.ndarray, alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
-    """alpha times the cosine cost and beta times the VAD cost, whose missing confidence then costs nothing (fill 0)."""
-    return alpha * embedding + beta * vad
+@dataclass(frozen=True)
+class TermCost:
+    """Cost between terms given as points (v, a, d, then an embedding, if any) and confidences.
+
+    mode: vad, where missing confidence costs in full; embedding, half of one minus cosine; embedding_vad, alpha times the one and beta
+    times the other, where missing confidence costs nothing.
+    """
+
+    mode: str = "vad"
+    alpha: float = 0.5
+    beta: float = 0.5
+
+    def __post_init__(self):
+        if self.mode not in ("vad", "embedding", "embedding_vad"):
+            raise ValueError(f"unknown cost {self.mode}")
+
+    def __call__(self, x: np.ndarray, y: np.ndarray, conf_x: np.ndarray, conf_y: np.ndarray) -> np.ndarray:
+        if self.mode == "vad":
+            return term_vad_cost(x[:, :3], y[:, :3], conf_x, conf_y, 1.0)
+        near = cosine_cost(x[:, 3:], y[:, 3:])
+        return near if self.mode == "embedding" else self.alpha * near + self.beta * term_vad_cost(x[:, :3], y[:, :3], conf_x, conf_y, 0.0)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
