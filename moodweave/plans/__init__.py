@@ -1 +1,6 @@
+"""Registered queries, and the SQL that states them again."""
 
+from . import catalogue, connectors, oracles
+
+QUERIES = catalogue.QUERIES | connectors.QUERIES
+ORACLES = oracles.ORACLES | connectors.ORACLES

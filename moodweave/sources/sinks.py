@@ -33,7 +33,7 @@ def stage(spark: SparkSession, path: str, parameters: dict, make) -> DataFrame:
     return spark.read.parquet(path).drop("_signature")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def text_file(spark: SparkSession, path: str, text: str) -> None:
     """A small file on whatever file system the path names, put in place by a rename."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     at, part = fs_path(path), fs_path(path + ".part")
@@ -46,13 +46,13 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def json_document(spark: SparkSession, path: str, payload) -> None:
-    _write_text(spark, path, json.dumps(payload, ensure_ascii=False, indent=2, default=str) + "\n")
+    text_file(spark, path, json.dumps(payload, ensure_ascii=False, indent=2, default=str) + "\n")
 
 
 def yaml_document(spark: SparkSession, path: str, payload: dict) -> None:
     import yaml
 
-    _write_text(spark, path, yaml.safe_dump(payload, sort_keys=False, allow_unicode=True))
+    text_file(spark, path, yaml.safe_dump(payload, sort_keys=False, allow_unicode=True))
 
 
 PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><div id="out"></div>
@@ -70,4 +70,4 @@ def html_report(df: DataFrame, path: str, title: str, most_rows: int = 1000) ->
     rows = [r.asDict(recursive=True) for r in df.limit(most_rows).collect()]
     body = json.dumps(rows, ensure_ascii=False, default=str).replace("</", "<\\/")
     name = title.replace("&", "&amp;").replace("<", "&lt;")
-    _write_text(df.sparkSession, path, PAGE.format(title=name, rows=body))
+    text_file(df.sparkSession, path, PAGE.format(title=name, rows=body))
