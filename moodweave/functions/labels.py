@@ -39,6 +39,17 @@ def usable_silver(stored_length: Column, length: int, n_tokens: Column) -> Colum
     return F.when(stored_length.isNotNull(), stored_length == length).otherwise(n_tokens < length)
 
 
+def as_float(value: Column) -> Column:
+    """A text as a number; truths are 1 and 0, what is no finite number is null."""
+    x = F.when(F.lower(F.trim(value)).isin("true", "false"), (F.lower(F.trim(value)) == "true").cast("double")).otherwise(value.try_cast("double"))
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def as_int(value: Column) -> Column:
+    """A text as a whole number; truths, fractions and other texts are null."""
+    return F.when(F.trim(value).rlike(r"^[+-]?\d+$"), F.trim(value).try_cast("long"))
+
+
 def prompt(text: Column, mode: str = "none", task: str = "Represent the term by its emotional meaning") -> Column:
     """A term as embedding models want it: none, passage, query or instruct."""
     before = {"none": "", "passage": "passage: ", "query": "query: ", "instruct": f"Instruct: {task}\nQuery: "}

@@ -133,6 +133,33 @@ def contained(items: DataFrame, docs: DataFrame, probe_words: int = 8, item_key:
     return full.where(F.expr("instr(hay, needle) > 0")).select("item", "doc")
 
 
+def ordered_blocks(items: DataFrame, docs: DataFrame, item_key: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """(item, doc, n, found) of documents that hold an item's first block: how many of its blocks(array) stand there one after another,
+    up to the first that doesn't, and whether all do.
+
+    The first block's words but for its ends, which may be cut within a word, are looked up as `contained` does; blocks without such
+    words are looked for in every text.
+    """
+    inner = F.array_compact(F.filter(F.split("first", r"\s+"), lambda w: w != ""))
+    asked = items.select(item_key, "blocks", F.col("blocks")[0].alias("first")).withColumn("inner", F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))))
+    looked = asked.where(F.size("inner") > 0).select(item_key, F.array_join("inner", " ").alias("text"))
+    texts = docs.select(F.col(key), F.col("text").alias("body")).where("body is not null")
+    pairs = contained(looked, docs, item_key=item_key, key=key).select(F.col("item").alias(item_key), F.col("doc").alias(key))
+    met = pairs.join(asked.drop("inner"), item_key).join(texts, key)
+    rest = asked.where(F.size("inner") == 0).drop("inner")
+    if not rest.isEmpty():
+        met = met.unionByName(texts.join(rest, F.contains("body", "first")))
+
+    def step(acc, block):
+        at = F.call_function("locate", block, F.col("body"), acc["at"])
+        found = acc["open"] & (at > 0)
+        return F.struct(F.when(found, at + F.length(block)).otherwise(acc["at"]).cast("int").alias("at"), (acc["n"] + found.cast("long")).alias("n"), found.alias("open"))
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
+    n = F.aggregate("blocks", start, step)["n"]
+    return met.where(F.contains("body", "first")).select(item_key, key, n.alias("n"), (n == F.size("blocks")).alias("found"))
+
+
 def _anchors(block: str) -> list[str]:
     """What a block may be found by where it does not stand exactly: its beginning, its first words, its middle."""
     words, middle = block.split(), len(block) // 2

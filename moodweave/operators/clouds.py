@@ -224,6 +224,26 @@ def cloud_neighbours(clouds: DataFrame, queries: Column, k: int, solver: ot.Solv
     return search(full.mapInPandas(prepare, "id long, w array<double>, p array<double>, self_cost double"), queries, k, distances)
 
 
+def term_costs(vad: DataFrame, vectors: DataFrame | None, term_cost: ot.TermCost) -> DataFrame:
+    """(term, other, cost) of all pairs of a lexicon's terms; the lexicon, a bounded table, goes to every task as a whole."""
+    one = vad.select(F.lit(0).cast("long").alias("doc_id"), "term", F.lit(1.0).alias("w"), F.lit(1.0).alias("term_weight"), F.lit(0).alias("rank"))
+    c = build_clouds(one, vad, vectors=vectors).first()
+    if c is None:
+        return vad.select("term", F.col("term").alias("other"), F.lit(0.0).alias("cost")).limit(0)
+    points = vad.sparkSession.sparkContext.broadcast((list(c["terms"]), np.array(c["x"], float), np.array(c["conf"], float)))
+
+    def rows(it):
+        terms, x, conf = points.value
+        place = {t: i for i, t in enumerate(terms)}
+        for pdf in it:
+            for t in pdf["term"]:
+                if t in place:
+                    i = place[t]
+                    yield pd.DataFrame({"term": t, "other": terms, "cost": term_cost(x[i : i + 1], x, conf[i : i + 1], conf)[0]})
+
+    return vad.select("term").mapInPandas(rows, "term string, other string, cost double")
+
+
 def candidate_pairs(clouds: DataFrame, queries: Column, k: int = 50) -> DataFrame:
     """(i, j), i < j: for each query document the k of the nearest centroids by cosine."""
     from .neighbours import cosine_neighbours

@@ -19,6 +19,13 @@ def per_class(rows: DataFrame, gold: Column, predicted: Column) -> DataFrame:
     return c.select("class", "support", ratio(F.col("tp"), F.col("claimed")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("claimed") + F.col("support")).alias("f1"))
 
 
+def macro_f1(rows: DataFrame, gold: Column, predicted: Column, classes: int) -> DataFrame:
+    """One row: macro_f1, the mean over all `classes`, those that nobody has or claims included; hits; n."""
+    each = per_class(rows, gold, predicted)
+    hit = F.round(F.col("recall") * F.col("support")).cast("long")
+    return each.agg((F.coalesce(F.sum(F.when(F.col("class").between(0, classes - 1), F.col("f1"))), F.lit(0.0)) / classes).alias("macro_f1"), F.sum(hit).alias("hits"), F.sum("support").alias("n"))
+
+
 def multilabel_f1(rows: DataFrame, labels: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
     """(label, tp, fp, fn, f1) for labels given as gold, predicted and mask, with rows MICRO and MACRO (labels with a mask only)."""
     one = [F.struct(F.lit(name).alias("label"), g.cast("int").alias("g"), p.cast("int").alias("p"), m.cast("int").alias("m")) for name, (g, p, m) in labels.items()]

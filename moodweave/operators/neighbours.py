@@ -139,6 +139,20 @@ def against_mean(profiles: DataFrame, cost: np.ndarray, solver: ot.Solver, k: in
     return profiles.select(F.col(key).alias("id"), F.col(vector).alias("x")).mapInPandas(solve, schema)
 
 
+def exact_to_mean(profiles: DataFrame, cost: np.ndarray, vector: str = "x", key: str = "doc_id") -> DataFrame:
+    """(key, emd): exact transport of each document's distribution to that of the mean measure."""
+    profiles = settle(profiles.select(key, vector), "mean-rows")  # read twice
+    means = profiles.agg(*[F.avg(F.greatest(F.col(vector)[i], F.lit(0.0))).alias(str(i)) for i in range(len(cost))]).first()
+    mean = np.maximum([[means[str(i)] or 0.0 for i in range(len(cost))]], ot.FLOOR)
+
+    def solve(it):
+        for pdf in it:
+            x = np.maximum(np.stack(pdf[vector]), ot.FLOOR) if len(pdf) else np.zeros((0, len(cost)))
+            yield pd.DataFrame({key: pdf[key], "emd": ot.loss(x, np.broadcast_to(mean, x.shape), cost, "emd")})
+
+    return profiles.mapInPandas(solve, f"{key} long, emd double")
+
+
 def reverse_explanation(e: DataFrame) -> DataFrame:
     """An explanation seen from the other side: a and b, from and to, exchanged."""
     return e.withColumns({"kl_a": F.col("kl_b"), "kl_b": F.col("kl_a"), "mass_a": F.col("mass_b"), "mass_b": F.col("mass_a"), "flows": F.transform("flows", lambda f: F.struct(f["to"].alias("from"), f["from"].alias("to"), f["mass"].alias("mass"), f["contribution"].alias("contribution")))})

@@ -1,6 +1,6 @@
 """Registered queries, and the SQL that states them again."""
 
-from . import catalogue, connectors, oracles
+from . import catalogue, connectors, oracles, parts
 
-QUERIES = catalogue.QUERIES | connectors.QUERIES
-ORACLES = oracles.ORACLES | connectors.ORACLES
+QUERIES = catalogue.QUERIES | connectors.QUERIES | parts.QUERIES
+ORACLES = oracles.ORACLES | connectors.ORACLES | parts.ORACLES
