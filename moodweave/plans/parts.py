@@ -468,15 +468,16 @@ def cloud_candidates(spark, sf):
 
 
 def _sinkhorn(clouds_sql: str, pairs: str, epsilon: float = 0.1, iterations: int = 30) -> str:
-    """Common tables for the transport cost between clouds ca(id, x, w) of pr(i, j, own), own being a cloud against itself with a free diagonal."""
-    d = "least(1.0, sqrt(pow(x.v - y.v, 2) + pow(x.a - y.a, 2) + pow(x.d - y.d, 2)) / (2 * sqrt(3))) * x.conf * y.conf + 1 - x.conf * y.conf"
+    """Common tables for the transport cost between clouds ca(id, x, w) of pr(i, j), a cloud against itself having a free diagonal:
+    kn holds each pair's weights, costs and kernel, st its scalings by iteration, fin the last of them and the cost."""
+    d = "least(1.0, sqrt(pow(p.x[r].v - q.x[s].v, 2) + pow(p.x[r].a - q.x[s].a, 2) + pow(p.x[r].d - q.x[s].d, 2)) / (2 * sqrt(3))) * p.x[r].conf * q.x[s].conf + 1 - p.x[r].conf * q.x[s].conf"
     return (
         f"{clouds_sql}, ca AS (SELECT id, list({{'v': v, 'a': a, 'd': d, 'conf': conf}} ORDER BY rank) AS x, list(greatest(w, 1e-8) ORDER BY rank) AS w FROM pts GROUP BY id), pr AS ({pairs}), "
-        f"pb AS (SELECT i, j, [e / list_sum(p.w) FOR e IN p.w] AS a, [e / list_sum(q.w) FOR e IN q.w] AS b, [[CASE WHEN i = j AND r = s THEN 0.0 ELSE {d.replace('x.', 'p.x[r].').replace('y.', 'q.x[s].')} END FOR s IN range(1, len(q.x) + 1)] FOR r IN range(1, len(p.x) + 1)] AS c FROM pr JOIN ca p ON p.id = i JOIN ca q ON q.id = j), "
-        f"kn AS (SELECT *, [[exp(-e / {epsilon}) FOR e IN row] FOR row IN c] AS k, [[exp(-c[r][s] / {epsilon}) FOR r IN range(1, len(a) + 1)] FOR s IN range(1, len(b) + 1)] AS kt FROM pb), "
-        "st AS (SELECT 0 AS t, i, j, a, b, c, k, kt, a AS u, [1.0::DOUBLE FOR e IN b] AS z FROM kn UNION ALL SELECT t + 1, i, j, a, b, c, k, kt, u2, [b[s] / list_dot_product(kt[s], u2) FOR s IN range(1, len(b) + 1)] "
-        f"FROM (SELECT *, [a[r] / list_dot_product(k[r], z) FOR r IN range(1, len(a) + 1)] AS u2 FROM st WHERE t < {iterations}) q), "
-        f"fin AS (SELECT i, j, u, z, c, k, list_sum([u[r] * list_sum([k[r][s] * c[r][s] * z[s] FOR s IN range(1, len(b) + 1)]) FOR r IN range(1, len(a) + 1)]) AS cost FROM st WHERE t = {iterations})"
+        f"pb AS (SELECT i, j, [e / list_sum(p.w) FOR e IN p.w] AS a, [e / list_sum(q.w) FOR e IN q.w] AS b, [[CASE WHEN i = j AND r = s THEN 0.0 ELSE {d} END FOR s IN range(1, len(q.x) + 1)] FOR r IN range(1, len(p.x) + 1)] AS c FROM pr JOIN ca p ON p.id = i JOIN ca q ON q.id = j), "
+        f"kn AS MATERIALIZED (SELECT *, [[exp(-e / {epsilon}) FOR e IN row] FOR row IN c] AS k, [[exp(-c[r][s] / {epsilon}) FOR r IN range(1, len(a) + 1)] FOR s IN range(1, len(b) + 1)] AS kt FROM pb), "
+        "st AS (SELECT 0 AS t, i, j, a AS u, [1.0::DOUBLE FOR e IN b] AS z FROM kn UNION ALL SELECT t + 1, i, j, u2, [b[s] / list_dot_product(kt[s], u2) FOR s IN range(1, len(b) + 1)] "
+        f"FROM (SELECT st.t, st.i, st.j, b, kt, [a[r] / list_dot_product(k[r], z) FOR r IN range(1, len(a) + 1)] AS u2 FROM st JOIN kn ON kn.i = st.i AND kn.j = st.j WHERE t < {iterations}) q), "
+        f"fin AS (SELECT st.i, st.j, u, z, c, k, list_sum([u[r] * list_sum([k[r][s] * c[r][s] * z[s] FOR s IN range(1, len(z) + 1)]) FOR r IN range(1, len(u) + 1)]) AS cost FROM st JOIN kn ON kn.i = st.i AND kn.j = st.j WHERE t = {iterations})"
     )
 
 
@@ -494,6 +495,16 @@ def cloud_pair_distances(spark, sf):
     return out.select("i", "j", *_r("distance"), F.round(F.col("flows")[0]["contribution"], 6).alias("top_flow"))
 
 
+ORACLES["ot_token_clouds"] = (
+    "WITH RECURSIVE "
+    + _sinkhorn(f"{_CLOUD}, pts AS (SELECT doc_id AS id, * EXCLUDE (doc_id) FROM cl)", "SELECT least(x.id, y.id) AS i, greatest(x.id, y.id) AS j FROM ca x JOIN ca y ON x.id <> y.id WHERE x.id % 50 = 0 UNION SELECT id, id FROM ca")
+    + ", ds AS (SELECT f.i, f.j, f.cost - a.cost / 2 - b.cost / 2 AS distance FROM fin f JOIN fin a ON a.i = f.i AND a.j = f.i JOIN fin b ON b.i = f.j AND b.j = f.j WHERE f.i <> f.j), "
+    "two AS (SELECT i, j, distance FROM ds WHERE i % 50 = 0 UNION ALL SELECT j, i, distance FROM ds WHERE j % 50 = 0), nn AS (SELECT i, j, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM two QUALIFY rank <= 10) "
+    "SELECT nn.i, nn.j, rank, round(distance, 6) AS distance, (SELECT least(3, list_sum([len([1 FOR s IN range(1, len(f.z) + 1) IF f.u[r] * f.k[r][s] * f.z[s] * f.c[r][s] > 0]) FOR r IN range(1, len(f.u) + 1)]))::BIGINT FROM fin f WHERE f.i = least(nn.i, nn.j) AND f.j = greatest(nn.i, nn.j)) AS n_flows FROM nn "
+    "UNION ALL SELECT doc_id, NULL, NULL, NULL, 0 FROM documents WHERE doc_id % 50 = 0 AND doc_id NOT IN (SELECT id FROM ca)"
+)
+
+
 _POOLED = (
     f"{sql.LEX}, {sql._CONF}, lw AS (SELECT doc_id, coalesce(lang, 'unknown') AS lang, unnest({sql.WORDS}) AS term FROM documents), lt AS (SELECT lw.* FROM lw JOIN vad USING (term)), tp AS (SELECT lang, count(DISTINCT doc_id) AS docs FROM lt GROUP BY lang ORDER BY docs DESC, lang LIMIT 2), "
     "gn AS (SELECT lang, term, count(*) AS n FROM lt JOIN tp USING (lang) GROUP BY lang, term), gr AS (SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM gn QUALIFY rank <= 256), "
