@@ -544,3 +544,13 @@ ORACLES["imputed_by_ridge"] = (
     "s AS (SELECT 1 AS k, m FROM m0 UNION ALL SELECT k + 1, [CASE WHEN q = k THEN [z / m[k][k] FOR z IN m[k]] ELSE [m[q][c] - m[q][k] / m[k][k] * m[k][c] FOR c IN range(1, len(m[q]) + 1)] END FOR q IN range(1, len(m) + 1)] FROM s WHERE k <= len(m)), w AS (SELECT [row[-1] FOR row IN m] AS w FROM s WHERE k = len(m) + 1) "
     "SELECT vec_id, round(greatest(-1, least(1, list_dot_product(x, w))), 6) AS v FROM e, w"
 )
+
+_ELIMINATE = "list_reduce([h] || [[[k::DOUBLE]] FOR k IN range(1, len(h) + 1)], lambda m, s: [CASE WHEN q = s[1][1] THEN [z / m[q][q] FOR z IN m[q]] ELSE [m[q][c] - m[q][s[1][1]::INT] / m[s[1][1]::INT][s[1][1]::INT] * m[s[1][1]::INT][c] FOR c IN range(1, len(m[q]) + 1)] END FOR q IN range(1, len(m) + 1)])"
+ORACLES["outcome_regression"] = (
+    f"WITH RECURSIVE {sql.PROF}, rw AS (SELECT doc_id, [1.0::DOUBLE] || c || [n_words::DOUBLE] AS x, toxic::DOUBLE AS y FROM prof JOIN labels USING (doc_id) WHERE toxic IS NOT NULL), "
+    "st AS (SELECT 0 AS t, [0.0::DOUBLE FOR i IN range(10)] AS w UNION ALL SELECT t + 1, [w[i] + s[i][-1] FOR i IN range(1, 11)] FROM "
+    f"(SELECT t, w, {_ELIMINATE} AS s FROM (SELECT t, w, list(row ORDER BY i) AS h FROM (SELECT t, w, i, list(v ORDER BY j) AS row FROM "
+    "(SELECT t, w, i, j, sum(CASE WHEN j = 11 THEN (y - p) * x[i] ELSE p * (1 - p) * x[i] * x[j] END) + CASE WHEN i > 1 AND j = i THEN 1 WHEN i > 1 AND j = 11 THEN -w[i] ELSE 0 END AS v "
+    "FROM (SELECT t, w, x, y, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM st, rw WHERE t < 25) a, range(1, 11) r(i), range(1, 12) c(j) GROUP BY t, w, i, j) b GROUP BY t, w, i) d GROUP BY t, w) e) f), "
+    f"nm AS (SELECT {[*EMOTIONS, 'n_words']!r} AS n) SELECT unnest(n) AS feature, unnest([round(w[i], 6) FOR i IN range(2, 11)]) AS coefficient FROM st, nm WHERE t = 25"
+)
