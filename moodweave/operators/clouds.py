@@ -32,14 +32,15 @@ def weighted_terms(docs: DataFrame, n_docs: int, k: int, least_length: int = 2,
 
     With a vocabulary (a lexicon's `term`s, broadcast), only its terms are counted, before any is ranked.  With term weights, terms
     are ranked by weighted tf-idf but w stays without them, to be multiplied by `term_weight` later.
-    Counting is per document row before the exchange on terms; the join to frequencies is by term and Spark splits skewed ones.
+    Texts are dealt by document, so counting and ranking need no exchange of terms; frequencies are settled, so that Spark broadcasts
+    them where their size allows it and joins by term, splitting skewed ones, where it doesn't.
     """
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['-]\p{L}+)*"), F.lit(0)), lambda t: F.length(t) >= least_length)
-    counts = docs.select("doc_id", F.explode(words).alias("term"))
+    counts = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(words).alias("term"))
     if vocabulary is not None:
         counts = counts.join(vocabulary.select("term").distinct(), "term", "left_semi")
     counts = counts.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return ranked_terms(counts, document_frequency(docs, least_length), n_docs, k, weights, default_weight)
+    return ranked_terms(counts, settle(document_frequency(docs, least_length), "frequencies"), n_docs, k, weights, default_weight)
 
 
 def ranked_terms(counts: DataFrame, df: DataFrame | None, n_docs: int, k: int, weights: DataFrame | None = None, default_weight: float = 1.0, mode: str = "tfidf", least: float = 0.0, most: float = 1.0, power: float = 1.0, mix: float = 1.0) -> DataFrame:

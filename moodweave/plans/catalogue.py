@@ -12,6 +12,7 @@ from ..config import Config
 from ..operators import adjudication, chunking, clouds, comparison, features, lexicon, measures, metrics, models, neighbours, rollups, sampling
 from ..operators import transport as ot
 from ..operators.lexicon import EMOTIONS
+from ..storage import spread
 
 STOP_PHRASES = ("all rights reserved", "of the", "in the")
 FILE_NAMES = (
@@ -26,11 +27,11 @@ COST = ot.uniform_cost(8)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _r(*names: str):

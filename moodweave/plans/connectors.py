@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import adjudication
 from ..operators.lexicon import DEFAULT_PROTOTYPES
 from ..sources import readers, sinks
-from ..storage import new_path, settle
+from ..storage import new_path, settle, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(sql: str):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _folder(spark: SparkSession, files: dict[str, str]) -> str:

@@ -19,6 +19,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables of fewer bytes are left as they are read; larger ones than this a core have parts enough for all.
+LEAST_SPREAD, MOST_SPREAD = 4 << 20, 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files dealt to all cores, as a file may be one row group, which one task reads; others as they are.
+
+    Only what is small beside the cluster's memory is ever shuffled for this, so it costs nothing at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if LEAST_SPREAD <= size < cores * MOST_SPREAD and len(df.inputFiles()) < cores else df
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
