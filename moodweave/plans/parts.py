@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config, load
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..functions import vectors as vx
@@ -554,3 +555,49 @@ ORACLES["outcome_regression"] = (
     "FROM (SELECT t, w, x, y, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM st, rw WHERE t < 25) a, range(1, 11) r(i), range(1, 12) c(j) GROUP BY t, w, i, j) b GROUP BY t, w, i) d GROUP BY t, w) e) f), "
     f"nm AS (SELECT {[*EMOTIONS, 'n_words']!r} AS n) SELECT unnest(n) AS feature, unnest([round(w[i], 6) FOR i IN range(2, 11)]) AS coefficient FROM st, nm WHERE t = 25"
 )
+
+
+# --- settings and explanations
+
+
+@query(_values([("mode", "sinkhorn"), ("epsilon", "0.2"), ("top_k", "7"), ("low_signal_filter", "True"), ("drop_top_df", "100"), ("reg_m", "0.1")], "setting, value"))
+def config_coerced(spark, sf):
+    """Settings that come as texts take the types of their defaults; unknown names and nulls change nothing."""
+    cfg = load({"mode": "sinkhorn", "epsilon": "0.2", "top_k": "7", "low_signal_filter": "yes", "drop_top_df": None, "no such": 1})
+    names = ("mode", "epsilon", "top_k", "low_signal_filter", "drop_top_df", "reg_m")
+    return spark.createDataFrame([(n, str(getattr(cfg, n))) for n in names], "setting string, value string")
+
+
+_ASKED = "SELECT min(doc_id) AS p, max(doc_id) AS q FROM (FROM xs ORDER BY doc_id LIMIT 2)"
+
+
+@query(
+    f"WITH RECURSIVE {sql.PROF}, xs AS (SELECT doc_id, [greatest(e / greatest(n_words, 1) * 1000, 1e-8) FOR e IN c] AS x FROM prof WHERE lex_hits > 0), ask AS ({_ASKED}), pairs AS (SELECT y.doc_id AS i, z.doc_id AS j, y.x AS a, z.x AS b FROM xs y, xs z, ask WHERE y.doc_id IN (p, q) AND z.doc_id IN (p, q)){sql.SOLVED}, "
+    "m AS (SELECT c.*, (c.cost + r.cost) / 2 - s.cost / 2 - t.cost / 2 AS distance FROM cost c JOIN cost r ON r.i = c.j AND r.j = c.i JOIN cost s ON s.i = c.i AND s.j = c.i JOIN cost t ON t.i = c.j AND t.j = c.j WHERE c.i < c.j) "
+    "SELECT unnest(['distance', 'kl_a', 'kl_b', 'mass_a', 'mass_b', 'mass_plan', 'transport']) AS part, unnest([round(v, 6) FOR v IN [distance, kl_a, kl_b, list_sum(a), list_sum(b), list_sum(pa), transport]]) AS value FROM m"
+)
+def ot_pair_explained(spark, sf):
+    """The parts of the distance between the first two documents that have terms."""
+    rows = cat._profiles(spark, sf).where("lex_hits > 0")
+    i, j = sorted(r["doc_id"] for r in rows.orderBy("doc_id").limit(2).select("doc_id").collect())
+    e = comparison.explain_pair(rows, i, j, cat.COST, Config(reg_m=0.5), "lex_counts_per_1k_words")
+    names = ("distance", "kl_a", "kl_b", "mass_a", "mass_b", "mass_plan", "transport")
+    return spark.createDataFrame([(n, round(e[n], 6)) for n in names], "part string, value double")
+
+
+_TWO = "SELECT min(doc_id) AS p, max(doc_id) AS q FROM (SELECT DISTINCT doc_id FROM cl ORDER BY doc_id LIMIT 2)"
+
+
+@query(
+    "WITH RECURSIVE "
+    + _sinkhorn(f"{_CLOUD}, ask AS ({_TWO}), pts AS (SELECT doc_id AS id, * EXCLUDE (doc_id) FROM cl WHERE doc_id IN (SELECT p FROM ask UNION SELECT q FROM ask)", "SELECT x.id AS i, y.id AS j FROM ca x JOIN ca y ON x.id <= y.id").replace("SELECT q FROM ask), ca AS", "SELECT q FROM ask)), ca AS")
+    + ", tl AS (SELECT id, list(term ORDER BY rank) AS terms FROM pts GROUP BY id), fl AS (SELECT f.i, f.j, r, s, f.u[r] * f.k[r][s] * f.z[s] * f.c[r][s] AS part FROM fin f, range(1, 257) a(r), range(1, 257) b(s) WHERE f.i <> f.j AND r <= len(f.u) AND s <= len(f.z)) "
+    "SELECT q.terms[s] AS from_term, p.terms[r] AS to_term, round(f.cost - x.cost / 2 - y.cost / 2, 6) AS distance, round(part, 6) AS contribution FROM fl JOIN fin f ON f.i = fl.i AND f.j = fl.j JOIN fin x ON x.i = fl.i AND x.j = fl.i JOIN fin y ON y.i = fl.j AND y.j = fl.j JOIN tl p ON p.id = fl.i JOIN tl q ON q.id = fl.j ORDER BY part DESC, r, s LIMIT 8"
+)
+def cloud_pair_explained(spark, sf):
+    """The largest flows between the clouds of the first two documents that have terms, seen from the second."""
+    docs = _docs(spark, sf)
+    vad = cat._base_vad(lexicon.demo_lexicon(docs))
+    i, j = sorted(r["doc_id"] for r in comparison.selected_clouds(docs, vad).where(F.size("terms") > 0).orderBy("doc_id").limit(2).select("doc_id").collect())
+    e = comparison.explain_clouds(docs, vad, j, i)
+    return spark.createDataFrame([(f["from"], f["to"], round(e["distance"], 6), round(f["contribution"], 6)) for f in e["flows"]], "from_term string, to_term string, distance double, contribution double")
