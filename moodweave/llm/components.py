@@ -40,4 +40,6 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         seen = mark(now)
         if seen == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._settled_at = now._settled_at  # so that it can be discarded
+    return out

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -37,6 +37,8 @@ RARE = 0.01
 MOSTLY = 0.5
 #: Most documents, and bytes of text, of a bucket that are compared at once (two documents always are).
 BLOCK, BLOCK_BYTES = 192, 64 << 20
+#: The bitmap of what may go has two to the power of this many bits at most.
+MOST_BITS = 29
 
 _rng = np.random.RandomState(20240907)
 _SEEDS = (_rng.randint(0, 1 << 32, SAMPLES).astype(np.uint64) << np.uint64(32)) | _rng.randint(0, 1 << 32, SAMPLES).astype(np.uint64) | np.uint64(1)
@@ -242,32 +244,33 @@ def similarities(data: np.ndarray, off: np.ndarray, weights: Weights) -> np.ndar
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-def _verify(members: DataFrame, texts: DataFrame, weights: Weights, label: str) -> DataFrame:
-    """Edges (u, v) that connect similar texts within each group of members(a, b, c, rep, same, side): all pairs where the group has
-    side 0 only, else pairs of differing sides or of two zeros.  A text is fetched once a group it is in, from the document rep.
-    Where few documents are asked for, their keys are broadcast first, so that only their texts are shuffled."""
+def _verify(members: DataFrame, classes: DataFrame, texts: DataFrame, weights: Weights, label: str) -> DataFrame:
+    """Edges (u, v) that connect similar texts within each group of members(a, b, c, id, side): all pairs where the group has side 0
+    only, else pairs of differing sides or of two zeros.  A text is fetched once a group it is in, from the document that stands
+    for its class.  Where few are asked for, their keys are broadcast first, so that only their texts are shuffled."""
     shipped = members.sparkSession.sparkContext.broadcast(weights)
-    reps = members.select("rep", "same").distinct()
+    reps = classes.select("id", "rep", "same").join(members.select("id").distinct(), "id", "left_semi")
     if is_small(reps, 96):
-        texts = texts.join(F.broadcast(reps), ["rep", "same"], "left_semi")
-    full = texts.hint("shuffle_hash").join(members.hint("shuffle_hash"), ["rep", "same"]).repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
+        reps = F.broadcast(reps)
+    named = texts.join(reps, ["rep", "same"]).select("id", "text")
+    full = named.hint("shuffle_hash").join(members.hint("shuffle_hash"), "id").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in grouped(batches, ("a", "b", "c")):
-            names, side = np.array(g.column("same").to_pylist()), g.column("side").to_numpy()
-            _, keep = np.unique(names, return_index=True)
+            ids, side = g.column("id").to_numpy(), g.column("side").to_numpy()
+            _, keep = np.unique(ids, return_index=True)
             if len(keep) < 2:
                 continue
             data, off = tc.utf8(g.column("text").take(pa.array(keep)))
-            names, side = names[keep], side[keep]
+            ids, side = ids[keep], side[keep]
             near = similarities(data, off, shipped.value) >= THRESHOLD - 1e-6
             near &= ~((side[:, None] == 1) & (side[None, :] == 1))
             root = _roots(near)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at].tolist(), pa.string()), pa.array(names[root[at]].tolist(), pa.string())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["u", "v"])
 
-    return settle(full.select("a", "b", "c", "same", "side", "text").mapInArrow(compare, "u string, v string"), label)
+    return settle(full.select("a", "b", "c", "id", "side", "text").mapInArrow(compare, "u long, v long"), label)
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -294,43 +297,47 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 
     named = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("same"), "text")
     signed = settle(named.mapInArrow(sign, "doc_id long, same string, bytes long, bands array<long>"), "near-signed")
-    classes = signed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
-    filed = settle(classes.select("same", "rep", "bytes", F.posexplode("bands").alias("band", "bucket")), "near-filed")
-    by = ["band", "bucket"]
+    grouped_by_text = signed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    classes = settle(grouped_by_text.withColumn("id", F.monotonically_increasing_id()), "near-classes")  # written once, so ids hold
+    filed = classes.select("id", "bytes", F.posexplode("bands").alias("band", "bucket")).withColumn("bucket", F.xxhash64("band", "bucket"))
     cut = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
-    sizes = filed.groupBy(*by).agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.sum(F.pmod(F.xxhash64("same"), F.lit(1 << 24))).alias("s"), F.bit_xor(F.xxhash64("same", F.lit(1))).alias("x"), F.min(F.struct("rep", "same")).alias("hub")).where("size > 1")
+    sizes = filed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 24))).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.min("id").alias("hub")).where("size > 1")
     # Buckets of the same members, as most of a pair's are, are compared once.
-    buckets = settle(sizes.groupBy("size", "bytes", "s", "x", "hub").agg(F.min(F.struct(*by)).alias("p")).select("p.*", "size", "hub", F.least(cut(F.col("size"), F.col("bytes")), F.col("size").cast("int")).alias("blocks")), "near-buckets")
-    members = settle(filed.join(buckets, by).select(*by, "rep", "same", "bytes", "blocks", F.pmod(F.xxhash64("same", "band"), F.col("blocks")).cast("int").alias("block")), "near-members")
-    place = [F.col("band").alias("a"), F.col("bucket").alias("b")]
-    first = members.select(*place, F.col("block").alias("c"), "rep", "same", F.lit(0).alias("side"))
-    hubs = buckets.where("blocks > 1").select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), "hub.rep", "hub.same", F.lit(0).alias("side"))
+    buckets = settle(sizes.groupBy("size", "bytes", "s", "x", "hub").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "hub", F.least(cut(F.col("size"), F.col("bytes")), F.col("size").cast("int")).alias("blocks")), "near-buckets")
+    members = settle(filed.join(buckets.select("bucket", "blocks"), "bucket").select("bucket", "id", "bytes", "blocks", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int").alias("block")), "near-members")
+    one = F.lit(0).alias("b")
+    first = members.select(F.col("bucket").alias("a"), one, F.col("block").alias("c"), "id", F.lit(0).alias("side"))
+    hubs = buckets.where("blocks > 1").select(F.col("bucket").alias("a"), one, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"), F.col("hub").alias("id"), F.lit(0).alias("side"))
     texts = named.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "same", "text")
-    edges = _verify(first.unionByName(hubs), texts, weights, "near-edges")
-    linked = edges
+    edges = _verify(first.unionByName(hubs), classes, texts, weights, "near-edges")
+    linked, made = edges, []
     large = members.where("blocks > 1")
     if not large.isEmpty():
         parts = connected_components(edges, "near-cc1")
-        known = large.join(parts, F.col("same") == F.col("node"), "left").withColumn("part", F.coalesce("component", "same")).select(*by, "rep", "same", "bytes", "part", "block")
+        known = large.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).select("bucket", "id", "bytes", "part", "block")
         known = settle(known, "near-known")
-        counted = known.groupBy(*by, "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
-        main = counted.groupBy(*by).agg(F.max(F.struct("n", "part", "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("bytes_all")).where("m.n < all")
-        main = main.select(*by, F.col("m.part").alias("main"), cut(F.col("all") - F.col("m.n"), F.col("bytes_all") - F.col("m.size")).alias("outs"), cut(F.col("m.n"), F.col("m.size")).alias("ins"))
-        open_ = settle(known.join(main, by), "near-open")
-        h = F.xxhash64("same", F.lit(7))
+        counted = known.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+        main = counted.groupBy("bucket").agg(F.max(F.struct("n", "part", "size")).alias("m"), F.sum("n").alias("all"), F.sum("size").alias("bytes_all")).where("m.n < all")
+        main = main.select("bucket", F.col("m.part").alias("main"), cut(F.col("all") - F.col("m.n"), F.col("bytes_all") - F.col("m.size")).alias("outs"), cut(F.col("m.n"), F.col("m.size")).alias("ins"))
+        open_ = settle(known.join(main, "bucket"), "near-open")
+        h = F.xxhash64("id", F.lit(7))
         outer = open_.where("part <> main").withColumn("own", F.pmod(h, F.col("outs")).cast("int"))
         inner = open_.where("part = main").withColumn("own", F.pmod(h, F.col("ins")).cast("int"))
         cell = lambda i, j: F.shiftleft(i.cast("long"), 32) + j.cast("long")
         groups = [
-            outer.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ins") - 1))).select(*by, cell(F.col("own"), F.col("o")).alias("c"), "rep", "same", F.lit(0).alias("side")),
-            inner.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(*by, cell(F.col("o"), F.col("own")).alias("c"), "rep", "same", F.lit(1).alias("side")),
-            outer.where("outs > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select(*by, (-1 - cell(F.least("own", "o"), F.greatest("own", "o"))).alias("c"), "rep", "same", F.lit(0).alias("side")),
+            outer.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ins") - 1))).select("bucket", cell(F.col("own"), F.col("o")).alias("c"), "id", F.lit(0).alias("side")),
+            inner.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select("bucket", cell(F.col("o"), F.col("own")).alias("c"), "id", F.lit(1).alias("side")),
+            outer.where("outs > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1))).select("bucket", (-1 - cell(F.least("own", "o"), F.greatest("own", "o"))).alias("c"), "id", F.lit(0).alias("side")),
         ]
-        again = groups[0].unionByName(groups[1]).unionByName(groups[2]).select(*place, "c", "rep", "same", "side")
-        linked = edges.unionByName(_verify(again, texts, weights, "near-edges2"))
-    parts = settle(connected_components(linked, "near-cc").join(classes.select("same", "rep"), F.col("node") == F.col("same")), "near-parts")
+        again = groups[0].unionByName(groups[1]).unionByName(groups[2]).select(F.col("bucket").alias("a"), one, "c", "id", "side")
+        made += [parts, known, open_, more := _verify(again, classes, texts, weights, "near-edges2")]
+        linked = edges.unionByName(more)
+    made.append(whole := connected_components(linked, "near-cc"))
+    parts = settle(whole.join(classes.select("id", "same", "rep"), F.col("node") == F.col("id")), "near-parts")
     firsts = parts.groupBy("component").agg(F.min(F.struct("rep", "same")).alias("f"))
-    found = parts.join(firsts, "component").select("same", "f")
+    found = settle(parts.join(firsts, "component").select("same", "f"), "near-firsts")
+    for done in (*made, parts, buckets, members, edges):
+        discard(done)
     known = classes.select("same", "rep").join(found, "same", "left").select("same", F.coalesce("f.rep", "rep").alias("component_id"), F.coalesce("f.same", "same").alias("first"))
     return signed.select("doc_id", "same"), known
 
@@ -353,20 +360,42 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return out.select("doc_id", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("same").eqNullSafe(F.col("first"))).alias("kept"))
 
 
+def _marks(rows: DataFrame, h: Column) -> np.ndarray:
+    """Words of a bitmap in which each row's hash sets a bit: 64 bits a row at least, up to MOST_BITS of them in all."""
+    bits = 1 << min(MOST_BITS, max(16, (64 * rows.count()).bit_length()))
+    at = F.pmod(h, F.lit(bits))
+    got = rows.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("w")).toArrow()
+    words = np.zeros(bits >> 6, np.int64)
+    words[got.column("i").to_numpy()] = got.column("w").to_numpy()
+    return words
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one document of each class, and of rows that share key and text without all but any one; rows with a
     null key stay.  Long texts, nulls and empty tables are as in `find_groups`; columns stay, whatever their names.
 
-    Only what goes is settled and taken off the documents, by a broadcast where Spark finds it small.
+    A bitmap of bounded size tells which documents may go; all others pass without a shuffle, and those few are held against
+    what goes.
     """
     signed, known = _classes(docs, key, text)
     rows = signed.where("doc_id is not null").groupBy("doc_id", "same").agg(F.count("*").alias("times"))
     rows = rows.join(known, "same").withColumn("kept", (F.col("doc_id") == F.col("component_id")) & (F.col("same") == F.col("first")))
     k, m = unused(docs, "of_key", "of_text")
     odd = settle(rows.where("not kept or times > 1").select(F.col("doc_id").alias(k), F.col("same").alias(m), "kept"), "near-gone")
-    met = (docs[key] == F.col(k)) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col(m))
-    out = docs.join(odd.select(k, m), met, "left_anti")
+    same = F.md5(F.coalesce(F.col(text), F.lit("")))
+    shipped = docs.sparkSession.sparkContext.broadcast(_marks(odd, F.xxhash64(k, m)))
+
+    @F.arrow_udf("boolean")
+    def marked(hashes: pa.Array) -> pa.Array:
+        words = shipped.value
+        h = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(64 * len(words) - 1)
+        return pa.array((words[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    may_go = F.col(key).isNotNull() & marked(F.xxhash64(F.col(key).cast("long"), same))
+    asked = docs.where(may_go)
+    met = (asked[key] == F.col(k)) & (F.md5(F.coalesce(asked[text], F.lit(""))) == F.col(m))
+    out = docs.where(~may_go).unionByName(asked.join(odd.select(k, m), met, "left_anti"))
     again = odd.where("kept")
     if not again.isEmpty():
-        out = out.unionByName(docs.join(again.select(k, m), met, "left_semi").dropDuplicates([key, text]))
+        out = out.unionByName(asked.join(again.select(k, m), met, "left_semi").dropDuplicates([key, text]))
     return out

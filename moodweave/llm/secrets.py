@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import running
 from .store import settle, unused
 
 _MOST_STRINGS = 96
@@ -144,32 +145,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
     return full.groupBy("__key").agg(F.collect_set("kind").alias("__kinds"))
 
 
-#: Items that an inner fold takes: appending copies what is there, so folds go by blocks and cost grows in proportion to the items.
-_FOLD = 512
-
-
 def _bound(value: Column, body) -> Column:
     """body of a value that is found once, however often body names it."""
     return F.transform(F.array(value), body)[0]
 
 
-def running(items: Column, kind: str, step, emit) -> Column:
-    """array<kind> of emit(at, x) for each of the items, at being an int that starts at 0 and becomes step(at, x) after each."""
-    empty = F.expr(f"cast(array() as array<{kind}>)")
-    first = F.expr(f"cast(array() as array<struct<at:int,found:array<{kind}>>>)")
-
-    def block(done: Column, some: Column) -> Column:
-        start = F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0)).alias("at"), empty.alias("found"))
-        return F.aggregate(some, start, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["found"], emit(acc["at"], x)).alias("found")))
-
-    def whole(all_: Column) -> Column:
-        blocks = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _FOLD).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-        folded = F.aggregate(blocks, first, lambda done, b: F.array_append(done, block(done, F.slice(all_, b * _FOLD + 1, F.lit(_FOLD)))))
-        return F.flatten(F.transform(folded, lambda x: x["found"]))
-
-    return _bound(items, whole)
-
-
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, value>> of the rule's matches (value: its length); positions in code points, end exclusive.
 
@@ -181,6 +161,8 @@ def spans(text: Column, rule: Rule) -> Column:
     sizes = F.filter(F.arrays_zip(lengths(between).alias("gap"), lengths(matches).alias("size"), value.alias("value")), lambda x: x["size"].isNotNull())
     placed = running(
         sizes,
+        "int",
+        F.lit(0),
         "struct<start:int,end:int,value:int>",
         lambda at, x: at + x["gap"] + x["size"],
         lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")),
@@ -246,7 +228,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
     (name,) = unused(docs, "secrets")
     found = scan(docs, rules, key, text, name)
     # A span that begins at or after the end of all before it opens a run; the text kept before it reaches back to that end.
-    opened = running(F.col(name), "struct<from:int,to:int>", lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.struct(at.alias("from"), s["start"].alias("to")))
+    opened = running(F.col(name), "int", F.lit(0), "struct<from:int,to:int>", lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.struct(at.alias("from"), s["start"].alias("to")))
     kept = F.filter(opened, lambda x: x["to"] >= x["from"])
     until = F.array_max(F.transform(name, lambda s: s["end"]))
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import settle
+from .store import discard, settle
 
 WIDTH = 1.5
 THRESHOLD = 0.95
@@ -174,6 +174,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         yield flush()
 
     found = settle(full.mapInArrow(scan, "u long, v long, n long"), "vec-links")
+    discard(near)
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("v is not null").select("u", "v"), "vec-cc")
     known = classes.select("same", "rep", "m").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
