@@ -25,6 +25,28 @@ def let(body, **values: Column) -> Column:
     return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
 
 
+#: Items that an inner fold takes: appending copies what is there, so folds go by blocks and cost grows in proportion to the items.
+FOLD = 512
+
+
+def running(items: Column, state: str, start: Column, kind: str, step, emit) -> Column:
+    """array<kind> of emit(at, x) for each of the items, `at` being of the type `state`, from `start` on, and step(at, x) after each."""
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    none = F.expr(f"cast(array() as array<struct<at:{state},found:array<{kind}>>>)")
+
+    def block(done: Column, some: Column) -> Column:
+        begin = F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["at"], start).alias("at"), empty.alias("found"))
+        return F.aggregate(some, begin, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["found"], emit(acc["at"], x)).alias("found")))
+
+    def whole(t: Column) -> Column:
+        n = F.size(t["x"])
+        blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        folded = F.aggregate(blocks, none, lambda done, b: F.array_append(done, block(done, F.slice(t["x"], b * FOLD + 1, F.lit(FOLD)))))
+        return F.flatten(F.transform(folded, lambda x: x["found"]))
+
+    return let(whole, x=items)
+
+
 def normalise(x: Column) -> Column:
     """Divided by the sum; uniform where the sum isn't positive."""
 

@@ -7,11 +7,12 @@ import itertools
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as tx
+from ..functions import vectors as vx
 
 # Phrases of running headers, and how parties are separated.
 HEADERS = r"(?i)\b(international court of justice|court internationale de justice|reports of judgments|advisory opinions and orders|recueil des arrets|avis consultatifs|ordonnances?|case concerning|application of|order of|ordonnance du|judgment of|judgement of|table of contents)\b"
@@ -19,32 +20,33 @@ CASE_MARK = r"(?i)\b(v\.|c\.)\b"
 
 
 def strip_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", early: int = 80, repeats: int = 3) -> DataFrame:
-    """(key, text) without page numbers and labels, tables of contents, and running titles in capitals.
+    """(key, text) without page numbers and labels, tables of contents, and running titles in capitals; null texts give empty ones.
 
     A table of contents opens at a line that says so and ends with a second blank line in a row or with a line that isn't like its
-    entries; both are positions, and a line is inside if the last opening comes after the last end.  Documents are identified by
-    key; null texts give empty ones.
+    entries.  All is found inside a document's array of lines, so nothing is shuffled.
     """
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(tx.lines(F.col(text))).alias("pos", "line"))
-    rows = rows.withColumn("norm", tx.collapse(F.when(F.col("line").rlike(r"^[\x00-\x7F]*$"), F.col("line")).otherwise(tx.strip_diacritics(F.col("line")))))
-    line = F.col("line")
-    blank = F.trim(line) == ""
-    page = ~blank & (tx.is_page_number(line) | tx.is_page_label(line))
-    opens = F.col("norm").startswith("table of contents") & ~page
-    by = Window.partitionBy("key").orderBy("pos")
-    rows = rows.withColumns({"blank": blank, "page": page, "opens": opens})
-    filled = F.last(F.when(~F.col("blank"), F.col("pos")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    second = F.col("blank") & (F.col("pos") - F.coalesce(filled, F.lit(-1)) >= 2)
-    ends = second | (~F.col("blank") & ~F.col("page") & ~F.col("opens") & ~tx.is_toc_like(F.trim(line)))
-    opened = F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"ends": ends, "opened": opened})
-    ended = F.last(F.when(F.col("ends"), F.col("pos")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    inside = F.col("opened").isNotNull() & (F.coalesce(ended, F.lit(-1)) < F.col("opened"))
-    alike = F.count(F.when(F.length("norm") >= 6, True)).over(Window.partitionBy("key", "norm"))
-    title = tx.is_caps(line) & ((F.col("pos") < early) | (alike >= repeats) | F.col("norm").rlike(HEADERS) | F.col("norm").rlike(CASE_MARK) | F.trim(line).rlike(r"^\d{1,4}\s+[A-Z]"))
-    kept = rows.withColumn("kept", F.col("blank") | (~F.col("page") & ~inside & ~title)).where("kept")
-    joined = kept.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias(text))
-    return docs.select(F.col(key).alias("key")).join(joined, "key", "left").select(F.col("key").alias(key), F.coalesce(text, F.lit("")).alias(text))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), body.alias("t"), tx.strip_diacritics(body).alias("plain"))
+    rows = rows.select("key", tx.lines(F.col("t")).alias("line"), F.transform(tx.lines(F.col("plain")), tx.collapse).alias("norm"))
+
+    def read(x, i):
+        line, norm = x["line"], x["norm"]
+        blank = F.trim(line) == ""
+        page = ~blank & (tx.is_page_number(line) | tx.is_page_label(line))
+        opens = norm.startswith("table of contents") & ~page
+        title = tx.is_caps(line)
+        sure = (i < early) | norm.rlike(HEADERS) | norm.rlike(CASE_MARK) | F.trim(line).rlike(r"^\d{1,4}\s+[A-Z]")
+        return F.struct(line.alias("line"), norm.alias("norm"), blank.alias("blank"), page.alias("page"), opens.alias("opens"), (~blank & ~page & ~opens & ~tx.is_toc_like(F.trim(line))).alias("other"), title.alias("title"), (title & sure).alias("sure"))
+
+    rows = rows.withColumn("f", F.transform(F.arrays_zip("line", "norm"), read))
+    long_ = F.array_sort(F.filter("norm", lambda n: F.length(n) >= 6))
+    alike = vx.let(lambda t: F.array_distinct(F.array_compact(F.transform(t["s"], lambda n, i: F.when(n == F.get(t["s"], i + repeats - 1), n)))), s=long_)
+    ends = F.transform("f", lambda x, i: F.struct(x["opens"].alias("opens"), (x["other"] | (x["blank"] & F.coalesce(F.get(F.col("f"), i - 1)["blank"], F.lit(False)))).alias("ends")))
+    step = lambda open_, x: F.when(x["opens"], F.lit(True)).when(x["ends"], F.lit(False)).otherwise(open_)
+    inside = F.when(F.exists("f", lambda x: x["opens"]), vx.running(ends, "boolean", F.lit(False), "boolean", step, step))
+    rows = rows.select("key", "f", alike.alias("alike"), inside.alias("inside"))
+    stays = F.filter("f", lambda x, i: x["blank"] | ~(x["page"] | F.coalesce(F.get(F.col("inside"), i), F.lit(False)) | x["sure"] | (x["title"] & F.array_contains("alike", x["norm"]))))
+    return rows.select(F.col("key").alias(key), F.array_join(F.transform(stays, lambda x: x["line"]), "\n").alias(text))
 
 
 def pack_paragraphs(docs: DataFrame, budget: int, stride: int = 0, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, special: int = 2) -> DataFrame:
@@ -110,21 +112,28 @@ def pack_paragraphs(docs: DataFrame, budget: int, stride: int = 0, key: str = "d
     return rows.mapInPandas(fold, f"key {kind}, chunk int, text string, body_tokens int, new_body_tokens int").withColumnRenamed("key", key)
 
 
+#: Items whose probes are looked for inside each document's row.
+FEW = 4096
+
+
 def contained(items: DataFrame, docs: DataFrame, probe_words: int = 8, item_key: str = "item_id", key: str = "doc_id") -> DataFrame:
     """(item, doc): items whose words all stand in a document, in one run.
 
     A run that holds the item holds its first words; documents are probed by the hashes of their runs of that length, and only the
-    pairs that agree are verified.  Items of fewer words are probed by a run of their own length.
+    pairs that agree are verified.  Items of fewer words are probed by a run of their own length.  Up to FEW items are compared
+    inside the document's row; of more the runs are joined.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     asked = items.select(F.col(item_key).alias("item"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     asked = asked.withColumn("n", F.least(F.size("iw"), F.lit(probe_words))).withColumn("probe", F.xxhash64(F.array_join(F.slice("iw", 1, F.col("n")), " "), "n"))
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most probe_words numbers
+    few = [r["probe"] for r in asked.select("probe").distinct().limit(FEW + 1).collect()]
     there = docs.select(F.col(key).alias("doc"), words(F.col("text")).alias("dw"))
     probes = None
     for n in lengths:
         runs = F.when(F.size("dw") >= n, F.transform(F.sequence(F.lit(1), F.size("dw") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("dw", i, F.lit(n)), " "), F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
-        one = there.select("doc", F.explode(F.array_distinct(runs)).alias("probe"))
+        runs = F.array_intersect(runs, F.array(*map(F.lit, few))) if len(few) <= FEW else F.array_distinct(runs)
+        one = there.select("doc", F.explode(runs).alias("probe"))
         probes = one if probes is None else probes.unionByName(one)
     if probes is None:
         return there.crossJoin(asked.select("item")).select("item", "doc").limit(0)

@@ -62,6 +62,15 @@ def test_blocks_are_found_by_their_middle(spark):
     assert got[1]["found"] and 0.9 <= got[1]["coverage"] < 1 and not got[2]["found"] and not got[3]["found"] and got[4]["found"]
 
 
+def test_many_items_are_joined_as_few_are_looked_up(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "b c"), (2, "a B c d e f g h i j"), (3, "z"), (4, ""), (5, None)], "item_id long, text string")
+    d = docs(spark, ["x a b  c\nd e f g h i j", "b c", "bc", None, "z z"])
+    found = lambda: sorted(map(tuple, chunking.contained(items, d).collect()))
+    few = found()
+    monkeypatch.setattr(chunking, "FEW", 0)
+    assert few == found() == [(1, 0), (1, 1), (2, 0), (3, 4)]
+
+
 def test_clouds_by_embedding(spark):
     d = docs(spark, ["alpha alpha beta", "gamma beta", "delta", "nothing here"])
     vad = spark.createDataFrame([(t, 0.9, 0.6, 0.5, 1.0) for t in ("alpha", "beta", "gamma", "delta")], "term string, v double, a double, d double, conf double")
