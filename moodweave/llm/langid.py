@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import discard, settle, unused
+from .store import discard, settle, small_batches, unused
 
 ORDERS = (1, 2, 3, 4)
 WINDOW = 4096
@@ -153,6 +153,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Rows with a null key are not used; of rows repeating a key any may be.  Classes are weighted so that a rare language counts as
     much as a common one.  A landmark is the first window of a document.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("k is not null and lang is not null")
     picked = rows.select("k", F.xxhash64(F.lit("lang"), "k").alias("h")).orderBy("h", "k").limit(most_rows).distinct()
     sample = settle(rows.join(F.broadcast(picked), "k").where(F.col("text").rlike(r"\p{L}")).dropDuplicates(["k"]), "lang-sample")  # at most most_rows keys
@@ -200,6 +201,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<best:int,score:double>")

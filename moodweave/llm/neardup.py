@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import connected_components
-from .store import discard, is_small, settle, unused
+from .store import discard, is_small, settle, small_batches, unused
 from .vectordedup import _roots, grouped
 
 WORDS = 5
@@ -124,6 +124,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> Weights:
         if n:
             yield report()
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"))
     sums = settle(texts.mapInArrow(local, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "df-local")
     n = sums.agg(F.sum("n")).first()[0] or 0

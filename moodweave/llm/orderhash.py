@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
+from .store import small_batches
 
 K = 5
 L = 2
@@ -133,6 +134,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     each other by the hash of their text, null keys come last, a single row is its own next document, and an empty table gives
     an empty result.  Very long texts are taken whole, one at a time.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     schema = docs.select(F.col(key).alias("doc_id")).schema.add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

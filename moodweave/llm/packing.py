@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textcore as tc
+from .store import small_batches
 
 WINDOW = 4096
 SEPARATOR = 2
@@ -283,8 +284,10 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
 
     A document is its whole text's ids and one separator id (a null text counts as empty: the separator alone).  Each id lies in
     one piece.  Rows that share a key are documents of their own, a null key is kept, other columns are not read and an empty
-    table gives no piece.  Tasks pack what they read, shard by shard; nothing is shuffled.
+    table gives no piece.  Tasks pack what they read, shard by shard; nothing is shuffled.  A worker holds one shard's ids, and a very
+    long text is encoded in one go, which takes a few times its size.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     schema = docs.select(docs[key].alias(key)).schema
     for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), *([("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])):

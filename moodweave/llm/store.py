@@ -30,6 +30,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches be bounded by few bytes: texts pass through the JVM's and the worker's memory several times over, and a batch of
+    ten thousand of them would be held in each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m").lower().rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _made: list[tuple[str, str]] = []
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import settle, small_batches
 
 #: Most bytes of one archive file before compression, if no record alone is larger; a file is read whole by one task.
 FILE_BYTES = 32 << 20
@@ -155,6 +155,7 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
                 kinds = pa.schema([(n, pa.int64() if n in ("page_id", "payload_bytes", "refers_to") else pa.string()) for n in ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *["payload"] * payloads)])
                 yield from pa.Table.from_pylist(rows, kinds).to_batches()
 
+    small_batches(spark)
     # One archive an Arrow batch and few a task: a task holds about one file's bytes at a time.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt*").load(path).select("content")
     return files.mapInArrow(read, schema)
