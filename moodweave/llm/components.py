@@ -11,7 +11,7 @@ from .store import discard, settle
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Of edges (u, v): a row (node, component) for each node, component being its smallest node.
 
-    Alternating large-star and small-star steps, each ending in a table in the shared folder, until the edges no longer change;
+    Alternating large-star and small-star steps, each pair ending in a table in the shared folder, until the edges no longer change;
     they number O(log^2 n).  Loops, repeated edges and nulls are dropped; no edges give an empty result.  A hub's edges meet in
     a join only, where Spark splits what is skewed.
     """
@@ -30,12 +30,11 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = tidy(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = settle(large, label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = tidy(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
         small = settle(small, label)
-        discard(now), discard(large)
+        discard(now)
         now, before = small, seen
         seen = mark(now)
         if seen == before:

@@ -71,7 +71,7 @@ def _plan(docs: DataFrame, key: str, text: str, source: str, weights: tuple[floa
     ahead = F.coalesce(F.sum(words).over(Window.partitionBy("source").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     takes = F.greatest(F.lit(0), F.least(words, F.col("rest") - F.col("cut_below") - ahead))
     extras = alike.withColumn("each", F.round(takes / F.col("copies")).cast("long")).select("source", "doc_id", "size", "tie", "each")
-    return d, plan, settle(extras, "mix-extras")
+    return d, plan, extras
 
 
 def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

@@ -159,15 +159,16 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> Weights:
         some = np.flatnonzero(total)
         pairs = np.array(sorted(seen), np.int64)
         group, at = pairs // len(wanted), pairs % len(wanted)
-        h = np.concatenate([wanted[some].view(np.int64), wanted[at].view(np.int64), [0]])
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([np.full(len(some), -1), group, [-2]])), pa.array(np.concatenate([total[some], np.ones(len(at), np.int64), [single]]))], names=["h", "g", "c"])
-
-    held = texts.mapInArrow(count, "h long, g long, c long").groupBy("h", "g").agg(F.when(F.col("g") < 0, F.sum("c")).otherwise(F.lit(1)).alias("c"))
-    held = settle(held, "df-held")
-    n = held.agg(F.sum(F.when(F.col("g") == -2, F.col("c"))) + F.count_distinct(F.when(F.col("g") >= 0, F.col("g")))).first()[0] or 0
-    exact = held.where("g <> -2").groupBy("h").agg(F.sum("c").alias("c")).toArrow()
-    discard(held)
-    h, c = exact.column("h").to_numpy().view(np.uint64), exact.column("c").to_numpy()
+        place = np.searchsorted(order_of, tc.mix(wanted[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, at)), pa.array(np.append(np.full(len(some), -1), group)), pa.array(np.append(total[some], np.zeros(len(at), np.int64))), pa.array(np.append(np.zeros(len(some), np.int64), group == place))], names=["at", "g", "c", "names"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), pa.array([single]), pa.array([0])], names=["at", "g", "c", "names"])
+
+    # A group holds the shingle that it is named by, so such shingles number the groups.
+    held = texts.mapInArrow(count, "at long, g long, c long, names long").groupBy("at", "g").agg(F.sum("c").alias("c"), F.max("names").alias("names"))
+    exact = held.groupBy("at").agg((F.sum("c") + F.count_if(F.col("g") >= 0)).alias("c"), F.max("names").alias("names")).toArrow()
+    at, c = exact.column("at").to_numpy(), exact.column("c").to_numpy()
+    n = int(c[at < 0].sum()) + int(exact.column("names").to_numpy().sum())
+    h, c = maybe.value[at[at >= 0]], c[at >= 0]
     order = np.argsort(h)
     return Weights(h[order], idf_of(c[order], n), float(idf_of(np.zeros(1), n)[0]))
 
@@ -334,10 +335,10 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
         made += [parts, known, open_, more := _verify(again, classes, texts, weights, "near-edges2")]
         linked = edges.unionByName(more)
     made.append(whole := connected_components(linked, "near-cc"))
-    parts = settle(whole.join(classes.select("id", "same", "rep"), F.col("node") == F.col("id")), "near-parts")
+    parts = whole.join(classes.select("id", "same", "rep"), F.col("node") == F.col("id"))
     firsts = parts.groupBy("component").agg(F.min(F.struct("rep", "same")).alias("f"))
     found = settle(parts.join(firsts, "component").select("same", "f"), "near-firsts")
-    for done in (*made, parts, buckets, members, edges):
+    for done in (*made, buckets, members, edges):
         discard(done)
     known = classes.select("same", "rep").join(found, "same", "left").select("same", F.coalesce("f.rep", "rep").alias("component_id"), F.coalesce("f.same", "same").alias("first"))
     return signed.select("doc_id", "same"), known
