@@ -331,10 +331,13 @@ def rollup_tertiles(spark, sf):
 
 
 def rollup_scorecard(spark, sf):
-    s = _selected(spark, sf).agg((F.sum("n_selected") / F.sum("n_raw")).alias("coverage"), F.avg((F.col("n_selected") == 0).cast("double")).alias("zero_share"))
-    score, verdict = rollups.scorecard(F.col("coverage"), F.lit(0.5), F.lit(1.2), F.lit(0.75), F.col("zero_share"))
+    share = F.sum("n_selected") / F.sum("n_raw")
+    s = _selected(spark, sf).agg(share.alias("coverage"), F.avg((F.col("n_selected") == 0).cast("double")).alias("zero_share"), F.avg((F.col("n_selected") >= 3).cast("double")).alias("explained"))
+    top1 = emb_top1_label_coherence(spark, sf).agg((F.sum(F.round(F.col("same_rate") * F.col("n"))) / F.sum("n")).alias("top1"))
+    s = s.join(F.broadcast(top1)).join(F.broadcast(emb_intra_inter_separation(spark, sf).select("effect")))  # one row each
+    score, verdict = rollups.scorecard(F.col("coverage"), F.col("top1"), F.col("effect"), F.col("explained"), F.col("zero_share"))
     reasons = rollups.guard_reasons({"coverage": ("least", 0.9), "zero_share": ("most", 0.02)})
-    return s.select(*_r("coverage", "zero_share"), F.round(score, 6).alias("score"), verdict.alias("verdict"), F.array_join(reasons, "; ").alias("reasons"))
+    return s.select(*_r("coverage", "zero_share", "top1", "effect", "explained"), F.round(score, 6).alias("score"), verdict.alias("verdict"), F.array_join(reasons, "; ").alias("reasons"))
 
 
 def _labelled(spark, sf) -> DataFrame:
@@ -383,12 +386,16 @@ def contain_exact_ordered(spark, sf):
 
 
 def teacher_noisy_or(spark, sf):
-    p = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: ((F.col("doc_id") * 37 + i * 11) % 100) / 100.0)
-    return _t(spark, sf, "documents").select("doc_id", F.round(vx.noisy_or(p), 6).alias("p"))
+    """Of each document's distribution over the first four emotions."""
+    p = _profiles(spark, sf).select("doc_id", F.slice(vx.normalise(F.col("lex_counts")), 1, 4).alias("p"))
+    return p.select("doc_id", F.round(vx.noisy_or(F.col("p")), 6).alias("p"))
 
 
 def meta_parse(spark, sf):
-    rows = spark.createDataFrame([(p,) for p in FILE_NAMES], "path string")
+    """Names of every kind, and one of a court for each document."""
+    n = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
+    own = F.concat(F.lit("texts/ICJ_"), n, F.lit("_Case"), F.col("doc_id").cast("string"), F.lit("_19"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("-04-09_"), F.when(F.col("doc_id") % 2 == 0, "JUD").otherwise("ORD"), F.lit("_01.txt"))
+    rows = spark.createDataFrame([(p,) for p in FILE_NAMES], "path string").unionByName(_t(spark, sf, "documents").select(own.alias("path")))
     return rows.select("path", tx.parse_file_name(F.col("path")).alias("m")).select("path", "m.*")
 
 
@@ -437,9 +444,10 @@ def label_keys(spark, sf):
 
 
 def teacher_classes(spark, sf):
-    p = vx.normalise(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: ((F.col("doc_id") * 37 + i * 11) % 100 + 1) / 100.0))
+    """Of each document's distribution over the first three emotions."""
+    p = _profiles(spark, sf).select("doc_id", vx.normalise(F.slice("lex_counts", 1, 3)).alias("p"))
     label, sentiment, score = models.class_from_probabilities(F.col("p"))
-    return _t(spark, sf, "documents").select("doc_id", p.alias("p")).select("doc_id", label.cast("long").alias("label"), sentiment.cast("long").alias("sentiment"), F.round(score, 6).alias("score"))
+    return p.select("doc_id", label.cast("long").alias("label"), sentiment.cast("long").alias("sentiment"), F.round(score, 6).alias("score"))
 
 
 def imputed_by_ridge(spark, sf):

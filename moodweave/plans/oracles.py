@@ -131,7 +131,7 @@ ORACLES = {
     "rollup_year_type": "WITH e AS (SELECT strftime(ts, '%Y-%m') AS month, event_type AS k, value FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL) SELECT month, CASE WHEN grouping(k) = 1 THEN 'ALL' ELSE k END AS kind, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM e GROUP BY GROUPING SETS ((month, k), (month))",
     "rollup_topn_per_emotion": f"WITH {PROF}{_RATES} SELECT emotion, row_number() OVER (PARTITION BY emotion ORDER BY rate DESC, doc_id) AS rank, doc_id, rate FROM rates QUALIFY rank <= 5",
     "rollup_tertiles": f"WITH {ARR}, r AS (SELECT doc_id, row_number() OVER (ORDER BY len(ts), doc_id) AS row, count(*) OVER () AS n FROM arr) SELECT doc_id, CASE WHEN row <= n // 3 THEN 'low' WHEN row <= 2 * n // 3 THEN 'mid' ELSE 'high' END AS tertile FROM r",
-    "rollup_scorecard": f"WITH {LEX}, s AS (SELECT arr.doc_id, any_value(len(ts)) AS n_raw, count(terms.term) AS n_selected FROM arr LEFT JOIN tok ON tok.doc_id = arr.doc_id LEFT JOIN terms ON terms.term = tok.term GROUP BY arr.doc_id), c AS (SELECT sum(n_selected) / sum(n_raw) AS coverage, avg((n_selected = 0)::INT) AS zero_share FROM s), t AS (SELECT *, greatest(0, 35 * least(1, greatest(0, coverage / 0.1)) + 20 * 0.5 + 25 * 0.6 + 20 * 0.75 - 20 * least(1, greatest(0, zero_share / 0.5))) AS score FROM c) SELECT round(coverage, 6) AS coverage, round(zero_share, 6) AS zero_share, round(score, 6) AS score, CASE WHEN t.score >= 75 THEN 'strong' WHEN t.score >= 50 THEN 'usable' ELSE 'weak' END AS verdict, concat_ws('; ', CASE WHEN t.coverage < 0.9 THEN 'coverage below 0.9' END, CASE WHEN t.zero_share > 0.02 THEN 'zero_share above 0.02' END) AS reasons FROM t",
+    "rollup_scorecard": f"WITH {LEX}, s AS (SELECT arr.doc_id, any_value(len(ts)) AS n_raw, count(terms.term) AS n_selected FROM arr LEFT JOIN tok ON tok.doc_id = arr.doc_id LEFT JOIN terms ON terms.term = tok.term GROUP BY arr.doc_id), c AS (SELECT sum(n_selected) / sum(n_raw) AS coverage, avg((n_selected = 0)::INT) AS zero_share, avg((n_selected >= 3)::INT) AS explained FROM s), {KNN}, t1 AS (SELECT avg((il = jl)::INT) AS top1 FROM nn WHERE rank = 1), {CENTROIDS}, sd AS (SELECT label = ref AS same, (1 - list_dot_product(embedding::DOUBLE[], c) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(c, c))) / 2 AS distance FROM embeddings, ref), se AS (SELECT round((avg(distance) FILTER (NOT same) - avg(distance) FILTER (same)) / sqrt((var_pop(distance) FILTER (same) + var_pop(distance) FILTER (NOT same)) / 2), 6) AS effect FROM sd), t AS (SELECT *, greatest(0, 35 * least(1, greatest(0, coverage / 0.1)) + 20 * least(1, greatest(0, top1)) + 25 * least(1, greatest(0, effect / 2)) + 20 * least(1, greatest(0, explained)) - 20 * least(1, greatest(0, zero_share / 0.5))) AS score FROM c, t1, se) SELECT round(coverage, 6) AS coverage, round(zero_share, 6) AS zero_share, round(top1, 6) AS top1, round(effect, 6) AS effect, round(explained, 6) AS explained, round(score, 6) AS score, CASE WHEN t.score >= 75 THEN 'strong' WHEN t.score >= 50 THEN 'usable' ELSE 'weak' END AS verdict, concat_ws('; ', CASE WHEN t.coverage < 0.9 THEN 'coverage below 0.9' END, CASE WHEN t.zero_share > 0.02 THEN 'zero_share above 0.02' END) AS reasons FROM t",
     "eval_confusion_f1": "WITH r AS (SELECT quality AS g, (n_chars > 1000)::INT AS p FROM labels JOIN documents USING (doc_id)), k AS (SELECT DISTINCT unnest([g, p]) AS label FROM r), c AS (SELECT label, count(*) FILTER (g = label) AS support, count(*) FILTER (p = label) AS claimed, count(*) FILTER (g = label AND p = label) AS tp FROM r, k GROUP BY label) SELECT label::BIGINT AS label, support, round(CASE WHEN claimed > 0 THEN tp / claimed ELSE 0.0 END, 6) AS precision, round(CASE WHEN support > 0 THEN tp / support ELSE 0.0 END, 6) AS recall, round(CASE WHEN claimed + support > 0 THEN 2 * tp / (claimed + support) ELSE 0.0 END, 6) AS f1 FROM c",
     "eval_multilabel_f1": "WITH r AS (SELECT * FROM labels JOIN documents USING (doc_id)), e AS (SELECT 'quality' AS label, quality AS g, (n_chars > 1000)::INT AS p FROM r UNION ALL SELECT 'toxic', toxic, contains(text, 'idiot')::INT FROM r WHERE n_chars > 500), c AS (SELECT label, sum(g * p)::BIGINT AS tp, sum((1 - g) * p)::BIGINT AS fp, sum(g * (1 - p))::BIGINT AS fn FROM e GROUP BY label), f AS (SELECT *, CASE WHEN tp + (fp + fn) / 2 > 0 THEN tp / (tp + (fp + fn) / 2) ELSE 0.0 END AS f1 FROM c) SELECT label, tp, fp, fn, round(f1, 6) AS f1 FROM f UNION ALL SELECT 'MICRO', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, round(sum(tp) / (sum(tp) + (sum(fp) + sum(fn)) / 2), 6) FROM f UNION ALL SELECT 'MACRO', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, round(avg(f.f1), 6) FROM f",
     "eval_auc_by_emotion": f"WITH {PROF}{_RATES}, r AS (SELECT emotion, rate, toxic FROM rates JOIN labels USING (doc_id)), k AS (SELECT *, rank() OVER (PARTITION BY emotion ORDER BY rate) + (count(*) OVER (PARTITION BY emotion, rate) - 1) / 2 AS rk FROM r), s AS (SELECT emotion, count(*) AS n, sum(rk) FILTER (toxic = 1) AS sr, count(*) FILTER (toxic = 1) AS p FROM k GROUP BY emotion) SELECT emotion, n, round((sr - p * (p + 1) / 2) / (p * (n - p)), 6) AS auc FROM s",
@@ -139,8 +139,8 @@ ORACLES = {
     "split_by_group_hash": "WITH g AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY md5(conv_id::VARCHAR || ':13'), conv_id) AS row, count(*) OVER () AS n FROM g) SELECT conv_id, CASE WHEN row <= greatest(1, least(n - 1, round_even(n * 0.2, 0))) THEN 'dev' ELSE 'train' END AS split FROM r",
     "sample_stratified_hash": "WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, md5(doc_id::VARCHAR || ':13') AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS k FROM d), rest AS (SELECT doc_id, source FROM r WHERE k > 3 ORDER BY h, doc_id LIMIT 5) SELECT doc_id, source, 'stratum' AS part FROM r WHERE k <= 3 UNION ALL SELECT doc_id, source, 'rest' FROM rest",
     "contain_exact_ordered": "WITH i AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) SELECT item_id AS item, doc_id AS doc FROM i, d WHERE i.t <> '' AND contains(' ' || d.t || ' ', ' ' || i.t || ' ')",
-    "teacher_noisy_or": f"SELECT doc_id, round(1 - {' * '.join(f'(1 - ((doc_id * 37 + {11 * i}) % 100) / 100.0::DOUBLE)' for i in range(1, 5))}, 6) AS p FROM documents",
-    "meta_parse": f"WITH p AS ({_NAMES}), q AS (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, string_split(path, '/') AS f FROM p), s AS (SELECT *, string_split(stem, '_') AS parts, list_position(f, 'crystal_ball_data') AS root FROM q), t AS (SELECT *, len(parts) >= 2 AND parts[1] = 'ICJ' AS court, list_position([regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}') FOR x IN parts], true) AS dated FROM s), o AS (SELECT *, NOT court AND root IS NOT NULL AND root > 0 AS other FROM t) SELECT path, stem, CASE WHEN court THEN 'ICJ' WHEN other THEN 'crystal_ball' END AS source, CASE WHEN court THEN parts[2] END AS case_id, CASE WHEN court AND dated > 0 THEN parts[dated] END AS date, CASE WHEN court AND dated > 0 THEN parts[dated + 1] END AS doc_type, CASE WHEN other THEN f[root + 1] END AS split, CASE WHEN other AND f[root + 2] LIKE 'Article%' THEN f[root + 2] END AS article, CASE WHEN other THEN coalesce(CASE WHEN f[root + 3] IN ('violation', 'non-violation', 'both') THEN f[root + 3] END, CASE WHEN f[root + 1] = 'test_violations' THEN 'violation' END) END AS outcome FROM o",
+    "teacher_noisy_or": f"WITH {PROF}, n AS (SELECT doc_id, {_NORM.format(x='c')} AS p FROM prof) SELECT doc_id, round(1 - (1 - p[1]) * (1 - p[2]) * (1 - p[3]) * (1 - p[4]), 6) AS p FROM n",
+    "meta_parse": f"WITH p AS ({_NAMES} UNION ALL SELECT 'texts/ICJ_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '_Case' || doc_id || '_19' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '-04-09_' || CASE WHEN doc_id % 2 = 0 THEN 'JUD' ELSE 'ORD' END || '_01.txt' FROM documents), q AS (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, string_split(path, '/') AS f FROM p), s AS (SELECT *, string_split(stem, '_') AS parts, list_position(f, 'crystal_ball_data') AS root FROM q), t AS (SELECT *, len(parts) >= 2 AND parts[1] = 'ICJ' AS court, list_position([regexp_full_match(x, '\\d{{4}}-\\d{{2}}-\\d{{2}}') FOR x IN parts], true) AS dated FROM s), o AS (SELECT *, NOT court AND root IS NOT NULL AND root > 0 AS other FROM t) SELECT path, stem, CASE WHEN court THEN 'ICJ' WHEN other THEN 'crystal_ball' END AS source, CASE WHEN court THEN parts[2] END AS case_id, CASE WHEN court AND dated > 0 THEN parts[dated] END AS date, CASE WHEN court AND dated > 0 THEN parts[dated + 1] END AS doc_type, CASE WHEN other THEN f[root + 1] END AS split, CASE WHEN other AND f[root + 2] LIKE 'Article%' THEN f[root + 2] END AS article, CASE WHEN other THEN coalesce(CASE WHEN f[root + 3] IN ('violation', 'non-violation', 'both') THEN f[root + 3] END, CASE WHEN f[root + 1] = 'test_violations' THEN 'violation' END) END AS outcome FROM o",
     "text_boilerplate_strip": (
         "WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), "
         f"n AS (SELECT *, strip_accents(lower(trim(regexp_replace(line, '\\s+', ' ', 'g')))) AS norm, trim(line) = '' AS blank, {_CAPS} AS caps, trim(line) <> '' AND ({_NUMBER} OR {_LABEL}) AS page FROM l), "
@@ -151,7 +151,7 @@ ORACLES = {
     ),
     "text_excerpts": "WITH b AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t, trim(regexp_replace(replace(replace(replace(replace(translate(coalesce(text, ''), '" + _FROM + "', '" + _TO + "'), '“', '\"'), '”', '\"'), '„', '\"'), '…', '...'), '\\s+', ' ', 'g')) AS plain FROM documents), a AS (SELECT *, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN greatest(length(regexp_split_to_array(t, '\\bthe\\b')[1]) - 20, 0) ELSE 0 END AS p FROM b) SELECT doc_id, CASE WHEN p > 0 THEN '…' ELSE '' END || trim(substr(t, p + 1, 60)) || CASE WHEN length(t) > p + 60 THEN '…' ELSE '' END AS around, trim(substr(t, 1, 40)) || CASE WHEN length(t) > 40 THEN '…' ELSE '' END AS head, length(plain) AS n_plain FROM a",
     "label_keys": "SELECT doc_id, regexp_replace(lower(trim(' ' || upper(lang) || '-' || source || ' ')), '[\\s-]+', '_', 'g') AS label, (doc_id % 7 = 0 OR lang IS NULL)::INT AS unlabelled, (contains(lower(source), 'rc1') OR contains(lower(source), '7'))::INT AS hit, CASE WHEN doc_id % 5 > 0 THEN lang ELSE 'unknown' END AS key FROM documents",
-    "teacher_classes": "WITH r AS (SELECT doc_id, [((doc_id * 37 + i * 11) % 100 + 1) / 100.0::DOUBLE FOR i IN range(1, 4)] AS q FROM documents), p AS (SELECT doc_id, [x / list_sum(q) FOR x IN q] AS p FROM r) SELECT doc_id, list_position(p, list_max(p)) - 1 AS label, list_position(p, list_max(p)) - 2 AS sentiment, round(-p[1] + p[3], 6) AS score FROM p",
+    "teacher_classes": f"WITH {PROF}, r AS (SELECT doc_id, c[1:3] AS q FROM prof), p AS (SELECT doc_id, {_NORM.format(x='q')} AS p FROM r) SELECT doc_id, list_position(p, list_max(p)) - 1 AS label, list_position(p, list_max(p)) - 2 AS sentiment, round(-p[1] + p[3], 6) AS score FROM p",
     "sample_balanced_by_class": "WITH d AS (SELECT doc_id, coalesce(lang, 'unknown') AS lang, md5(doc_id::VARCHAR || ':13') AS h FROM documents), k AS (SELECT lang, row_number() OVER (ORDER BY lang) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM d)), r AS (SELECT doc_id, d.lang, h, row_number() OVER (PARTITION BY d.lang ORDER BY h, doc_id) AS rank, 50 // n + (i <= 50 % n)::INT AS share FROM d JOIN k USING (lang)), f AS (SELECT doc_id, lang FROM r WHERE rank <= share) SELECT * FROM f UNION ALL (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS place FROM r WHERE rank > share AND rank <= 50) WHERE place <= 50 - (SELECT count(*) FROM f))",
     "text_line_chunks": "WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), f AS (SELECT doc_id, ls, 1 AS i, length(ls[1])::BIGINT AS held, []::BIGINT[] AS done FROM l UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN held + 1 + length(ls[i + 1]) > 400 THEN length(ls[i + 1]) ELSE held + 1 + length(ls[i + 1]) END, CASE WHEN held + 1 + length(ls[i + 1]) > 400 THEN list_append(done, held) ELSE done END FROM f WHERE i < len(ls)) SELECT doc_id, len(done) + 1 AS chunks, greatest(held, coalesce(list_max(done), 0)) AS longest FROM f WHERE i = len(ls)",
     "stream_windowed_signal": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY ALL",
