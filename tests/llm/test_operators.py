@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -839,3 +840,25 @@ def test_fingerprints_are_the_same_over_many_partitions(spark):
         assert sorted(map(str, orderhash.fingerprint_edits(docs).collect())) == few
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fingerprints_of_a_text_of_many_megabytes(spark):
+    long = " ".join(words(5, 600_000))
+    assert len(long) > 2_500_000
+    got = {r["doc_id"]: r for r in orderhash.fingerprint_edits(frame(spark, [long, long, "a b c d e f"])).collect()}
+    assert got[0]["n_chars"] == len(long) and got[0]["fingerprint"] == got[1]["fingerprint"] and got[1]["near_next"] == 1.0
+    groups = {r["doc_id"]: r["component_id"] for r in neardup.find_groups(frame(spark, [long, long + " more", "a b c d e f"])).collect()}
+    assert groups == {0: 0, 1: 0, 2: 2}
+
+
+def test_edited_texts_match_sql(spark):
+    """The contract's columns that SQL can state, over a whole table."""
+    duckdb, path = pytest.importorskip("duckdb"), "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    rows = duckdb.sql(
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{path}'), n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM d) "
+        "SELECT doc_id, length(t) AS n, sha256(left(t, (length(t) - length(t) // 2)::BIGINT) || left(after, (length(t) // 2)::BIGINT)) AS edited FROM n"
+    ).fetchall()
+    got = orderhash.fingerprint_edits(spark.read.parquet(path)).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
