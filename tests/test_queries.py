@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from moodweave.functions import text as tx
 
 SF = os.environ.get("MOODWEAVE_SF", "/root/testdata/sf0.001")
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
