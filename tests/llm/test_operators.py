@@ -64,12 +64,16 @@ def test_long_texts_are_taken_in_parts(monkeypatch):
     text = " ".join(words(1, 3000))
     data = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = tc.words(data, np.array([0, len(data)]), tc.NOT_SPACE)
-    whole, seen = tc.span_hashes(data, starts, ends), list(langid.presence(pa.array([text, "ab", text])))[0]
+
+    def windows():
+        runs = langid.windows(pa.array([text, "ab", text]))
+        return [(int(w.doc[i]), int(w.size[i]), w.grams[w.off[i] : w.off[i + 1]].tolist()) for w in runs for i in range(len(w.doc))]
+
+    whole, seen = tc.span_hashes(data, starts, ends), windows()
     monkeypatch.setattr(tc, "BLOCK_BYTES", 100)
     monkeypatch.setattr(langid, "_SEGMENT", 101)
     assert (tc.span_hashes(data, starts, ends) == whole).all()
-    parts = np.concatenate(list(langid.presence(pa.array([text, "ab", text]))))
-    assert (parts == seen).all()
+    assert windows() == seen and [d for d, *_ in seen].count(1) == 1 and sum(n for d, n, _ in seen if d == 2) == len(data)
 
 
 def test_shingles_of_short_documents():
