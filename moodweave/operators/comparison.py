@@ -44,6 +44,7 @@ def compare_scores(scores: DataFrame, queries: Column, cost: np.ndarray, cfg: Co
     With `style`, a distribution, style_distance is added: the balanced divergence between the two documents' distributions.
     """
     rows, _ = measured_rows(scores, cfg, measure=measure)
+    rows = settle(rows, "compare-rows")  # read for the search and for both sides of its pairs
     near = neighbours.transport_neighbours(rows, queries, cost, cfg.solver(), cfg.top_k)
     q, j = rows.select(F.col("doc_id").alias("query"), F.col("x").alias("qx")), rows.select(F.col("doc_id").alias("id"), F.col("x").alias("jx"))
     both = near.join(q, "query").join(j, "id")
