@@ -132,6 +132,21 @@ def test_distance_rows_are_symmetric_for_divergences(spark):
     assert len(plain) == 12 and plain[0, 0] > 0
 
 
+def test_distance_rows_are_not_stored_before_they_are_read(spark, monkeypatch):
+    """Every row of the matrix was written to the shared folder, read and written again."""
+    stored, settle = [], neighbours.settle
+    monkeypatch.setattr(neighbours, "settle", lambda df, label: (stored.append(label), settle(df, label))[1])
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    rows = spark.createDataFrame([(i, [float(1 + (i * k) % 5) for k in range(1, 5)]) for i in range(12)], "doc_id long, x array<double>")
+    s = ot.Solver("unbalanced_divergence", 0.1, 30, 0.5)
+    got = {(r["query"], r["id"]): r["distance"] for r in neighbours.distance_rows(rows, F.col("id") % 2 == 0, ot.uniform_cost(4), s).collect()}
+    assert set(got) == {(i, j) for i in range(0, 12, 2) for j in range(12)} and "search-found" not in stored
+    x = np.array([[float(1 + (i * k) % 5) for k in range(1, 5)] for i in range(12)])
+    for (i, j), d in got.items():
+        want = ot.costs(x[[i, j]], x[[j, i]], ot.uniform_cost(4), s).mean() - ot.self_costs(x[[i, j]], ot.uniform_cost(4), s).mean()
+        assert abs(d - (0 if i == j else want)) < 1e-12
+
+
 def test_searches_by_blocks_of_queries(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
     ask = lambda: sorted(map(tuple, neighbours.cosine_neighbours(rows, F.col("id") % 3 == 0, 4).collect()))
