@@ -42,6 +42,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Rows that Parquet is decoded in at a time, where the session leaves Spark's default of 4,096.
+BATCH_ROWS = 256
+
+
+def short_reads(spark: SparkSession) -> None:
+    """Let Parquet be decoded a few rows at a time: the texts of a batch fill one array of the JVM, which is doubled as it grows, and
+    these arrays make an executor's heap grow far beyond what is in use."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(name, "4096") == "4096":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 _made: list[tuple[str, str]] = []
 
 

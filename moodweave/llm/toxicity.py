@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .store import small_batches
+from .store import short_reads, small_batches
 
 ORDER = 5
 SHARED_ORDER = 3
@@ -233,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     among TOWARD_ONE and gives the scale of scores, each class weighing what it has among all labels.
     """
     small_batches(docs.sparkSession)
+    short_reads(docs.sparkSession)
     said = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(toxic) >= 0.5).cast("int").alias("toxic"))
     said = said.withColumn("h", F.xxhash64(F.lit("tox"), "k"))
     sizes = {r["toxic"]: r["count"] for r in said.groupBy("toxic").count().collect()}
@@ -286,6 +287,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     small_batches(docs.sparkSession)
+    short_reads(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

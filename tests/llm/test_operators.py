@@ -258,6 +258,34 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.score(docs.limit(0), None).count() == 0
 
 
+def test_toxicity_decodes_few_texts_at_a_time(spark, tmp_path):
+    """A batch of 4,096 texts made executors' heaps grow; a caller's own setting stays."""
+    name, at = "spark.sql.parquet.columnarReaderBatchSize", str(tmp_path / "documents")
+    frame(spark, [f"{'vile scum' if i % 4 == 0 else 'plain talk'} {i}" for i in range(1500)]).coalesce(1).write.parquet(at)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1500)], "doc_id long, toxic int")
+
+    def batches(plan) -> int:
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("numInputBatches")
+        return sum(map(batches, below)) + (own.get().value() if own.isDefined() else 0)
+
+    def of_score() -> int:
+        scored = toxicity.score(spark.read.parquet(at), model)
+        assert len(scored.collect()) == 1500
+        return batches(scored._jdf.queryExecution().executedPlan())
+
+    try:
+        spark.conf.unset(name)
+        model = toxicity.train(spark.read.parquet(at), labels)
+        assert spark.conf.get(name) == "256"
+        spark.conf.unset(name)
+        assert of_score() == 6
+        spark.conf.set(name, "1000")
+        assert of_score() == 2
+    finally:
+        spark.conf.unset(name)
+
+
 # --- 3 embeddings
 
 
