@@ -132,6 +132,19 @@ def test_distance_rows_are_symmetric_for_divergences(spark):
     assert len(plain) == 12 and plain[0, 0] > 0
 
 
+def test_both_directions_of_a_divergence_are_solved_as_one_batch(monkeypatch):
+    s, c, calls = ot.Solver("unbalanced_divergence", 0.1, 30, 0.5), ot.uniform_cost(4), []
+    a, b = np.random.default_rng(5).uniform(0, 10, (2, 3000, 4))
+    own = [ot.self_costs(x, c, s) for x in (a, b)]
+    want = (ot.costs(a, b, c, s) + ot.costs(b, a, c, s)) / 2 - own[0] / 2 - own[1] / 2
+    scalings = ot._scalings
+    monkeypatch.setattr(ot, "_scalings", lambda *args: calls.append(len(args[0])) or scalings(*args))
+    assert np.allclose(ot.distances(a, b, *own, c, s), want, rtol=0, atol=1e-13) and sum(calls) == 6000 and max(calls) <= ot.SHARED_PAIRS
+    calls.clear()
+    ot.distances(a[:5], b[:5], own[0][:5], own[1][:5], c, s)
+    assert calls == [10]
+
+
 def test_distance_rows_are_not_stored_before_they_are_read(spark, monkeypatch):
     """Every row of the matrix was written to the shared folder, read and written again."""
     stored, settle = [], neighbours.settle
